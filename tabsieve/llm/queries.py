@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from .language_id import op4_language_id
 from .mixing import op10_mix_sources
+from .secrets import op6_credential_links
 from .sharding import op7_external_shuffle
 
 QUERIES = {
+    "op4_language_id": op4_language_id,
+    "op6_credential_links": op6_credential_links,
     "op7_external_shuffle": op7_external_shuffle,
     "op10_mix_sources": op10_mix_sources,
 }
