@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from .language_id import op4_language_id
+from .minhash_dedup import op3_minhash_dedup
 from .mixing import op10_mix_sources
 from .secrets import op6_credential_links
 from .sharding import op7_external_shuffle
 
 QUERIES = {
+    "op3_minhash_dedup": op3_minhash_dedup,
     "op4_language_id": op4_language_id,
     "op6_credential_links": op6_credential_links,
     "op7_external_shuffle": op7_external_shuffle,
