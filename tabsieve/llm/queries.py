@@ -5,10 +5,12 @@ from __future__ import annotations
 from .language_id import op4_language_id
 from .minhash_dedup import op3_minhash_dedup
 from .mixing import op10_mix_sources
+from .packing import op2_lexical_packing
 from .secrets import op6_credential_links
 from .sharding import op7_external_shuffle
 
 QUERIES = {
+    "op2_lexical_packing": op2_lexical_packing,
     "op3_minhash_dedup": op3_minhash_dedup,
     "op4_language_id": op4_language_id,
     "op6_credential_links": op6_credential_links,
