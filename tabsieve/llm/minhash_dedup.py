@@ -167,7 +167,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, idf) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, class_id, kept) for every row: class_id is the smallest doc_id among texts that links reach, kept is
+    """(doc_id, class_id, kept, text_hash) for every row: class_id is the smallest doc_id among texts that links reach, kept is
     true for one row of each class.
 
     Nulls: a null text counts as empty; empty and white-space texts are one class. A null doc_id stays null and is
@@ -225,9 +225,9 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     label = unit.select("tkey", "least").join(comp, "tkey", "left").withColumn("comp", F.coalesce("comp", "tkey"))
     label = label.join(label.groupBy("comp").agg(F.min("least").alias("class_id")), "comp").select("tkey", "class_id")
     label = written(label, "minhash-labels")
-    out = signed.select("doc_id", "tkey", F.monotonically_increasing_id().alias("line")).join(label, "tkey")
+    out = signed.select("doc_id", "th", "tkey", F.monotonically_increasing_id().alias("line")).join(label, "tkey")
     first = out.groupBy(F.coalesce("class_id", F.lit(-1)).alias("c"), F.col("class_id").isNull().alias("cn")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "line")).alias("m")).select(F.col("m.line").alias("kept_line"))
-    return out.join(first, F.col("line") == F.col("kept_line"), "left").select("doc_id", "class_id", F.col("kept_line").isNotNull().alias("kept"))
+    return out.join(first, F.col("line") == F.col("kept_line"), "left").select("doc_id", "class_id", F.col("kept_line").isNotNull().alias("kept"), F.col("th").alias("text_hash"))
 
 
 def _texts_of(rows: DataFrame, holder: DataFrame, text: str) -> DataFrame:
@@ -236,5 +236,17 @@ def _texts_of(rows: DataFrame, holder: DataFrame, text: str) -> DataFrame:
     return rows.join(holder, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("h") == F.col("th"))).groupBy("tkey").agg(F.first("t").alias("t"))
 
 
+def keep_one(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The rows of docs, one of each class. Rows that repeat a kept row's doc_id and text go as well."""
+    found = written(near_duplicates(docs, text), "minhash-classes")
+    keys = ["doc_id", "text_hash"]
+    # A key is dropped if no row of it is kept; rows with the same key are the same text under the same id.
+    by = found.groupBy(*keys).agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
+    by = written(by.where("not kept or n > 1"), "minhash-dropped")
+    gone = by.where("not kept").select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash"))
+    out = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.xxhash64(F.col(text).cast("string")) == F.col("gone_hash")), "left_anti")
+    return out.dropDuplicates(["doc_id", text]) if by.where("kept").limit(1).count() else out
+
+
 def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("text_hash")
