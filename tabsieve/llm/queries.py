@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
+from .embedding_dedup import op1_pigeonhole_join
 from .language_id import op4_language_id
 from .minhash_dedup import op3_minhash_dedup
 from .mixing import op10_mix_sources
 from .packing import op2_lexical_packing
 from .secrets import op6_credential_links
 from .sharding import op7_external_shuffle
+from .topk_search import OP9_SQL, op9_topk_nra
 
 QUERIES = {
+    "op1_pigeonhole_join": op1_pigeonhole_join,
     "op2_lexical_packing": op2_lexical_packing,
     "op3_minhash_dedup": op3_minhash_dedup,
     "op4_language_id": op4_language_id,
     "op6_credential_links": op6_credential_links,
     "op7_external_shuffle": op7_external_shuffle,
+    "op9_topk_nra": op9_topk_nra,
     "op10_mix_sources": op10_mix_sources,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op9_topk_nra": OP9_SQL}
