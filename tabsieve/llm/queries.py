@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .embedding_dedup import op1_pigeonhole_join
 from .language_id import op4_language_id
+from .language_model import op8_pitman_yor_lm
 from .minhash_dedup import op3_minhash_dedup
 from .mixing import op10_mix_sources
 from .packing import op2_lexical_packing
@@ -12,6 +13,7 @@ from .sharding import op7_external_shuffle
 from .topk_search import OP9_SQL, op9_topk_nra
 
 QUERIES = {
+    "op8_pitman_yor_lm": op8_pitman_yor_lm,
     "op1_pigeonhole_join": op1_pigeonhole_join,
     "op2_lexical_packing": op2_lexical_packing,
     "op3_minhash_dedup": op3_minhash_dedup,
