@@ -10,9 +10,11 @@ from .mixing import op10_mix_sources
 from .packing import op2_lexical_packing
 from .secrets import op6_credential_links
 from .sharding import op7_external_shuffle
+from .suffix_dedup import op5_difference_cover
 from .topk_search import OP9_SQL, op9_topk_nra
 
 QUERIES = {
+    "op5_difference_cover": op5_difference_cover,
     "op8_pitman_yor_lm": op8_pitman_yor_lm,
     "op1_pigeonhole_join": op1_pigeonhole_join,
     "op2_lexical_packing": op2_lexical_packing,
