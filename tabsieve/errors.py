@@ -27,7 +27,7 @@ class PlanError(TabularError):
     """A mapping plan has faults; all of them are listed."""
 
     def __init__(self, faults: list[tuple[str, str]]):
-        super().__init__(faults[0][0] if faults else "mapping.invalid", "; ".join(f"{c} ({w})" for c, w in faults))
+        super().__init__(faults[0][0] if faults else "mapping.invalid-plan", "; ".join(f"{c} ({w})" for c, w in faults))
         self.faults = faults
 
 

@@ -104,7 +104,7 @@ class Extraction:
         if len(out) > limit:
             from ..errors import LimitError
 
-            raise LimitError("limit.rows", f"more than {limit} rows")
+            raise LimitError("limit.exceeded", f"more than {limit} rows")
         return out
 
     def chunks(self, size: int):

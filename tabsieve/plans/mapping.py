@@ -120,7 +120,7 @@ def check_structure(plan: Plan, sheets: list[tuple[str, str | None]], headers: l
     if (plan.sheet_name is not None and plan.sheet_name != name) or (plan.sheet_source is not None and plan.sheet_source != source):
         raise StructureError("structure.sheet-changed", f"sheet {plan.sheet} is {name!r} now")
     if headers is None:
-        raise StructureError("structure.header-missing", "no header row")
+        raise StructureError("structure.header-row-missing", "no header row")
     for b in plan.bindings:
         if b.column >= len(headers) or normalized(headers[b.column] or "") != normalized(b.header):
             raise StructureError("structure.header-changed", f"column {b.column} is no longer {b.header!r}")

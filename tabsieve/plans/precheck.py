@@ -38,12 +38,12 @@ def precheck(spark, plan: Plan, schema: Schema, profile: SheetProfile, sheets: i
     same expressions that extraction uses."""
     out: list[Finding] = []
     if plan.sheet >= sheets:
-        return Verdict([Finding("Blocking", "precheck.invalid-sheet")], schema.policy)
+        return Verdict([Finding("Blocking", "mapping.invalid-sheet")], schema.policy)
     if plan.culture is not None and plan.culture.lower() not in {c.lower() for c in CULTURES}:
         return Verdict([Finding("Blocking", "mapping.unknown-culture")], schema.policy)
     stale = profile.header_row != plan.header_row
     if stale:
-        out.append(Finding("Undetermined", "precheck.stale-profile"))
+        out.append(Finding("Undetermined", "mapping.stale-profile"))
     lenient = {m for a in schema.alternatives for g in a.groups[1:] for m in g.members}
     for b in plan.bindings:
         if b.column >= len(profile.columns):
@@ -53,7 +53,7 @@ def precheck(spark, plan: Plan, schema: Schema, profile: SheetProfile, sheets: i
             continue
         c, f = profile.columns[b.column], schema[b.field]
         if normalized(c.header) != normalized(b.header):
-            out.append(Finding("Blocking", "structure.header-changed", b.field))
+            out.append(Finding("Blocking", "mapping.header-changed", b.field))
             continue
         own = _inspect(spark, b, f, c, profile, plan)
         out += [Finding("Undetermined", x.code, x.field, x.rows, x.bound, x.examples) if b.field in lenient and SEVERITY[x.severity] > 1 else x for x in own]
@@ -70,7 +70,7 @@ def precheck(spark, plan: Plan, schema: Schema, profile: SheetProfile, sheets: i
                 for x in g.levels:
                     mapped = [m for m in x.any_of if m in bound]
                     if not mapped:
-                        out.append(Finding("Undetermined", "precheck.level-unmapped", f"{g.name}.{x.name}"))
+                        out.append(Finding("Undetermined", "group.level-unmapped", f"{g.name}.{x.name}"))
                         break
                     if not any(profile.columns[bound[m].column].non_empty for m in mapped if bound[m].column < len(profile.columns)):
                         break

@@ -174,7 +174,7 @@ def write_xlsx(path: str, sheets: list[SheetOut], level: int = 1) -> None:
                             if isinstance(v, float) and v - v != 0:
                                 raise WriteError("write.not-finite", where)
                             if not isinstance(v, float) and decimal.Decimal(repr(float(v))) != v:
-                                raise WriteError("write.number-not-exact", where)
+                                raise WriteError("write.precision-loss", where)
                             out.append(f'<c r="{ref}" s="{style(own)}"><v>{x}</v></c>')
                         elif isinstance(v, (datetime.date, datetime.datetime)):
                             d = v if isinstance(v, datetime.datetime) else datetime.datetime(v.year, v.month, v.day)
@@ -233,7 +233,7 @@ def write_ods(path: str, sheets: list[SheetOut], level: int = 1) -> None:
             return f'<table:table-cell office:value-type="boolean" office:boolean-value="{str(v).lower()}"/>'
         if isinstance(v, (int, float, decimal.Decimal)):
             if not isinstance(v, float) and decimal.Decimal(repr(float(v))) != v:
-                raise WriteError("write.number-not-exact", where)
+                raise WriteError("write.precision-loss", where)
             return f'<table:table-cell office:value-type="float" office:value="{format(v, "f") if isinstance(v, decimal.Decimal) else repr(v)}"/>'
         if isinstance(v, (datetime.date, datetime.datetime)):
             return f'<table:table-cell office:value-type="date" office:date-value="{v.isoformat(timespec="milliseconds") if isinstance(v, datetime.datetime) and (v.hour or v.minute or v.second or v.microsecond) else v.isoformat()[:10]}"/>'

@@ -70,11 +70,11 @@ def _entries(data: bytes, kind: str) -> Iterator[tuple[str, bytes | None, str |
             raise FormatError("format.truncated", "no end block")
         get = lambda i: z.extractfile(i).read()
     if len(found) > MAX_ENTRIES:
-        raise LimitError("limit.entries", f"more than {MAX_ENTRIES} entries")
+        raise LimitError("limit.exceeded", f"more than {MAX_ENTRIES} entries")
     for path, size, reason, i in found:
         total += size
         if total > MAX_ARCHIVE_BYTES:
-            raise LimitError("limit.uncompressed-size", "the archive holds too much")
+            raise LimitError("limit.exceeded", "the archive holds too much")
         try:
             yield path, None if reason else get(i), reason
         except (zipfile.BadZipFile, zlib.error, NotImplementedError, tarfile.ReadError):

@@ -98,10 +98,10 @@ def records(text: str, dialect: Dialect, repairs: Repairs | None = None, max_lin
                 end = m.start() if m else n
                 value, at = text[at:end], end
             if len(value) > MAX_FIELD_CHARS:
-                raise LimitError("limit.field-length", f"a field of {len(value)} characters")
+                raise LimitError("limit.exceeded", f"a field of {len(value)} characters")
             fields.append(value)
             if len(fields) > MAX_COLUMNS:
-                raise LimitError("limit.columns", f"more than {MAX_COLUMNS} columns")
+                raise LimitError("limit.exceeded", f"more than {MAX_COLUMNS} columns")
             if at < n and text[at] == d:
                 at += 1
                 continue
@@ -131,6 +131,6 @@ def _stray_room(text: str, opened: int, d: str) -> int:
 
 def _check(fields: list[str]) -> None:
     if len(fields) > MAX_COLUMNS:
-        raise LimitError("limit.columns", f"more than {MAX_COLUMNS} columns")
+        raise LimitError("limit.exceeded", f"more than {MAX_COLUMNS} columns")
     if any(len(f) > MAX_FIELD_CHARS for f in fields):
-        raise LimitError("limit.field-length", "a field is too long")
+        raise LimitError("limit.exceeded", "a field is too long")

@@ -82,7 +82,7 @@ def column_index(ref: str) -> int:
     for ch in re.match("[A-Z]*", ref)[0]:
         n = n * 26 + ord(ch) - 64
     if n > MAX_COLUMNS:
-        raise LimitError("limit.columns", ref)
+        raise LimitError("limit.exceeded", ref)
     return n - 1
 
 
@@ -101,9 +101,9 @@ def _package(data: bytes, kind: str) -> zipfile.ZipFile:
     except zipfile.BadZipFile as e:
         raise FormatError("format.corrupt", str(e)) from e
     if sum(i.file_size for i in z.infolist()) > MAX_UNCOMPRESSED[kind]:
-        raise LimitError("limit.uncompressed-size", "the package holds too much")
+        raise LimitError("limit.exceeded", "the package holds too much")
     if any(i.flag_bits & 1 for i in z.infolist()):
-        raise FormatError("format.encrypted", "an encrypted package")
+        raise FormatError("format.unsupported", "an encrypted package")
     return z
 
 
@@ -145,7 +145,7 @@ class Xlsx:
             self.sheets.append(Sheet(len(self.sheets), e.get("name") or f"Sheet{len(self.sheets) + 1}", "Xlsx", None, state))
             self.parts.append(target.lstrip("/") if target.startswith("/") else f"{self.base}/{target}".lstrip("/"))
             if len(self.sheets) > MAX_SHEETS:
-                raise LimitError("limit.sheets", f"more than {MAX_SHEETS} sheets")
+                raise LimitError("limit.exceeded", f"more than {MAX_SHEETS} sheets")
         self._strings = self._dates = None
 
     def _relations(self, name: str) -> dict[str, tuple[str, str]]:
@@ -324,7 +324,7 @@ class Ods:
                     if cells:
                         for k in range(times):
                             if number + k >= MAX_ROWS:
-                                raise LimitError("limit.rows", f"more than {MAX_ROWS} rows")
+                                raise LimitError("limit.exceeded", f"more than {MAX_ROWS} rows")
                             yield number + k + 1, cells
                     number += times
                 e.clear()
@@ -340,7 +340,7 @@ class Ods:
                 waiting += times
                 continue
             if len(out) + waiting + times > MAX_COLUMNS:
-                raise LimitError("limit.columns", f"more than {MAX_COLUMNS} columns")
+                raise LimitError("limit.exceeded", f"more than {MAX_COLUMNS} columns")
             out += [EMPTY] * waiting + [cell] * times
             waiting = 0
         return out

@@ -33,7 +33,7 @@ def test_faults_are_all_listed():
 def test_structure():
     plan = Plan((Binding(0, "a", "a"),), sheet_name="S")
     check_structure(plan, [("S", None)], ["A"])
-    for sheets, headers, code in (([], ["a"], "structure.sheet-missing"), ([("T", None)], ["a"], "structure.sheet-changed"), ([("S", None)], None, "structure.header-missing"), ([("S", None)], ["b"], "structure.header-changed")):
+    for sheets, headers, code in (([], ["a"], "structure.sheet-missing"), ([("T", None)], ["a"], "structure.sheet-changed"), ([("S", None)], None, "structure.header-row-missing"), ([("S", None)], ["b"], "structure.header-changed")):
         with pytest.raises(StructureError) as e:
             check_structure(plan, sheets, headers)
         assert e.value.code == code
