@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from ..errors import WriteError
 from ..sources.workbooks import MAX_ROWS
 from .csv import CsvOptions, csv_bytes
+from .formats import color, date_format, number_format
 
 MAX_TEXT, MAX_STYLES, MAX_MERGES, MAX_WIDTH = 32_767, 4_096, 65_536, 255
 _BAD_XML = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f￾￿]")
@@ -33,6 +34,18 @@ class Style:
     wrap: bool = False
     border: bool = False
 
+    def __post_init__(self):
+        for name in ("fill", "color"):
+            if getattr(self, name):
+                object.__setattr__(self, name, color(getattr(self, name)))
+        if self.number_format:
+            try:
+                number_format(self.number_format)
+            except ValueError:
+                date_format(self.number_format)
+        if self.align not in (None, "left", "center", "right"):
+            raise ValueError(f"{self.align!r} is no alignment")
+
 
 @dataclass
 class SheetOut:
@@ -43,13 +56,15 @@ class SheetOut:
     freeze_columns: int = 0
     auto_filter: bool = False
     header_style: Style | None = None
-    styles: dict[str, Style] = field(default_factory=dict)
+    styles: dict[str, Style] = field(default_factory=dict)  # by column
+    rules: dict[str, str] = field(default_factory=dict)  # column -> column that names each cell's style
+    named: dict[str, Style] = field(default_factory=dict)  # the styles that rules name; null or another name means none
     widths: dict[str, float] = field(default_factory=dict)
     merges: list[tuple[int, int, int, int]] = field(default_factory=list)  # first row, first column, rows, columns
 
     @property
     def columns(self) -> list[str]:
-        return [c for c in self.df.columns if c != self.row]
+        return [c for c in self.df.columns if c != self.row and c not in self.rules.values()]
 
 
 def letters(i: int) -> str:
@@ -104,7 +119,7 @@ def _rows(s: SheetOut):
         n += 1
         if n >= MAX_ROWS:
             raise WriteError("write.too-many-rows", s.name)
-        yield [r[c] for c in s.columns]
+        yield [r[c] for c in s.columns], {c: s.named.get(r[k]) for c, k in s.rules.items()}
 
 
 class _Whole:
@@ -130,7 +145,7 @@ def write_zip_of_csv(path: str, sheets: list[SheetOut], options: CsvOptions = Cs
     with _Whole(path, level) as z:
         for s in sheets:
             with z.open(f"{s.name}.csv", "w", force_zip64=True) as f:
-                for piece in csv_bytes(s.df, s.row, options):
+                for piece in csv_bytes(s.df.select(s.row, *s.columns), s.row, options):
                     f.write(piece)
 
 
@@ -160,13 +175,13 @@ def write_xlsx(path: str, sheets: list[SheetOut], level: int = 1) -> None:
                 head = style(s.header_style)
                 put('<row r="1">' + "".join(f'<c r="{letters(i)}1" t="inlineStr" s="{head}"><is><t xml:space="preserve">{_text(c, c)}</t></is></c>' for i, c in enumerate(s.columns)) + "</row>")
                 n = 1
-                for values in _rows(s):
+                for values, ruled in _rows(s):
                     n += 1
                     out = [f'<row r="{n}">']
                     for i, v in enumerate(values):
                         if v is None:
                             continue
-                        own, ref, where = s.styles.get(s.columns[i]), f"{letters(i)}{n}", f"row {n}, column {s.columns[i]}"
+                        own, ref, where = ruled.get(s.columns[i]) or s.styles.get(s.columns[i]), f"{letters(i)}{n}", f"row {n}, column {s.columns[i]}"
                         if isinstance(v, bool):
                             out.append(f'<c r="{ref}" t="b" s="{style(own)}"><v>{int(v)}</v></c>')
                         elif isinstance(v, (int, float, decimal.Decimal)):
@@ -251,7 +266,7 @@ def write_ods(path: str, sheets: list[SheetOut], level: int = 1) -> None:
             for s in sheets:
                 put(f"<table:table table:name={quoteattr(s.name)}>")
                 put("<table:table-row>" + "".join(cell(c, c) for c in s.columns) + "</table:table-row>")
-                for n, values in enumerate(_rows(s)):
+                for n, (values, _) in enumerate(_rows(s)):
                     out, gap = [], 0
                     for c, v in zip(s.columns, values, strict=True):
                         if v is None:

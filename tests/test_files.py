@@ -190,3 +190,28 @@ def test_plain_csv_is_split(spark, tmp_path):
     (tmp_path / "q.csv").write_text('a;"b"\n')
     with pytest.raises(ValueError):
         scan_plain_csv(spark, str(tmp_path / "q.csv"))
+
+
+def test_formats():
+    from tabsieve.sinks.formats import color, date_format, number_format
+
+    for ok in ("0", "#,##0.00", '"EUR "#,##0.0#%', "00"):
+        assert number_format(ok) == ok
+    for bad in ("", "0#", "0.#0", ",0", "0,", "x", "0." + "0" * 31):
+        with pytest.raises(ValueError):
+            number_format(bad)
+    assert date_format("hh:mm") == ["hh", ":", "minutes"] and date_format("yyyy-mm-dd")[2] == "mm" and date_format("m:ss")[0] == "minute"
+    for bad in ("", "q", '"x"'):
+        with pytest.raises(ValueError):
+            date_format(bad)
+    assert color("#fa0") == "FFAA00" and color("00ff00") == "00FF00"
+    with pytest.raises(ValueError):
+        Style(fill="red")
+
+
+def test_style_rules(spark, tmp_path):
+    df = spark.createDataFrame([(1, 5, "hot"), (2, 6, None)], "n long, v long, how string")
+    write_xlsx(str(tmp_path / "r.xlsx"), [SheetOut("S", df, "n", rules={"v": "how"}, named={"hot": Style(fill="#f00")})])
+    with zipfile.ZipFile(tmp_path / "r.xlsx") as z:
+        sheet = z.read("xl/worksheets/sheet1.xml").decode()
+        assert "FFFF0000" in z.read("xl/styles.xml").decode() and 's="3"><v>5<' in sheet and 's="0"><v>6<' in sheet
