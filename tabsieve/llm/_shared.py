@@ -19,6 +19,11 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Fewer rows in an Arrow batch than Spark's default: with whole texts, batches make up a worker's memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+
+
 def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """df, written as Parquet to the shared folder and read again. Cuts lineage; survives lost executors."""
     spark = df.sparkSession
@@ -57,7 +62,8 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
         near = both.join(labels.withColumnsRenamed({"node": "b"}), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))
         new = labels.join(near, "node", "left").select("node", "comp", F.least("comp", F.coalesce("near", "comp")).alias("next"))
         up = labels.select(F.col("node").alias("next"), F.col("comp").alias("top"))
-        jumped = written(new.join(up, "next", "left").select("node", F.least("next", F.coalesce("top", "next")).alias("comp"), F.col("comp").alias("was")), f"{name}-labels")
+        once = new.join(up, "next", "left").select("node", F.col("comp").alias("was"), F.least("next", F.coalesce("top", "next")).alias("next"))
+        jumped = written(once.join(up, "next", "left").select("node", F.least("next", F.coalesce("top", "next")).alias("comp"), "was"), f"{name}-labels")
         changed = jumped.where("comp < was").limit(1).count()
         forget(labels)
         labels = jumped.drop("was")
@@ -130,6 +136,16 @@ def words(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return buf, starts, ends, mix(hashes), first
 
 
+def portions(texts: list[bytes | None], size: int = 1 << 22):
+    """(first, end) of runs of texts of about size bytes, so that what is made of them at once is bounded."""
+    lo = n = 0
+    for i, t in enumerate(texts):
+        n += len(t or b"")
+        if n >= size or i == len(texts) - 1:
+            yield lo, i + 1
+            lo, n = i + 1, 0
+
+
 def batch_texts(column) -> list[bytes | None]:
     """An Arrow string column as UTF-8 bytes."""
     import pyarrow as pa

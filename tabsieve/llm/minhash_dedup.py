@@ -5,10 +5,10 @@ inverse document frequencies, which are counted over all documents; words are co
 so what is broadcast doesn't grow with the data. Shingle counts of the whole corpus would be as large as the corpus.
 
 The unit of work is the distinct text (words lower-cased, white space folded), so copies are never compared. Texts
-that share a band of their signatures are linked through a star: everyone is compared with the smallest member of the
-bucket, then those left apart with the next smallest, until nobody is left or only buckets of unlike texts are. Those
-are compared member by member in the join itself, behind a filter on weights and signatures. No step emits all pairs of
-a group, and none stops early.
+that share a band of their signatures are linked through stars: everyone is compared with the bucket's CENTRES most
+central members, those whose buckets are the largest. Members that this leaves apart from the bucket's first component
+are compared with all the bucket's other components block by block, and only links leave a block. No step emits all
+pairs of a group, and none stops early.
 """
 
 from __future__ import annotations
@@ -19,15 +19,18 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._shared import batch_texts, components, forget, mix, words, written
+from ._shared import batch_texts, bounded_batches, components, forget, mix, portions, words, written
 
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 14, 4  # finds a pair of similarity 0.8 with probability 0.9996, one of 0.85 with 0.99999
 SLOTS = 1 << 18  # hashed words in the table of document frequencies
-STARS = 4  # rounds of stars before unlike texts are compared in the join
+PART = 400  # members of a part of a bucket
+CENTRES = 4  # of each bucket's stars
+SURELY_LESS = 0.57  # a pair of which fewer samples agree is not verified: at similarity 0.8 that has a chance below 0.0001
 
 
 def document_frequencies(docs: DataFrame, text: str = "text") -> tuple[np.ndarray, int]:
@@ -38,11 +41,12 @@ def document_frequencies(docs: DataFrame, text: str = "text") -> tuple[np.ndarra
         for b in batches:
             texts = batch_texts(b.column(0))
             n += len(texts)
-            _, _, _, h, first = words(texts)
-            slot = (h >> np.uint64(64 - 18)).astype(np.int64)
-            of = np.repeat(np.arange(len(texts)), np.diff(first))
-            order = np.unique(of << 18 | slot)
-            total += np.bincount(order & (SLOTS - 1), minlength=SLOTS)
+            for lo, hi in portions(texts):
+                _, _, _, h, first = words(texts[lo:hi])
+                slot = (h >> np.uint64(64 - 18)).astype(np.int64)
+                of = np.repeat(np.arange(hi - lo), np.diff(first))
+                order = np.unique(of << 18 | slot)
+                total += np.bincount(order & (SLOTS - 1), minlength=SLOTS)
         at = np.flatnonzero(total)
         yield pa.record_batch([pa.array(np.append(at, SLOTS)), pa.array(np.append(total[at], n))], ["slot", "n"])
 
@@ -120,15 +124,15 @@ def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.n
 
 
 def _signatures(docs: DataFrame, idf, text: str) -> DataFrame:
-    """(doc_id, th, tkey, bands, sig, total) of every row: hash of the text as it is, key of the distinct text, band keys, 16 bits of each sample, weight."""
+    """(doc_id, th, tkey, bands, sig, total) of every row: hash of the text as it is, key of the distinct text, band keys, 15 bits of each sample, weight."""
 
     def run(batches):
         table = idf.value
         for b in batches:
             texts = batch_texts(b.column("t"))
             keys, bands, sigs, totals = [], [], [], []
-            for lo in range(0, len(texts), 256):
-                part = texts[lo : lo + 256]
+            for lo, hi in portions(texts, 1 << 20):
+                part = texts[lo:hi]
                 _, _, _, h, first = words(part)
                 for i in range(len(part)):
                     own = h[first[i] : first[i + 1]]
@@ -139,11 +143,11 @@ def _signatures(docs: DataFrame, idf, text: str) -> DataFrame:
                     for j in range(ROWS):
                         by = mix(by * np.uint64(0x9E3779B97F4A7C15) + sig[j::ROWS])
                     bands.append(by.view(np.int64) if len(s) else np.zeros(0, np.int64))
-                    sigs.append((sig >> np.uint64(48)).astype(np.uint16).tobytes())
+                    sigs.append((sig >> np.uint64(49)).astype(np.int16))
                     totals.append(float(w.sum(dtype=np.float64)))
-            yield pa.record_batch([b.column("doc_id"), b.column("th"), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary()), pa.array(totals)], ["doc_id", "th", "tkey", "bands", "sig", "total"])
+            yield pa.record_batch([b.column("doc_id"), b.column("th"), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.list_(pa.int16())), pa.array(totals)], ["doc_id", "th", "tkey", "bands", "sig", "total"])
 
-    return docs.select("doc_id", F.xxhash64(text).alias("th"), F.col(text).alias("t")).mapInArrow(run, "doc_id long, th long, tkey binary, bands array<long>, sig binary, total double")
+    return docs.select("doc_id", F.xxhash64(text).alias("th"), F.col(text).alias("t")).mapInArrow(run, "doc_id long, th long, tkey binary, bands array<long>, sig array<smallint>, total double")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, idf) -> DataFrame:
@@ -166,6 +170,64 @@ def _verified(pairs: DataFrame, texts: DataFrame, idf) -> DataFrame:
     return both.select("a", "b", "ta", "tb").mapInArrow(check, "a binary, b binary")
 
 
+def _compared(now: DataFrame, rest: DataFrame, unit: DataFrame, texts: DataFrame, idf) -> DataFrame:
+    """Links (a, b) between the members of rest (bucket, tkey) and their buckets' members of other components.
+
+    A bucket is cut into parts of about PART members; each part of rest meets each part of the bucket in one task, so no
+    task grows with a bucket. A pair is looked at in the smallest bucket that both have, once.
+    """
+    whole = now.join(rest.select("bucket").distinct(), "bucket", "left_semi").join(rest.withColumn("rest", F.lit(True)), ["bucket", "tkey"], "left").withColumn("rest", F.coalesce("rest", F.lit(False)))
+    sizes = whole.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts"))
+    lists = now.groupBy("tkey").agg(F.sort_array(F.collect_set("bucket")).alias("buckets"))  # BANDS at most
+    full = whole.join(sizes, "bucket").join(lists, "tkey").join(unit.select("tkey", "sig", "total"), "tkey").join(texts, "tkey")
+    full = full.withColumn("own", F.pmod(F.xxhash64("tkey"), F.col("parts")).cast("int"))
+    every = F.sequence(F.lit(0), F.col("parts") - 1)
+    left = full.where("rest").select(F.lit(True).alias("left"), "bucket", F.col("own").alias("p"), F.explode(every).alias("q"), "tkey", "comp", "rest", "buckets", "sig", "total", "t")
+    right = full.select(F.lit(False).alias("left"), "bucket", F.explode(every).alias("p"), F.col("own").alias("q"), "tkey", "comp", "rest", "buckets", "sig", "total", "t")
+
+    def run(t: pa.Table) -> pa.Table:
+        table = idf.value
+        side, rest_ = t.column("left").to_numpy(), t.column("rest").to_numpy()
+        bucket = t.column("bucket")[0].as_py()
+        key, comp = np.array(t.column("tkey").to_pylist(), object), np.array(t.column("comp").to_pylist(), object)
+        total = t.column("total").to_numpy()
+        sig = t.column("sig").combine_chunks().flatten().to_numpy().reshape(len(key), -1)
+        lists_ = t.column("buckets").to_pylist()
+        lefts, rights = np.flatnonzero(side), np.flatnonzero(~side)
+        out = [], []
+        if len(lefts) and len(rights):
+            texts_ = batch_texts(t.column("t"))
+            _, _, _, h, first = words([texts_[i] for i in rights])
+            sets = [weighted_shingles(h[first[i] : first[i + 1]], table) for i in range(len(rights))]
+            for x in lefts:
+                ok = (comp[rights] != comp[x]) & (~rest_[rights] | (key[rights] > key[x]))
+                ok &= np.minimum(total[rights], total[x]) >= (THRESHOLD - 1e-4) * np.maximum(total[rights], total[x])
+                at = np.flatnonzero(ok)
+                at = at[(sig[rights[at]] == sig[x]).sum(axis=1) >= int(BANDS * ROWS * SURELY_LESS)]
+                mine = set(lists_[x])
+                at = [i for i in at if min(mine.intersection(lists_[rights[i]])) == bucket]
+                if not at:
+                    continue
+                s, w = weighted_shingles(words([texts_[x]])[3], table)
+                flat, weight = np.concatenate([sets[i][0] for i in at]), np.concatenate([sets[i][1] for i in at])
+                place = np.minimum(np.searchsorted(s, flat), len(s) - 1)
+                low = np.where(s[place] == flat, np.minimum(w[place], weight), 0).astype(np.float64)
+                low = np.add.reduceat(low, np.cumsum([0, *(len(sets[i][0]) for i in at[:-1])]))
+                for i, v in zip(at, low, strict=True):
+                    if v / (total[x] + total[rights[i]] - v) >= THRESHOLD:
+                        out[0].append(key[x])
+                        out[1].append(key[rights[i]])
+        return pa.table({"a": pa.array(out[0], pa.binary()), "b": pa.array(out[1], pa.binary())})
+
+    return left.unionByName(right).groupBy("bucket", "p", "q").applyInArrow(run, "a binary, b binary")
+
+
+def _labelled(member: DataFrame, links: DataFrame) -> DataFrame:
+    """(tkey, comp) of every member."""
+    found = components(links, "minhash").withColumnRenamed("node", "tkey")
+    return written(member.select("tkey").distinct().join(found, "tkey", "left").select("tkey", F.coalesce("comp", "tkey").alias("comp")), "minhash-comp")
+
+
 def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     """(doc_id, class_id, kept, text_hash) for every row: class_id is the smallest doc_id among texts that links reach, kept is
     true for one row of each class.
@@ -175,52 +237,36 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     input gives no rows. Other columns are not read.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias(text))
     idf = spark.sparkContext.broadcast(idf_table(*document_frequencies(rows, text)))
     signed = written(_signatures(rows, idf, text), "minhash-signed")
     # One line for each distinct text; in each bucket its members, if there are two.
     unit = written(signed.groupBy("tkey").agg(F.min("doc_id").alias("least"), F.first("bands").alias("bands"), F.first("sig").alias("sig"), F.first("total").alias("total")), "minhash-texts")
     member = unit.select("tkey", F.posexplode("bands").alias("band", "key"))
-    crowded = member.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "key")
-    member = written(member.join(crowded, ["band", "key"]).select("tkey", F.xxhash64("band", "key").alias("bucket")), "minhash-members")
+    crowded = member.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    member = member.join(crowded, ["band", "key"]).select("tkey", F.xxhash64("band", "key").alias("bucket"), "n")
+    central = member.groupBy("tkey").agg(F.sum("n").alias("crowd"))
+    member = written(member.join(central, "tkey").select("tkey", "bucket", "crowd"), "minhash-members")
     # Texts of the members, one line for each.
     holder = signed.groupBy("tkey").agg(F.min(F.struct("doc_id", "th")).alias("h")).select("tkey", "h.*").join(member.select("tkey").distinct(), "tkey", "left_semi")
     texts = _texts_of(rows, holder, text)
     texts = written(texts, "minhash-members-texts")
 
-    links = None
-    comp = member.select("tkey").distinct().withColumn("comp", F.col("tkey"))
-    done = None
-    for star in range(STARS + 1):
-        now = member.join(comp, "tkey")
-        if done is not None:
-            now = now.join(done, ["bucket", "tkey"], "left").withColumn("done", F.coalesce("done", F.lit(False)))
-        else:
-            now = now.withColumn("done", F.lit(False))
-        now = written(now, "minhash-now")
-        stats = now.groupBy("bucket").agg(F.min("comp").alias("main"), F.max("comp").alias("other"), F.count(F.lit(1)).alias("n")).where("main < other")
-        if star < STARS:
-            # The centre: the smallest member outside the bucket's first component (in the first round, of all).
-            part = now.where("not done").join(stats, "bucket")
-            centre = part.where("comp != main" if star else "true").groupBy("bucket").agg(F.min(F.struct("tkey", "comp")).alias("c")).select("bucket", F.col("c.tkey").alias("a"), F.col("c.comp").alias("ca"))
-            centre = written(centre, "minhash-centres")
-            pairs = now.join(centre, "bucket").where("comp != ca").select("a", F.col("tkey").alias("b"))
-            seen = centre.select("bucket", F.col("a").alias("tkey"), F.lit(True).alias("done"))
-            done = seen if done is None else done.unionByName(seen)
-        else:
-            # What is left: members that are neither in the first component nor compared as a centre, with all others of the bucket.
-            light = unit.select("tkey", "sig", "total")
-            left = now.where("not done").join(stats, "bucket").where("comp != main").join(light, "tkey").select("bucket", F.col("tkey").alias("a"), F.col("comp").alias("ca"), F.col("total").alias("wa"), F.col("sig").alias("sa"))
-            right = now.join(stats.select("bucket"), "bucket").join(light, "tkey").select("bucket", F.col("tkey").alias("b"), F.col("comp").alias("cb"), F.col("total").alias("wb"), F.col("sig").alias("sb"))
-            pairs = left.join(right, "bucket").where((F.col("ca") != F.col("cb")) & (F.col("a") != F.col("b")) & (F.least("wa", "wb") >= F.lit(THRESHOLD - 1e-4) * F.greatest("wa", "wb"))).select("a", "b")
-        pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "minhash-pairs")
-        if not pairs.limit(1).count():
-            break
-        new = written(_verified(pairs, texts, idf), "minhash-links")
-        links = new if links is None else links.unionByName(new)
-        if new.limit(1).count():
-            found = components(links, "minhash")
-            comp = written(member.select("tkey").distinct().join(found.withColumnRenamed("node", "tkey"), "tkey", "left").select("tkey", F.coalesce("comp", "tkey").alias("comp")), "minhash-comp")
+    # Stars: everyone with the bucket's most central members.
+    by = W.partitionBy("bucket").orderBy(F.desc("crowd"), "tkey")
+    centre = member.withColumn("place", F.row_number().over(by)).where(F.col("place") <= CENTRES).select("bucket", F.col("tkey").alias("a"))
+    pairs = member.select("bucket", F.col("tkey").alias("b")).join(centre, "bucket").where("a != b")
+    pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "minhash-pairs")
+    links = written(_verified(pairs, texts, idf), "minhash-links")
+    comp = _labelled(member, links)
+    # Left: members outside the bucket's first component that were no centre, with all the bucket's other components.
+    now = written(member.select("tkey", "bucket").join(comp, "tkey"), "minhash-now")
+    stats = now.groupBy("bucket").agg(F.min("comp").alias("main"), F.max("comp").alias("other")).where("main < other")
+    rest = now.join(stats, "bucket").where("comp != main").join(centre.withColumnRenamed("a", "tkey"), ["bucket", "tkey"], "left_anti").select("bucket", "tkey")
+    more = written(_compared(now, written(rest, "minhash-rest"), unit, texts, idf), "minhash-links")
+    if more.limit(1).count():
+        comp = _labelled(member, links.unionByName(more))
     forget(texts)
     label = unit.select("tkey", "least").join(comp, "tkey", "left").withColumn("comp", F.coalesce("comp", "tkey"))
     label = label.join(label.groupBy("comp").agg(F.min("least").alias("class_id")), "comp").select("tkey", "class_id")
