@@ -15,13 +15,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import batch_texts
+from ._shared import batch_texts, bounded_batches, portions
 
 ORDERS = (1, 2, 3)
 BITS = 16
 DOCS_PER_LANG = 4000  # bound of the training sample: about so many documents of each language, by hash of the id
 MAX_LANGS = 1000  # the matrix is broadcast: more languages than this raise an error
-STEP = 1 << 18  # characters hashed at once
+STEP = 1 << 18  # bytes hashed at once
 
 _letter: np.ndarray | None = None
 
@@ -68,22 +68,10 @@ def _grams(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return out, starts, letters
 
 
-def _chunks(texts: list[bytes | None]):
-    """Runs of texts of about STEP bytes."""
-    lo = size = 0
-    for i, t in enumerate(texts):
-        size += len(t or b"")
-        if size >= STEP:
-            yield lo, i + 1
-            lo, size = i + 1, 0
-    if lo < len(texts):
-        yield lo, len(texts)
-
-
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", docs_per_lang: int = DOCS_PER_LANG) -> tuple[list[str], np.ndarray]:
     """(languages by name, matrix of log probabilities; its last column is 0). docs: the labelled rows to learn from;
     rows with a null label or text teach nothing. A language of more than docs_per_lang documents is sampled by hash."""
-    spark = docs.sparkSession
+    bounded_batches(docs.sparkSession)
     docs = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).cast("string").alias("l")).where("l is not null")
     n = {r["l"]: r["n"] for r in docs.groupBy("l").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGS + 1).collect()}
     if len(n) > MAX_LANGS:
@@ -101,7 +89,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
         total = np.zeros((len(names), (1 << BITS) + 1), np.int64)
         for b in batches:
             texts, of = batch_texts(b.column("t")), np.array([code[x] for x in b.column("l").to_pylist()])
-            for lo, hi in _chunks(texts):
+            for lo, hi in portions(texts, STEP):
                 rows, starts, _ = _grams(texts[lo:hi])
                 for i in range(hi - lo):
                     total[of[lo + i]] += np.bincount(rows[starts[i] : starts[i + 1]].ravel(), minlength=total.shape[1])
@@ -124,6 +112,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "
     except such named lang_pred or score, which are replaced.
     """
     names, matrix = model
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(np.ascontiguousarray(matrix.T))
     keep = [c for c in docs.columns if c not in ("lang_pred", "score")]
     schema = T.StructType([f for f in docs.schema.fields if f.name in keep] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
@@ -134,7 +123,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "
         for b in batches:
             texts = batch_texts(b.column(at))
             pred, score = np.full(len(texts), "und", object), np.zeros(len(texts))
-            for lo, hi in _chunks(texts) if names else ():
+            for lo, hi in portions(texts, STEP) if names else ():
                 rows, starts, letters = _grams(texts[lo:hi])
                 hit = table[rows[:, 0]]
                 for j in range(1, rows.shape[1]):

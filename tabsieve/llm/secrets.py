@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ._shared import bounded_batches
+
 KINDS = ("assign", "access", "hex", "weak_id", "weak_secret", "endpoint")
 REACH = 200
 
@@ -123,6 +125,7 @@ def find_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
     A null text counts as empty: no findings, and its redacted text stays null. Repeated rows are scanned alike. Other
     columns pass through, except such with an output's name, which are replaced.
     """
+    bounded_batches(docs.sparkSession)
     made = [("n_assign", "long"), ("n_access", "long"), ("n_hex", "long"), ("base_spans", "string"), ("spans", "string"), ("redacted", "string")]
     keep = [c for c in docs.columns if c not in dict(made)]
     schema = T.StructType([f for f in docs.schema.fields if f.name in keep] + [T.StructField(n, T.LongType() if t == "long" else T.StringType()) for n, t in made])
