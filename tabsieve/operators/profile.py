@@ -134,14 +134,27 @@ def first_values(values: DataFrame, n: int) -> DataFrame:
     return values.withColumn("place", F.row_number().over(by)).where(F.col("place") <= n).select("column_index", "name", "place", "row_number", "text")
 
 
-def outliers(values: DataFrame, name: str, n: int, dates: bool = False) -> DataFrame:
-    """The first n values of each column, in row order, that don't read as a number (or as a date) in a culture."""
+def _unread(name: str, dates: bool) -> Column:
+    """Whether a cell doesn't read as a number (or as a date) in a culture."""
     c, text = culture(name), F.col("text")
     if dates:
         reads = F.when(F.col("kind") == "Text", R.date(text, c).isNotNull()).otherwise(F.col("kind") == "Date")
     else:
         reads = F.when(F.col("kind") == "Text", R.reads_as_decimal(text, c)).otherwise(F.col("kind") == "Number")
-    return first_values(values.where(~F.coalesce(reads, F.lit(False))), n)
+    return ~F.coalesce(reads, F.lit(False))
+
+
+def outliers(values: DataFrame, name: str, n: int, dates: bool = False) -> DataFrame:
+    """The first n values of each column, in row order, that don't read as a number (or as a date) in a culture."""
+    return first_values(values.where(_unread(name, dates)), n)
+
+
+def all_outliers(values: DataFrame, cultures: tuple[str, ...], n: int) -> DataFrame:
+    """outliers() of all cultures and both kinds in one pass: (culture, dates, column_index, place, row_number, text)."""
+    which = F.array(*[F.struct(F.lit(c).alias("culture"), F.lit(d).alias("dates"), _unread(c, d).alias("unread")) for c in cultures for d in (False, True)])
+    one = values.select("column_index", "row_number", "text", F.inline(F.filter(which, lambda w: w["unread"]))).drop("unread")
+    by = W.partitionBy("column_index", "culture", "dates").orderBy("row_number")
+    return one.withColumn("place", F.row_number().over(by)).where(F.col("place") <= n)
 
 
 def top_values(tallied: DataFrame, n: int) -> DataFrame:
@@ -238,7 +251,7 @@ def analyze(df: DataFrame, row: Column | str, options: AnalysisOptions | None =
 
     o = options or AnalysisOptions()
     values = cells(df, row)
-    rows = df.count() if "row_number" not in df.columns else df.where(F.lit(True)).count()
+    rows = df.count()
     tallied = tally(values).persist()
     cs = o.cultures
     columns = [ColumnProfile(i, f.name, rows, is_unique=None if rows == 0 else False) for i, f in enumerate(df.schema.fields)]
@@ -261,10 +274,9 @@ def analyze(df: DataFrame, row: Column | str, options: AnalysisOptions | None =
         columns[r["column_index"]].values.append((r["text"], r["n"]))
     for c in columns:
         c.values_complete = len(c.values) == c.distinct
-    for name in cs:
-        for dates in (False, True):
-            for r in outliers(values, name, o.outlier_sample_size, dates).orderBy("column_index", "place").collect():
-                (columns[r["column_index"]].date_outliers if dates else columns[r["column_index"]].number_outliers).setdefault(name, []).append((r["row_number"], r["text"]))
+    for r in all_outliers(values, cs, o.outlier_sample_size).orderBy("column_index", "place").collect():
+        c = columns[r["column_index"]]
+        (c.date_outliers if r["dates"] else c.number_outliers).setdefault(r["culture"], []).append((r["row_number"], r["text"]))
     tallied.unpersist()
     preferred = separator_vote(columns, delimiter)
     for c in columns:
