@@ -25,7 +25,7 @@ END = 1
 SHARD_TOKENS = 2_000_000
 QUERY_TERMS = 24
 K1, B = 1.2, 0.75
-CACHED_WORDS = 400_000  # a worker's cache of words is emptied beyond this
+CACHED_WORDS = 1_200_000  # a worker's cache of words is emptied beyond this
 
 _encoders: dict = {}
 
