@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import batch_texts, words, written
+from ._shared import batch_texts, bounded_batches, words, written
 
 WINDOW = 2048
 END = 1
@@ -56,7 +56,7 @@ class Encoder:
         special = [i for i, t in enumerate(texts) if t and b"<|" in t]  # may hold a special token: encoded as a whole
         texts = [None if t and b"<|" in t else t for t in texts] if special else texts
         whole = {i: np.array(e.ids, np.uint16) for i, e in zip(special, self.tok.encode_batch_fast([self._orig[i].decode("utf-8", "replace") for i in special], add_special_tokens=False), strict=True)} if special else {}
-        buf, s, e, h, first = words(texts)
+        _, s, e, h, first = words(texts)
         uniq, where, inv = np.unique(h, return_index=True, return_inverse=True)
         if len(self.at) > CACHED_WORDS:
             self._clear()
@@ -64,7 +64,7 @@ class Encoder:
         rows = np.fromiter((at.get(x, -1) for x in uniq.tolist()), np.int64, len(uniq))
         new = np.flatnonzero(rows < 0)
         if len(new):
-            raw = buf.tobytes()
+            raw = b" ".join(t or b"" for t in texts)  # as written: buf is lower-cased
             ids = [x.ids for x in self.tok.encode_batch_fast([raw[s[i] : e[i]].decode("utf-8", "replace") for i in where[new]], add_special_tokens=False)]
             length = np.fromiter(map(len, ids), np.int64, len(ids))
             begin = len(self.flat) + np.cumsum(length) - length
@@ -213,6 +213,7 @@ def pack(docs: DataFrame, path: str | None = None, text: str = "text", window: i
     columns are not read.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     tokens = written(tokenized(docs, path or tokenizer_file(), text), "packing-ids")
     df = id_frequencies(tokens)
     total = tokens.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("docs")).first()
