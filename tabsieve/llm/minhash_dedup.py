@@ -233,8 +233,9 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     true for one row of each class.
 
     Nulls: a null text counts as empty; empty and white-space texts are one class. A null doc_id stays null and is
-    never the class id unless its class has no other. Repeated rows share their class; one of them is kept. Empty
-    input gives no rows. Other columns are not read.
+    never the class id unless its class has no other. Unrelated texts whose ids are all null, or that repeat an id, have
+    the same class_id but are classes of their own, and one row of each is kept. Repeated rows share their class; one
+    of them is kept. Empty input gives no rows. Other columns are not read.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -269,10 +270,11 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
         comp = _labelled(member, links.unionByName(more))
     forget(texts)
     label = unit.select("tkey", "least").join(comp, "tkey", "left").withColumn("comp", F.coalesce("comp", "tkey"))
-    label = label.join(label.groupBy("comp").agg(F.min("least").alias("class_id")), "comp").select("tkey", "class_id")
+    label = label.join(label.groupBy("comp").agg(F.min("least").alias("class_id")), "comp").select("tkey", "comp", "class_id")
     label = written(label, "minhash-labels")
     out = signed.select("doc_id", "th", "tkey", F.monotonically_increasing_id().alias("line")).join(label, "tkey")
-    first = out.groupBy(F.coalesce("class_id", F.lit(-1)).alias("c"), F.col("class_id").isNull().alias("cn")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "line")).alias("m")).select(F.col("m.line").alias("kept_line"))
+    # By component: unrelated classes can have the same class_id, or none.
+    first = out.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "line")).alias("m")).select(F.col("m.line").alias("kept_line"))
     return out.join(first, F.col("line") == F.col("kept_line"), "left").select("doc_id", "class_id", F.col("kept_line").isNotNull().alias("kept"), F.col("th").alias("text_hash"))
 
 

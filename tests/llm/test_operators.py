@@ -162,6 +162,16 @@ def test_op3(spark, docs, texts, edges, empty):
     assert minhash_dedup.near_duplicates(empty).count() == 0
 
 
+def test_op3_unrelated_texts_share_an_id(spark):
+    """One row of each class is kept, whether ids are missing or repeated."""
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcd")
+    rows = [(None, a), (None, b), (None, a), (7, c), (7, d), (7, d), (9, d)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = minhash_dedup.near_duplicates(df).collect()
+    assert Counter((r["doc_id"], r["class_id"], r["kept"]) for r in found) == {(None, None, True): 2, (None, None, False): 1, (7, 7, True): 2, (7, 7, False): 1, (9, 7, False): 1}
+    assert sorted((r["text"], r["doc_id"]) for r in minhash_dedup.keep_one(df).collect()) == [(a, None), (b, None), (c, 7), (d, 7)]
+
+
 def test_op3_signature_estimates_similarity():
     rng = np.random.default_rng(3)
     idf = np.full(minhash_dedup.SLOTS, 5, np.float32)
