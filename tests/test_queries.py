@@ -1,5 +1,6 @@
 """The registered queries against their SQL."""
 
+import hashlib
 import os
 
 import duckdb
@@ -31,6 +32,13 @@ def test_query(spark, db, name):
     assert sorted(rows, key=key) == sorted((tuple(x[i] for i in order) for x in r.fetchall()), key=key)
 
 
+def test_csv_roundtrip_of_many_lines(spark, tmp_path):
+    texts = ["a;b\n" * 101, 'say ""x"";\r\n"' * 500, "\n" * 3000, "plain"]
+    spark.createDataFrame([(i, "en", t) for i, t in enumerate(texts)], "doc_id long, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["text_md5"] for r in QUERIES["csv_roundtrip"](spark, str(tmp_path)).collect()}
+    assert got == {i: hashlib.md5(t.encode()).hexdigest() for i, t in enumerate(texts)}
+
+
 def test_entry_needs_no_llm():
     import __spark_entry__ as e
 
