@@ -23,7 +23,7 @@ from ._shared import batch_texts, bounded_batches, words, written
 WINDOW = 2048
 END = 1
 SHARD_TOKENS = 2_000_000
-QUERY_TERMS = 24
+ASKED = 64  # neighbours ranked at first; further ones are ranked while the window has room
 K1, B = 1.2, 0.75
 CACHED_WORDS = 1_200_000  # a worker's cache of words is emptied beyond this
 
@@ -141,28 +141,53 @@ class Index:
         self.n = len(docs)
         of = np.repeat(np.arange(self.n, dtype=np.int64), [len(d) for d in docs])
         key, tf = np.unique(of << 16 | np.concatenate(docs), return_counts=True)
+        own = key & 0xFFFF != END  # every document has it
+        key, tf = key[own], tf[own]
         self.doc, self.term = key >> 16, key & 0xFFFF
         size = np.array([len(d) for d in docs])[self.doc]
-        weight = (idf[self.term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / mean))).astype(np.float32)
+        weight = idf[self.term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / mean))
         self.first = np.searchsorted(self.doc, np.arange(self.n + 1))
-        self.gain = idf[self.term] * np.log1p(tf)
         order = np.argsort(self.term, kind="stable")
-        self.posting, self.weight = self.doc[order], weight[order]
+        self.posting, self.weight = self.doc[order], weight[order].astype(np.float64)
         self.at = np.searchsorted(self.term[order], np.arange((1 << 16) + 1))
+        # Terms of an eighth of the documents or more have a row for all documents: together 8 x the postings at most.
+        common = np.flatnonzero(np.diff(self.at) * 8 >= max(1, self.n))
+        self.row = np.full(1 << 16, -1)
+        self.row[common] = np.arange(len(common))
+        self.rows = np.zeros((len(common), self.n), np.float32)
+        for i, t in enumerate(common):
+            a, b = self.at[t], self.at[t + 1]
+            self.rows[i, self.posting[a:b]] = self.weight[a:b]
 
     def scores(self, seed: int) -> np.ndarray:
-        """BM25 of all documents for the seed's most telling terms."""
-        lo, hi = self.first[seed], self.first[seed + 1]
-        terms, gain = self.term[lo:hi], self.gain[lo:hi]
-        if len(terms) > QUERY_TERMS:
-            terms = terms[np.argpartition(-gain, QUERY_TERMS)[:QUERY_TERMS]]
-        out = np.zeros(self.n, np.float32)
-        for t in terms:
-            a, b = self.at[t], self.at[t + 1]
-            out[self.posting[a:b]] += self.weight[a:b]
+        """BM25 of all documents for all of the seed's terms."""
+        terms = self.term[self.first[seed] : self.first[seed + 1]]
+        rows = self.row[terms]
+        rare = terms[rows < 0]
+        spans = list(zip(self.at[rare].tolist(), self.at[rare + 1].tolist(), strict=True))
+        if spans:
+            out = np.bincount(np.concatenate([self.posting[a:b] for a, b in spans]), np.concatenate([self.weight[a:b] for a, b in spans]), self.n)
+        else:
+            out = np.zeros(self.n)
+        for i in rows[rows >= 0].tolist():
+            out += self.rows[i]
         return out
 
 
+def ranked(score: np.ndarray, asked: int = ASKED):
+    """The documents of positive score, best first and equal ones in order; ranked as far as they are asked for."""
+    at = np.flatnonzero(score > 0)
+    while len(at):
+        now, s = at, score[at]
+        if len(at) > asked:
+            least = np.partition(s, len(at) - asked)[len(at) - asked]
+            now, at = at[s >= least], at[s < least]
+        else:
+            at = at[:0]
+        yield from now[np.lexsort((now, -score[now]))].tolist()
+        asked *= 4
+
+
 def fill(docs: list[np.ndarray], idf: np.ndarray, mean: float, window: int = WINDOW):
     """Pieces (document, start, length, sequence, offset) in order of sequence and offset."""
     index = Index(docs, idf, mean)
@@ -188,19 +213,16 @@ def fill(docs: list[np.ndarray], idf: np.ndarray, mean: float, window: int = WIN
             seed = -1
             continue
         score = np.where(free, index.scores(seed), 0)
-        seed, k, asked = -1, 0, 64
-        near = np.argsort(-score, kind="stable")[:asked] if len(score) <= asked else np.argpartition(-score, asked)[:asked]
-        near = near[np.lexsort((near, -score[near]))]
-        near = near[score[near] > 0]
-        for k in near:
+        seed = -1
+        for k in ranked(score):
             free[k] = False
             take = min(len(docs[k]), room)
-            yield int(k), 0, take, seq, window - room
+            yield k, 0, take, seq, window - room
             room -= take
             if not room:
                 seq, room = seq + 1, window
                 if take < len(docs[k]):
-                    seed, start = int(k), take
+                    seed, start = k, take
                 break
 
 

@@ -132,6 +132,29 @@ def test_op2_neighbours():
     assert Counter({d: sum(p[2] for p in pieces if p[0] == d) for d in range(40)}) == Counter({d: 101 for d in range(40)})
 
 
+def _sequences(docs, window):
+    df = np.bincount(np.concatenate([np.unique(d) for d in docs]), minlength=1 << 16)
+    idf = np.log1p((len(docs) - df + 0.5) / (df + 0.5)).astype(np.float32)
+    own = defaultdict(list)
+    for d, _, _, s, _ in packing.fill(docs, idf, float(np.mean([len(d) for d in docs])), window):
+        own[s].append(d)
+    return own
+
+
+def test_op2_all_terms_count():
+    """A seed of many ids that no other document has is followed by the one that shares its other ids."""
+    unique = [np.arange(100 + 50 * i, 150 + 50 * i) for i in range(12)]
+    shared = [np.arange(10 + 10 * (i % 6), 20 + 10 * (i % 6)) for i in range(12)]
+    docs = [np.concatenate((u, s, [1])).astype(np.uint16) for u, s in zip(unique, shared, strict=True)]
+    assert all(d[0] % 6 == d[1] % 6 for d in _sequences(docs, 122).values())
+
+
+def test_op2_more_neighbours_than_asked():
+    """A window of short documents goes on with neighbours, however many, before unrelated documents."""
+    docs = [np.array([10 + i % 2, 100 + i, 1], np.uint16) for i in range(400)]
+    assert all(len({d % 2 for d in x}) == 1 for x in _sequences(docs, 600).values())
+
+
 def test_op2_special_texts():
     enc = packing.Encoder(packing.tokenizer_file())
     t = ["Ünï  CODE x　y", "a <|endoftext|> b", "<|x", "naïve café's 12ab ...", "\x00\x85z"]
