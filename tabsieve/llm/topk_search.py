@@ -1,13 +1,12 @@
 """Exact top-k search by integer inner product: the no-random-access algorithm (NRA), in blocks.
 
 Each dimension is a list of the candidates, sorted by the component; a query reads it from the end that its own
-component's sign favours. At a depth t, a candidate's unread components are bounded by the list's value at t (upper
-bound) and by the list's last value (lower bound). Reading stops once no candidate outside the k best lower bounds has
-an upper bound above the k-th lower one; candidates that still overlap are resolved by their final scores.
+component's sign favours, a round of entries at a time. A candidate's unread components are bounded by the list's value
+at the present depth (upper bound) and by the list's last value (lower bound). Each query stops on its own: once no
+outsider's upper bound reaches the k-th lower one, only the candidates that still overlap are resolved by final scores.
 
-With the components clipped at the lists' values at t, both bounds of many queries are one matrix product. Blocks of
-queries meet blocks of candidates (the stated query set against all rows), each block keeps its own lists, and only k
-rows of each query and block go on to the final merge.
+Blocks of queries meet blocks of candidates (the stated query set against all rows), each block keeps its own lists,
+and only k rows of each query and block go on to the final merge.
 """
 
 from __future__ import annotations
@@ -24,88 +23,104 @@ from ._shared import written
 from .vectors import numbered
 
 SCALE = 256
-DEPTHS = (0.25, 0.5)  # of the lists, where bounds are taken
+ROUNDS = 20  # in which a list is read, if it is read to its end
+FEW = 8  # times k: so few candidates that overlap are resolved at once
 QUERY_BLOCK, ROW_BLOCK = 2048, 8192
-PART = 128  # queries bounded at once
 
 
-def nra_block(qid: np.ndarray, q: np.ndarray, rid: np.ndarray, x: np.ndarray, k: int):
-    """For each query, its k best (row, score) among the block's rows, ties to the smaller id; never a row of the query's own id.
+class Lists:
+    """A block's lists: the rows of each dimension in order of their components, and the components."""
+
+    def __init__(self, x: np.ndarray):
+        self.x = x
+        self.n, self.dims = x.shape
+        self.rows = np.argsort(x, axis=0, kind="stable").T.copy()
+        self.values = np.take_along_axis(x, self.rows.T, axis=0).T.copy()
+
+    def candidates(self, q: np.ndarray, k: int, own: int = -1) -> tuple[np.ndarray, int]:
+        """(rows that can be among the k best for q, with all of these among them; entries read of each list). own: a row to leave out."""
+        n, on = self.n, np.flatnonzero(q)
+        others = n - (own >= 0)
+        alive = np.delete(np.arange(n), own) if own >= 0 else np.arange(n)
+        if others <= k or not len(on):
+            return alive, 0
+        # Lists that the query favours at their upper end are read backwards.
+        rows, values = self.rows[on], self.values[on] * q[on, None]
+        up = q[on] > 0
+        rows[up], values[up] = rows[up, ::-1], values[up, ::-1]
+        worst = values[:, -1]
+        low = np.full(n, worst.sum())
+        if own >= 0:
+            low[own] = -np.inf
+        unread = np.ones((n, len(on)), np.float32)
+        column = np.broadcast_to(np.arange(len(on))[:, None], rows.shape)
+        step = max(1, math.ceil(n / ROUNDS))
+        for lo in range(0, n, step):
+            hi = min(n, lo + step)
+            low += np.bincount(rows[:, lo:hi].ravel(), (values[:, lo:hi] - worst[:, None]).ravel(), n)
+            unread[rows[:, lo:hi], column[:, lo:hi]] = 0
+            bound = values[:, hi - 1]
+            kth = np.partition(low, n - k)[n - k]
+            # No upper bound is below the sum of the present values: until that is below the k-th, nothing can go.
+            if bound.sum() >= kth:
+                continue
+            gap = bound - worst
+            high = low[alive] + unread[alive] @ gap.astype(np.float32)
+            alive = alive[high + 1.2e-7 * len(on) * gap.sum() >= kth]  # the product is in single precision
+            if len(alive) <= FEW * k:
+                return alive, hi
+        return alive, n
+
+
+def nra_block(q: np.ndarray, own: np.ndarray, rid: np.ndarray, x: np.ndarray, k: int):
+    """For each query, its k best (query, row, score) among the block's rows, ties to the smaller id; never the row own.
 
     Rows are given in order of their ids. Sums are exact: all products are integers below 2**53 in double precision.
     """
-    n, dims = x.shape
-    lists = np.sort(x, axis=0)
-    at = [min(n - 1, int(n * d)) for d in DEPTHS]
-    kk = min(n, k + 1)  # the query's own row may be among the best
-    for lo in range(0, len(q), PART):
-        part = q[lo : lo + PART]
-        signed = np.concatenate((np.maximum(part, 0), np.minimum(part, 0)), axis=1)
-        alive = np.arange(n)
-        for t in at:
-            # Read: the t largest of each list for positive query components, the t smallest for negative ones.
-            top, bottom = lists[n - 1 - t], lists[t]
-            seen = x[alive]
-            high, low = np.where(seen >= top, seen, top), np.where(seen <= bottom, seen, bottom)
-            upper = signed @ np.concatenate((high, low), axis=1).T
-            worst, best = np.where(seen >= top, seen, lists[0]), np.where(seen <= bottom, seen, lists[-1])
-            lower = signed @ np.concatenate((worst, best), axis=1).T
-            kth = np.partition(lower, len(alive) - kk, axis=1)[:, len(alive) - kk] if len(alive) > kk else np.full(len(part), -np.inf)
-            can = (upper >= kth[:, None]).any(axis=0)
-            if can.sum() >= kk:
-                alive = alive[can]
-            if len(alive) <= 4 * kk:
-                break
-        final = part @ x[alive].T  # resolve: the rest of the lists for those that are left
-        for i in range(len(part)):
-            s = final[i]
-            own = rid[alive] == qid[lo + i]
-            s = np.where(own, -np.inf, s)
-            m = min(k, int((~own).sum()))
-            if m:
-                floor = np.partition(s, len(s) - m)[len(s) - m]
-                cand = np.flatnonzero(s >= floor)
-                cand = cand[np.lexsort((rid[alive][cand], -s[cand]))][:m]
-                for c in cand:
-                    yield lo + i, alive[c], int(s[c])
+    lists = Lists(x)
+    for i in range(len(q)):
+        alive, _ = lists.candidates(q[i], k, int(own[i]))
+        final = x[alive] @ q[i]
+        for c in np.lexsort((alive, -final))[:k]:
+            yield i, alive[c], int(final[c])
 
 
 def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = SCALE) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row whose id is divisible by `every`, its k best other rows.
 
     Components are floor(scale * x). Vectors that are null, empty or hold null or non-finite components take no part,
-    nor do rows with a null vec_id or of another length than most. Rows with the query's own id are its own. Repeated
-    rows are candidates each. Ties go to the smaller vec_id. A query without candidates gives no rows.
+    nor do rows with a null vec_id. A query meets the vectors of its own length. Repeated rows are candidates each, and
+    queries each: two rows of one id give two lists under it, each holding the other row. Ties go to the smaller
+    vec_id. A query without candidates gives no rows.
     """
     rows = numbered(vectors).where("v is not null and vec_id is not null").select("vec_id", F.transform("v", lambda x: F.floor(x * scale)).alias("v"))
-    rows = written(rows, "topk")
-    sizes = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    out = "query_id long, vec_id long, score long"
-    if sizes is None:
-        return rows.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0).cast("long").alias("score")).limit(0)
-    rows = rows.where(F.size("v") == sizes["d"])
-    n = sizes["count"]
-    n_queries = rows.where(F.col("vec_id") % every == 0).count()
-    qb, rb = max(1, math.ceil(n_queries / QUERY_BLOCK)), max(1, math.ceil(n / ROW_BLOCK))
-    block = lambda m, salt: F.pmod(F.xxhash64(F.lit(salt), "vec_id"), F.lit(m)).cast("int")
-    queries = rows.where(F.col("vec_id") % every == 0).select(F.lit(True).alias("q"), block(qb, 1).alias("i"), F.explode(F.sequence(F.lit(0), F.lit(rb - 1))).alias("j"), "vec_id", "v")
-    cands = rows.select(F.lit(False).alias("q"), F.explode(F.sequence(F.lit(0), F.lit(qb - 1))).alias("i"), block(rb, 2).alias("j"), "vec_id", "v")
+    rows = written(rows.withColumns({"dims": F.size("v"), "uid": F.monotonically_increasing_id()}), "topk")
+    n = rows.agg(F.count(F.lit(1)).alias("rows"), F.count(F.when(F.col("vec_id") % every == 0, 1)).alias("queries")).first()
+    qb, rb = max(1, math.ceil(n["queries"] / QUERY_BLOCK)), max(1, math.ceil(n["rows"] / ROW_BLOCK))
+    block = lambda m, salt: F.pmod(F.xxhash64(F.lit(salt), "uid"), F.lit(m)).cast("int")
+    whole = ["dims", "uid", "vec_id", "v"]
+    queries = rows.where(F.col("vec_id") % every == 0).select(F.lit(True).alias("q"), block(qb, 1).alias("i"), F.explode(F.sequence(F.lit(0), F.lit(rb - 1))).alias("j"), *whole)
+    cands = rows.select(F.lit(False).alias("q"), F.explode(F.sequence(F.lit(0), F.lit(qb - 1))).alias("i"), block(rb, 2).alias("j"), *whole)
 
     def run(t: pa.Table) -> pa.Table:
-        t = t.sort_by("vec_id")
+        t = t.sort_by([("vec_id", "ascending"), ("uid", "ascending")])
         is_q = t.column("q").to_numpy()
-        ids = t.column("vec_id").to_numpy()
+        ids, uid = t.column("vec_id").to_numpy(), t.column("uid").to_numpy()
         v = t.column("v").combine_chunks().flatten().to_numpy().astype(np.float64).reshape(len(ids), -1)
         qi, ri, s = [], [], []
         if is_q.any() and not is_q.all():
-            for a, b, c in nra_block(ids[is_q], v[is_q], ids[~is_q], v[~is_q], k):
+            at = {u: i for i, u in enumerate(uid[~is_q].tolist())}
+            own = np.array([at.get(u, -1) for u in uid[is_q].tolist()])
+            for a, b, c in nra_block(v[is_q], own, ids[~is_q], v[~is_q], k):
                 qi.append(a)
                 ri.append(b)
                 s.append(c)
-        return pa.table({"query_id": pa.array(ids[is_q][qi] if qi else [], pa.int64()), "vec_id": pa.array(ids[~is_q][ri] if ri else [], pa.int64()), "score": pa.array(s, pa.int64())})
+        q, r = (np.array(x, np.int64) for x in (qi, ri))
+        cols = {"query": uid[is_q][q], "query_id": ids[is_q][q], "vec_id": ids[~is_q][r], "uid": uid[~is_q][r], "score": s}
+        return pa.table({c: pa.array(x, pa.int64()) for c, x in cols.items()})
 
-    best = queries.unionByName(cands).groupBy("i", "j").applyInArrow(run, out)
-    by = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    best = queries.unionByName(cands).groupBy("dims", "i", "j").applyInArrow(run, "query long, query_id long, vec_id long, uid long, score long")
+    by = W.partitionBy("query").orderBy(F.desc("score"), "vec_id", "uid")
     return best.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
@@ -115,16 +130,16 @@ def op9_topk_nra(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP9_SQL = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+  SELECT row_number() OVER () AS uid, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
   FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
-  SELECT a.vec_id AS query_id, b.vec_id AS vec_id, CAST(list_dot_product(a.q::DOUBLE[], b.q::DOUBLE[]) AS BIGINT) AS score
-  FROM v a JOIN v b ON a.vec_id <> b.vec_id
+  SELECT a.uid, a.vec_id AS query_id, b.vec_id AS vec_id, CAST(list_dot_product(a.q::DOUBLE[], b.q::DOUBLE[]) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.uid <> b.uid AND len(a.q) = len(b.q)
   WHERE a.vec_id % 50 = 0
 )
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
-FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+FROM (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY score DESC, vec_id) AS rank FROM s)
 WHERE rank <= 5
 """
