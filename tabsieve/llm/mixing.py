@@ -55,8 +55,10 @@ def mix_sources(docs: DataFrame, seed: int = 11, share: float = 1.5, most: float
 
     docs needs doc_id, source and text. weight: a column of relative inclusion weights within a source (null counts
     as 1); a document's expected copies never exceed `most`. Nulls: a null text has size 0, a null source is a source
-    of its own. Documents of size 0 get the whole copies only, as they add no words. Repeated rows (also with a null
-    doc_id) count each for itself; ties in rank go by row number of the written table. Empty input gives no rows.
+    of its own. Documents of size 0 get the whole copies only, as they add no words, and so does every document of a
+    source whose target is a whole multiple of its size: no rank is needed there. Repeated rows (also with a null
+    doc_id) count each for itself, with random numbers of their own; ties in rank go by row number of the written
+    table. Empty input gives no rows.
     Columns of docs named like an output are replaced.
     """
     made = ["size", "source_size", "target", "copies", "taken"]
@@ -64,8 +66,10 @@ def mix_sources(docs: DataFrame, seed: int = 11, share: float = 1.5, most: float
     keep = [c for c in (have if carry is None else carry) if c not in made]
     rel = F.greatest(F.coalesce(F.col(f"`{weight}`").cast("double"), F.lit(1.0)), F.lit(0.0)) if weight else F.lit(1.0)
     base = written(
-        docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row") if keep else F.lit(None).alias("row"), F.col("doc_id").alias("id"), F.col("source").cast("string").alias("src"), n_words(F.col("text")).alias("size"), rel.alias("rel"), F.monotonically_increasing_id().alias("uid")), "mixing"
+        docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row") if keep else F.lit(None).alias("row"), F.col("doc_id").alias("id"), F.col("source").cast("string").alias("src"), n_words(F.col("text")).alias("size"), rel.alias("rel"), F.xxhash64("text").alias("th"), F.monotonically_increasing_id().alias("uid")), "mixing"
     )
+    # Rows that repeat an id and a text get random numbers of their own, by their row; all others by id and text.
+    again = base.groupBy("id", "th").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("id").alias("id2"), F.col("th").alias("th2"), F.lit(True).alias("again"))
     sums = base.groupBy(F.col("src").alias("source")).agg(F.sum("size").alias("source_size"), F.sum(F.col("size") * F.col("rel")).alias("rel_size"), F.count(F.lit(1)).alias("docs"))
     sums = written(sums, "mixing-sources")
     n = sums.agg(F.count(F.lit(1)).alias("sources"), F.max("docs").alias("docs")).first()
@@ -74,13 +78,14 @@ def mix_sources(docs: DataFrame, seed: int = 11, share: float = 1.5, most: float
     per = written(per.join(sums.select(F.col("source").alias("s2"), "rel_size", "docs"), F.col("source").eqNullSafe(F.col("s2"))).drop("s2"), "mixing-targets")
 
     # Expected copies; the Pareto value q as q / (1 + q), from 0 to 1, the expected cut at a half.
-    u = (F.pmod(F.xxhash64(F.lit(seed), "id", "uid" if "doc_id" not in have else F.lit(0)), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
-    rows = base.join(small(per), F.col("src").eqNullSafe(F.col("source")))
+    u = (F.pmod(F.xxhash64(F.lit(seed), "id", "th", F.when(F.col("again"), F.col("uid"))), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
+    rows = base.join(written(again, "mixing-again"), F.col("id").eqNullSafe(F.col("id2")) & (F.col("th") == F.col("th2")), "left").drop("id2", "th2")
+    rows = rows.join(small(per), F.col("src").eqNullSafe(F.col("source")))
     lam = F.least(F.lit(float(most)), F.when(F.col("rel_size") > 0, F.col("target") / F.col("rel_size") * F.col("rel")).otherwise(F.lit(0.0)))
     rows = rows.withColumn("lam", lam).withColumn("whole", F.floor("lam")).withColumn("p", F.col("lam") - F.col("whole")).withColumn("u", u)
     rows = rows.withColumn("v", F.when((F.col("p") > 0) & (F.col("size") > 0), F.col("u") * (1 - F.col("p")) / (F.col("u") * (1 - F.col("p")) + (1 - F.col("u")) * F.col("p"))))
     bins = max(16, min(1 << 20, (n["docs"] or 0) // PER_BIN))
-    rows = rows.withColumn("bin", F.least(F.floor(F.col("v") * bins), F.lit(bins - 1)).cast("int"))
+    rows = rows.withColumn("bin", F.when(F.col("v").isNotNull(), F.least(F.floor(F.col("v") * bins), F.lit(bins - 1))).cast("int"))  # least skips nulls
 
     # Words still wanted by each source, and the bins at which its cut lies.
     hist = rows.groupBy("source", "bin").agg(F.sum("size").alias("words"), F.sum(F.col("size") * F.col("whole")).alias("certain"), F.count(F.lit(1)).alias("docs"), F.first("target").alias("target"))
@@ -98,6 +103,7 @@ def mix_sources(docs: DataFrame, seed: int = 11, share: float = 1.5, most: float
     edge = written(edge.select(F.col("source").alias("s2"), "want", "lo", F.coalesce("hi", F.lit(bins)).alias("hi"), "below"), "mixing-edges")
     rows = rows.join(small(edge), F.col("source").eqNullSafe(F.col("s2"))).drop("s2")
     near = rows.where("bin >= lo and bin <= hi").select("source", "uid", "size", "v", (F.col("want") - F.col("below")).alias("gap"))
+    near = written(near, "mixing-near")  # EDGE documents and a bin of each source
 
     def fill(t):
         """In rank order, each document that the words left still hold; then the one that ends nearest to none left."""

@@ -444,3 +444,23 @@ def test_op10(spark, docs, texts, edges, empty):
     weighted = mixing.mix_sources(docs.withColumn("w", F.when(F.col("doc_id") % 2 == 0, 3.0).otherwise(1.0)), weight="w").groupBy((F.col("doc_id") % 2).alias("odd")).agg((F.sum("taken") / F.sum("size")).alias("rate")).collect()
     rate = {r["odd"]: r["rate"] for r in weighted}
     assert rate[0] > rate[1]
+
+
+def test_op10_looks_at_few_documents_one_by_one(spark, monkeypatch):
+    """Capped sources, empty texts, missing ids and repeated rows: exact copies, and only a cut's documents are ranked in one task."""
+    near = []
+    monkeypatch.setattr(mixing, "written", lambda df, name, real=mixing.written: near.append(real(df, name)) or near[-1] if name == "mixing-near" else real(df, name))
+    monkeypatch.setattr(mixing, "EDGE", 16)
+    monkeypatch.setattr(mixing, "PER_BIN", 4)
+    rows = [(i, "w " * (i % 7), "big") for i in range(3000)] + [(None, "x y z", "big")] * 1500 + [(9, "p q", "big")] * 900
+    rows += [(10_000 + i, "a b" if i % 3 else "", "tiny") for i in range(300)] + [(20_000 + i, "", "void") for i in range(50)]
+    out = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string"), weights=(1, 50, 1)).collect()
+    assert len(out) == len(rows)
+    assert {r["copies"] for r in out if r["source"] == "tiny"} == {2} and {r["copies"] for r in out if r["source"] == "void"} <= {0, 2}
+    big = [r for r in out if r["source"] == "big"]
+    assert {r["copies"] for r in big if r["size"] == 0} == {int(big[0]["target"] / big[0]["source_size"])}
+    assert abs(sum(r["taken"] for r in big) - big[0]["target"]) <= 7
+    for same in ([r for r in big if r["doc_id"] is None], [r for r in big if r["doc_id"] == 9 and r["size"] == 2]):
+        assert len({r["copies"] for r in same}) == 2  # each is drawn for itself
+    per = near[0].groupBy("source").count().collect()
+    assert [r["source"] for r in per] == ["big"] and per[0]["count"] <= 16 + 4 * 8
