@@ -53,13 +53,31 @@ def base_spans(text: str, low: str | None = None) -> tuple[list, list]:
 
 
 def _within(parts: list, spans: list, scope) -> list[bool]:
-    """For each of parts, whether one of spans in the same scope is at most REACH away: an interval join by binary search."""
-    spans = sorted(spans)
-    starts, longest = [s for s, _ in spans], max((e - s for s, e in spans), default=0)
+    """For each of parts, whether another one of spans in the same scope is at most REACH away: an interval join.
+
+    Of each scope's spans in order of their starts, the furthest end so far and the furthest of another span are kept, so
+    a part is answered by one binary search, however dense or long the spans are.
+    """
+    spans = sorted(set(spans))
+    starts, scopes = [s for s, _ in spans], [scope(s) for s, _ in spans]
+    upto, best, second = [], None, -1
+    for i, (s, e) in enumerate(spans):
+        if not i or scopes[i] != scopes[i - 1]:
+            best, second = None, -1
+        if best is None or e > best[1]:
+            best, second = (s, e), best[1] if best else -1
+        else:
+            second = max(second, e)
+        upto.append((best, second))
     out = []
     for s, e in parts:
-        lo, hi = bisect_left(starts, s - REACH - longest), bisect_right(starts, e + REACH)
-        out.append(any(spans[i][1] >= s - REACH and scope(spans[i][0]) == scope(s) and spans[i] != (s, e) for i in range(lo, hi)))
+        own = scope(s)
+        i = min(bisect_right(starts, e + REACH), bisect_right(scopes, own)) - 1
+        if i < 0 or scopes[i] != own:
+            out.append(False)
+            continue
+        far, other = upto[i]
+        out.append((other if far == (s, e) else far[1]) >= s - REACH)
     return out
 
 
@@ -93,9 +111,9 @@ def scan(text: str | None) -> tuple[list, list]:
     all_ids, all_secrets = strong_ids + ids, strong_secrets + secrets
     linked_ids = [x for x, ok in zip(all_ids, _within(all_ids, all_secrets, scope), strict=True) if ok]
     linked_secrets = [x for x, ok in zip(all_secrets, _within(all_secrets, all_ids, scope), strict=True) if ok]
-    out = set(base)
-    out |= {(s, 3, e) for s, e in linked_ids if (s, e) not in set(strong_ids)}
-    out |= {(s, 4, e) for s, e in linked_secrets if (s, e) not in set(strong_secrets)}
+    out, known_ids, known_secrets = set(base), set(strong_ids), set(strong_secrets)
+    out |= {(s, 3, e) for s, e in linked_ids if (s, e) not in known_ids}
+    out |= {(s, 4, e) for s, e in linked_secrets if (s, e) not in known_secrets}
     if linked_ids and ("://" in low or "host" in low or "endpoint" in low or "server" in low):
         ends = [m.span() for m in _ENDPOINT.finditer(text)]
         near_id, near_secret = _within(ends, linked_ids, scope), _within(ends, linked_secrets, scope)
