@@ -238,6 +238,58 @@ def test_op4(spark, docs, edges, empty):
     assert {r["lang_pred"] for r in language_id.identify(edges, language_id.train(empty)).collect()} == {"und"}
 
 
+def test_op4_blocks_of_a_long_text(monkeypatch, texts):
+    """A text in blocks has the n-grams of the whole text, whatever the cuts meet."""
+    rng = np.random.default_rng(10)
+    own = ["".join(rng.choice(list("abÄz  --9\n"), n)) for n in (1, 2, 3, 40, 41, 300)] + ["  a", "a  ", " - ", "-", "x" * 97]
+    for t in [*own, *list(texts.values())[:10]]:
+        b = t.encode()
+        monkeypatch.setattr(language_id, "STEP", 1 << 30)
+        rows, _, letters = language_id._grams([b])
+        want = Counter(rows.ravel().tolist())
+        for step in (1, 2, 7, 40):
+            monkeypatch.setattr(language_id, "STEP", step)
+            got, n = Counter(), 0
+            for r, k in language_id._grams_of_long(b):
+                got.update(r.ravel().tolist())
+                n += k
+            none = 1 << language_id.BITS
+            assert {k: v for k, v in got.items() if k != none} == {k: v for k, v in want.items() if k != none} and n == letters[0]
+
+
+def test_op4_brute_force(spark, docs, texts, monkeypatch):
+    """Counts and posteriors against plain loops over n-grams, with the same hash; long texts in blocks agree."""
+    model = language_id.train(docs.where("doc_id < 120"))
+    names, matrix = model
+    counts = {x: Counter() for x in names}
+    own = docs.where("doc_id < 120").collect()
+    for r in own:
+        rows, _, _ = language_id._grams([r["text"].encode()])
+        counts[r["lang"]].update(x for x in rows.ravel().tolist() if x < 1 << language_id.BITS)
+    for i, x in enumerate(names):
+        total = sum(counts[x].values()) + 0.5 * (1 << language_id.BITS)
+        for k in list(counts[x])[:200]:
+            assert math.isclose(matrix[i, k], math.log((counts[x][k] + 0.5) / total), rel_tol=1e-4)
+    whole = {r["doc_id"]: r for r in language_id.identify(docs.select("doc_id", "text"), model).collect()}
+    for k, r in whole.items():
+        rows, _, _ = language_id._grams([texts[k].encode()])
+        sums = matrix[:, rows.ravel()].sum(axis=1, dtype=np.float64)
+        assert r["lang_pred"] == names[int(sums.argmax())] and math.isclose(r["score"], 1 / np.exp(sums - sums.max()).sum(), rel_tol=1e-3)
+
+
+def test_op4_memory_of_a_long_text(spark):
+    """A text of 20 MB takes a few times its size, not dozens."""
+    import tracemalloc
+
+    t = b"ein langer Text mit vielen Worten " * 600_000
+    language_id._letters()
+    tracemalloc.start()
+    n = sum(len(rows) for rows, _ in language_id._grams_of_long(t))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == len(t) + 1 and peak < 4 * len(t)
+
+
 # 5
 
 
