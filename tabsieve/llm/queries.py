@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .embedding_dedup import op1_pigeonhole_join
+from .embedding_dedup import OP1_SQL, op1_pigeonhole_join
 from .language_id import op4_language_id
 from .language_model import op8_pitman_yor_lm
 from .minhash_dedup import op3_minhash_dedup
@@ -26,4 +26,4 @@ QUERIES = {
     "op10_mix_sources": op10_mix_sources,
 }
 
-SQL: dict[str, str] = {"op9_topk_nra": OP9_SQL}
+SQL: dict[str, str] = {"op1_pigeonhole_join": OP1_SQL, "op9_topk_nra": OP9_SQL}

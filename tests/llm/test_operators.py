@@ -83,11 +83,13 @@ def brute_links(rows, cosine=0.98):
     return [(k, links[i], None if least[top(i)] == math.inf else least[top(i)]) for i, (k, _, _) in enumerate(rows)]
 
 
-def test_op1(spark, monkeypatch):
-    monkeypatch.setattr(embedding_dedup, "CROWD", 20)  # several parts a bin
+@pytest.mark.parametrize("crowd", [2000, 60, 4])
+def test_op1(spark, monkeypatch, crowd):
+    monkeypatch.setattr(embedding_dedup, "CROWD", crowd)  # few vectors a task: bins are cut by further coordinates, and cells into parts
     rng = np.random.default_rng(0)
     centres = rng.standard_normal((12, 20))
     rows = [(i, (centres[i % 12] + rng.standard_normal(20) * rng.choice([0.02, 0.15])).astype(np.float32).tolist(), int(i % 3 == 0)) for i in range(160)]
+    rows += [(300 + i, (centres[3] + rng.standard_normal(20) * 0.01).astype(np.float32).tolist(), 0) for i in range(60)]
     rows += [(200, rows[0][1], 1), (201, None, 1), (202, [0.0] * 20, 1), (203, [float("nan")] * 20, 1), (204, [None] * 20, 1), (205, rows[0][1], None), (206, rows[3][1][:7], 1), (207, [], 1), (None, rows[1][1], 0), (0, rows[0][1], 1)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumn("uid", F.lit("x")).withColumn("block", F.lit(1))
     got = sorted(((r["vec_id"], r["n_links"], r["component_id"]) for r in embedding_dedup.near_vectors(df).collect()), key=str)
@@ -95,6 +97,17 @@ def test_op1(spark, monkeypatch):
     assert embedding_dedup.near_vectors(df.limit(0)).count() == 0
 
 
+def test_op1_sql_and_extreme_components(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{SF}/embeddings.parquet'")
+    assert sorted(tuple(r) for r in embedding_dedup.op1_pigeonhole_join(spark, SF).collect()) == sorted(con.sql(embedding_dedup.OP1_SQL).fetchall())
+    rows = [(1, [1e-200, 2e-200], 0), (2, [1.0, 2.0], 0), (3, [1e200, 2e200], 0), (4, [2e200, -1e200], 0), (5, [5e-324, 0.0], 0)]
+    got = embedding_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert {r["vec_id"]: r["n_links"] for r in got} == {1: 2, 2: 2, 3: 2, 4: 0, 5: 0}
+
+
 # 2
 
 
