@@ -25,7 +25,7 @@ from .vectors import numbered
 SCALE = 256
 ROUNDS = 20  # in which a list is read, if it is read to its end
 FEW = 8  # times k: so few candidates that overlap are resolved at once
-QUERY_BLOCK, ROW_BLOCK = 2048, 8192
+QUERY_BLOCK, ROW_BLOCK = 1024, 4096
 
 
 class Lists:
