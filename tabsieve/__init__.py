@@ -1 +1 @@
-"""tabsieve: profiling, mapping, checked extraction and exact export of tabular data on Spark."""
+"""tabsieve: profiling, mapping, checked extraction and exact export of tables on Spark."""

@@ -10,17 +10,17 @@ from pyspark.sql import functions as F
 
 from .errors import StructureError
 from .operators.extract import Extraction, compile_plan
-from .operators.profile import AnalysisOptions, SheetProfile, analyze
+from .operators.profile import AnalysisOptions, SheetProfile, analyze_cells
 from .plans.mapping import Plan, by_header, check_structure, validate
 from .plans.precheck import Verdict, precheck
 from .plans.schema import Schema
 from .sinks.csv import CsvOptions, write_csv
 from .sinks.workbooks import SheetOut, write_ods, write_xlsx, write_zip_of_csv
-from .sources.scan import catalog, scan, table
+from .sources.scan import body, catalog, cells_of, header, scan, table
 
 
 @dataclass
-class Tabular:
+class Workbook:
     """A file (or files alike) in a store that Spark reads."""
 
     spark: SparkSession
@@ -37,15 +37,27 @@ class Tabular:
         return table(self.rows(sheet), header_row)
 
     def profile(self, sheet: int = 0, header_row: int = 0, analysis: AnalysisOptions | None = None) -> SheetProfile:
-        t = self.table(sheet, header_row)
-        found = analyze(t, "row_number", analysis, self.options.get("delimiter"))
-        found.columns = [c for c in found.columns if c.header != "row_number"]
-        found.header_row = header_row
-        return found
+        """The profile of a sheet's cells, with the kinds, numbers and dates that a workbook gives them."""
+        rows = self.rows(sheet).persist()  # read once: the profile is several passes
+        try:
+            found = body(rows, header_row)
+            if found is None:
+                return SheetProfile(0, [], header_row, sheet=sheet)
+            below, headers = found
+            own = rows.select("sheet", "source").first()
+            out = analyze_cells(cells_of(below, headers), below.count(), headers, analysis, self._delimiter(sheet))
+            out.header_row, out.sheet, out.name, out.source = header_row, sheet, own["sheet"], own["source"]
+            return out
+        finally:
+            rows.unpersist()
+
+    def _delimiter(self, sheet: int) -> str | None:
+        found = self.sheets().where(F.col("sheet_index") == sheet).select("delimiter").first()
+        return found and found["delimiter"]
 
     def headers(self, sheet: int = 0, header_row: int = 0) -> list[str | None] | None:
-        r = self.rows(sheet).where(F.col("row_number") > header_row).orderBy("row_number").select("cells").first()
-        return None if r is None else [c and c["text"] for c in r["cells"]]
+        found = header(self.rows(sheet), header_row)
+        return found and found[1]
 
     def plan(self, schema: Schema, culture: str | None = None, sheet: int = 0, header_row: int = 0, matcher: Callable | None = None) -> Plan:
         return by_header(self.headers(sheet, header_row) or [], schema, culture, matcher, sheet, None, header_row)
@@ -62,24 +74,24 @@ class Tabular:
         if headers is None:
             raise StructureError("structure.header-row-missing")
         first = self.rows(plan.sheet).where(F.col("row_number") > plan.header_row).agg(F.min("row_number")).first()[0]
-        body = self.rows(plan.sheet).where(F.col("row_number") > first).select("row_number", F.transform("cells", lambda c: c["text"]).alias("cells"))
+        body = self.rows(plan.sheet).where(F.col("row_number") > first).select("row_number", "cells")
         return compile_plan(body, plan, schema, cells="cells")
 
 
-def open_tabular(spark: SparkSession, path: str, **options) -> Tabular:
-    """options of csv: delimiter, encoding, quote."""
-    return Tabular(spark, path, options)
+def open_workbook(spark: SparkSession, path: str, **options) -> Workbook:
+    """options: how a csv is written (delimiter, encoding, quote), and bounds; see sources.files.OPTIONS."""
+    return Workbook(spark, path, options)
 
 
-def export(path: str, sheets: list[SheetOut], options: CsvOptions = CsvOptions(), level: int = 1) -> None:
-    """By the name's ending: .xlsx, .ods, .zip (of csv sheets), or a folder of csv parts of one sheet."""
+def export(path: str, sheets: list[SheetOut], options: CsvOptions = CsvOptions(), level: int = 1) -> dict[str, int]:
+    """By the name's ending: .xlsx, .ods, .zip (of csv sheets), or a folder of csv parts of one sheet. Paths may lie in any
+    store that Spark writes to. Returns the rows written of each sheet."""
     if path.endswith(".xlsx"):
-        write_xlsx(path, sheets, level)
-    elif path.endswith(".ods"):
-        write_ods(path, sheets, level)
-    elif path.endswith(".zip"):
-        write_zip_of_csv(path, sheets, options, level)
-    elif len(sheets) == 1:
-        write_csv(sheets[0].df, path, sheets[0].row, options)
-    else:
+        return write_xlsx(path, sheets, level)
+    if path.endswith(".ods"):
+        return write_ods(path, sheets, level)
+    if path.endswith(".zip"):
+        return write_zip_of_csv(path, sheets, options, level)
+    if len(sheets) != 1:
         raise ValueError("a csv holds one sheet")
+    return {sheets[0].name: write_csv(sheets[0].df.select(sheets[0].row, *[f"`{c}`" for c in sheets[0].columns]), path, sheets[0].row, options)}

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 
-class TabularError(Exception):
+class EngineError(Exception):
     """An error with a code."""
 
     def __init__(self, code: str, message: str = "", **arguments):
@@ -11,19 +11,19 @@ class TabularError(Exception):
         self.code, self.arguments = code, arguments
 
 
-class FormatError(TabularError):
+class FormatError(EngineError):
     """The file isn't what it claims to be, or of no kind that is read."""
 
 
-class LimitError(TabularError):
+class LimitError(EngineError):
     """A bound was passed."""
 
 
-class StructureError(TabularError):
+class StructureError(EngineError):
     """The file's sheet or header is not the one that was mapped."""
 
 
-class PlanError(TabularError):
+class PlanError(EngineError):
     """A mapping plan has faults; all of them are listed."""
 
     def __init__(self, faults: list[tuple[str, str]]):
@@ -31,5 +31,5 @@ class PlanError(TabularError):
         self.faults = faults
 
 
-class WriteError(TabularError):
+class WriteError(EngineError):
     """A value or a sheet can't be written so that it reads back exactly."""

@@ -98,7 +98,7 @@ def _made(day: Column, t: Column) -> Column:
 def date(text: Column, c: Culture) -> Column:
     """A date with day, month and year, perhaps a time; never completed from today. Patterns: ISO, the culture's numeric
     order with any of . / - between, year first, and month names."""
-    names = {n: i + 1 for i, n in enumerate(c.months)} | {n[:3]: i + 1 for i, n in enumerate(c.months)}
+    names = c.month_names()
     some = "|".join(sorted(map(re.escape, names), key=len, reverse=True))
     table = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])
     forms = [(rf"^(\d{{4}})(?:-|[./]\s?)(\d{{1,2}})(?:-|[./]\s?)(\d{{1,2}})\.?{TIME}", "$1-$2-$3")]

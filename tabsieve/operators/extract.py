@@ -7,36 +7,67 @@ review and the summaries are filters and aggregates over that projection.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import readings as R
 from ..functions.cultures import culture
 from ..plans.mapping import Plan, validate
 from ..plans.schema import Alternatives, Field, Schema
+from .profile import typed_cell
 
 ERROR = "struct<row_number:bigint,column_index:int,field_name:string,code:string,raw_value:string>"
 SQL_TYPE = {"Text": "string", "Integer": "bigint", "Decimal": R.WHOLE, "Date": "timestamp_ntz", "Boolean": "boolean"}
 
 
-def read(text: Column, f: Field, c, accept_other: bool) -> tuple[Column, Column]:
-    """(typed value, whether it was read with the other decimal separator)."""
+@dataclass(frozen=True)
+class Native:
+    """What a file or table itself says of a value: its kind, number and date. exact: a number held exactly, in place of num."""
+
+    kind: Column
+    num: Column
+    date: Column
+    exact: Column | None = None
+
+    def integer(self) -> Column:
+        is_number = self.kind == "Number"
+        if self.exact is not None:
+            return F.when(is_number & (F.floor(self.exact) == self.exact), self.exact.try_cast("bigint"))
+        whole = (F.floor(self.num) == self.num) & (self.num >= -(2.0**63)) & (self.num < 2.0**63)
+        return F.when(is_number & whole, self.num.cast("bigint"))
+
+    def decimal(self) -> Column:
+        return self.exact if self.exact is not None else R.from_double(self.num)
+
+
+def read(text: Column, f: Field, c, accept_other: bool, native: Native | None = None) -> tuple[Column, Column]:
+    """(typed value, whether it was read with the other decimal separator). A native value isn't read through the culture."""
     no = F.lit(False)
     if f.type == "Text":
         return text, no
-    if f.type == "Integer":
-        return R.integer(text, c), no
     if f.type == "Boolean":
         return R.boolean(text), no
+    if f.type == "Integer":
+        plain = R.integer(text, c)
+        return (plain if native is None else F.when(text.isNotNull(), F.coalesce(native.integer(), plain))), no
     if f.type == "Date":
-        return R.date(text, c), no
+        plain = R.date(text, c)
+        return (plain if native is None else F.when(text.isNotNull(), F.when(native.kind == "Date", native.date).otherwise(plain))), no
     plain = R.decimal(text, c)
-    if not accept_other:
-        return plain, no
-    other = R.other_separator(text, c)
-    return F.coalesce(plain, other), plain.isNull() & other.isNotNull()
+    other = R.other_separator(text, c) if accept_other else F.lit(None).cast(R.WHOLE)
+    was_other = plain.isNull() & other.isNotNull() if accept_other else no
+    value = F.coalesce(plain, other) if accept_other else plain
+    if native is not None:
+        is_number = native.kind == "Number"
+        value = F.when(text.isNotNull(), F.when(is_number, native.decimal()).otherwise(value))
+        was_other = F.coalesce(~is_number, F.lit(True)) & was_other
+    return value, was_other
 
 
 def _named(x: str) -> str:
@@ -96,6 +127,20 @@ class Extraction:
         good = self.rows.where("not blank and size(errors) = 0").orderBy("row_number").limit(n)
         return good.select("row_number", F.create_map(*[x for b in self.plan.bindings for x in (F.lit(b.field), F.col("texts")[_named(b.field)])]).alias("values"))
 
+    def mapped(self, mapper: Callable[[dict], tuple | dict], returns: str) -> DataFrame:
+        """Each produced row through mapper (a dict of its values by field -> a tuple or dict), on the executors. returns: the
+        rows' schema."""
+        names = {_named(b.field): b.field for b in self.plan.bindings}
+        schema = T.StructType.fromDDL(returns)
+        columns, arrow = schema.fieldNames(), to_arrow_schema(schema)
+
+        def run(batches):
+            for b in batches:
+                made = [mapper({names[k]: v for k, v in r.items()}) for r in b.to_pylist()]
+                yield pa.RecordBatch.from_pylist([x if isinstance(x, dict) else dict(zip(columns, x, strict=True)) for x in made], arrow)
+
+        return self.rows.where("not blank and size(errors) = 0").select("values.*").mapInArrow(run, schema)
+
     def read_all(self, limit: int = 100_000) -> list:
         """All produced rows on the driver; an error past the limit. AllOrNothing: none if any row fails."""
         if self.schema.policy == "AllOrNothing" and self.rows.where("not blank and size(errors) > 0").limit(1).count():
@@ -119,12 +164,15 @@ class Extraction:
         if window:
             yield window[0], window[-1], [] if errors and all_or_nothing else items, errors
 
-    def alternatives_report(self, name: str) -> DataFrame:
-        """One row a group: rows needing it, won, at each level, empty, incomplete, and invalid values passed over."""
+    def alternatives_report(self, name: str, reported_rows: int = 50) -> DataFrame:
+        """One row a group: rows needing it, won, at each level, empty, incomplete, and invalid values passed over; and
+        the first row numbers that stay unresolved or incomplete."""
         a = next(x for x in self.schema.alternatives if x.name == name)
         good = self.rows.where("not blank and size(errors) = 0")
         s = f"alt_{a.name}"
-        cols = [F.count(F.lit(1)).alias("rows_judged"), F.count_if(F.col(f"set_{name}").isNull()).alias("unresolved")]
+        unresolved = F.col(f"set_{name}").isNull()
+        firsts = {"unresolved_rows": unresolved}
+        cols = [F.count(F.lit(1)).alias("rows_judged"), F.count_if(unresolved).alias("unresolved")]
         bound = {b.field for b in self.plan.bindings}
         for i, g in enumerate(a.groups):
             st = F.col(f"`{s}`")[i]
@@ -133,6 +181,7 @@ class Extraction:
                 if not any(m in bound for m in x.any_of):
                     break
                 reach += 1
+            firsts[f"incomplete_rows_{i}"] = st["needed"] & (st["level"] < reach)
             cols += [
                 F.count_if(st["needed"]).alias(f"needing_{i}"),
                 F.count_if(st["won"]).alias(f"won_{i}"),
@@ -142,26 +191,54 @@ class Extraction:
                 F.coalesce(F.sum(F.when(~st["needed"], st["ignored"])), F.lit(0)).cast("long").alias(f"ignored_{i}"),
             ]
         one = good.agg(*cols)
-        return one.select("rows_judged", "unresolved", F.inline(F.array(*[F.struct(F.lit(g.name).alias("group"), *[F.col(f"{x}_{i}").alias(y) for x, y in (("needing", "rows_needing"), ("won", "won"), ("at", "rows_at_level"), ("empty", "empty"), ("incomplete", "incomplete"), ("ignored", "ignored_invalid_values"))]) for i, g in enumerate(a.groups)])))
+        for c, when in firsts.items():  # as many rows as are reported, by a top-n of their own
+            rows = good.where(when).select("row_number").orderBy("row_number").limit(reported_rows)
+            one = one.join(F.broadcast(rows.agg(F.sort_array(F.collect_list("row_number")).alias(c))))
+        return one.select("rows_judged", "unresolved", "unresolved_rows", F.inline(F.array(*[F.struct(F.lit(g.name).alias("group"), *[F.col(f"{x}_{i}").alias(y) for x, y in (("needing", "rows_needing"), ("won", "won"), ("at", "rows_at_level"), ("empty", "empty"), ("incomplete", "incomplete"), ("incomplete_rows", "incomplete_rows"), ("ignored", "ignored_invalid_values"))]) for i, g in enumerate(a.groups)])))
 
 
 def compile_plan(scan: DataFrame, plan: Plan, schema: Schema, row: str = "row_number", cells: str | None = None) -> Extraction:
-    """scan: row numbers and either an array column `cells` or columns by position (row's own left out)."""
+    """scan: row numbers and either an array column `cells` (of texts, or of a scan's cells) or columns by position (row's
+    own left out). The kinds, numbers and dates of a workbook's cells and of typed columns are taken as they are."""
     others = [c for c in scan.columns if c != row]
     validate(plan, schema, None if cells else len(others))
     c = culture(plan.culture)
-    raw = (lambda i: F.get(F.col(f"`{cells}`"), i)) if cells else (lambda i: F.col(f"`{others[i]}`").cast("string"))
-    bound = {b.field: b for b in plan.bindings}
-    step = scan.select(F.col(row).cast("long").alias("row_number"), *[R.trimmed(raw(b.column)).alias(f"raw_{k}") for k, b in enumerate(plan.bindings)], *([] if cells else [F.concat_ws("", *[F.coalesce(R.trimmed(F.col(f"`{x}`").cast("string")), F.lit("")) for x in others]).alias("all_text")]), *([F.exists(F.col(f"`{cells}`"), lambda x: R.trimmed(x).isNotNull()).alias("any_cell")] if cells else []))
+    typed_cells = bool(cells) and isinstance(scan.schema[cells].dataType.elementType, T.StructType)
+    native: dict[int, Native] = {}
+    first = [F.col(row).cast("long").alias("row_number")]
+    for k, b in enumerate(plan.bindings):
+        if typed_cells:
+            cell = F.get(F.col(f"`{cells}`"), b.column)
+            parts = {"raw": R.trimmed(cell["text"]), "kind": cell["kind"], "num": cell["num"], "date": cell["date"]}
+        elif cells:
+            parts = {"raw": R.trimmed(F.get(F.col(f"`{cells}`"), b.column))}
+        else:
+            own = scan.schema[others[b.column]]
+            cell = typed_cell(b.column, own)
+            parts = {"raw": cell["text"]}
+            if not isinstance(own.dataType, T.StringType):
+                parts |= {x: cell[x] for x in ("kind", "num", "date")}
+                if isinstance(own.dataType, (T.DecimalType, T.IntegralType)):
+                    parts["exact"] = F.col(f"`{own.name}`").try_cast(R.WHOLE)
+        first += [x.alias(f"{n}_{k}") for n, x in parts.items()]
+        if "kind" in parts:
+            native[k] = Native(*[F.col(f"{n}_{k}") if n in parts else None for n in ("kind", "num", "date", "exact")])
+    if typed_cells:
+        some = F.exists(F.col(f"`{cells}`"), lambda x: R.trimmed(x["text"]).isNotNull())
+    elif cells:
+        some = F.exists(F.col(f"`{cells}`"), lambda x: R.trimmed(x).isNotNull())
+    else:
+        some = F.coalesce(*[R.trimmed(F.col(f"`{x}`").cast("string")) for x in others], F.lit(None).cast("string")).isNotNull()
+    step = scan.select(*first, F.coalesce(some, F.lit(False)).alias("any_cell"))
     blank = F.lit(True)
     for k in range(len(plan.bindings)):
         blank = blank & F.col(f"raw_{k}").isNull()
-    step = step.withColumn("blank", blank).withColumn("nothing_mapped", F.col("blank") & (F.col("any_cell") if cells else F.col("all_text") != ""))
+    step = step.withColumn("blank", blank).withColumn("nothing_mapped", F.col("blank") & F.col("any_cell"))
     text = lambda k, b: F.when(~F.upper(F.col(f"raw_{k}")).isin([x.strip().upper() for x in b.treat_as_empty]), F.col(f"raw_{k}")) if b.treat_as_empty else F.col(f"raw_{k}")
     step = step.withColumns({f"text_{k}": text(k, b) for k, b in enumerate(plan.bindings)})
     typed, other = {}, F.lit(0)
     for k, b in enumerate(plan.bindings):
-        typed[f"value_{k}"], was_other = read(F.col(f"text_{k}"), schema[b.field], c, b.accept_other_separator)
+        typed[f"value_{k}"], was_other = read(F.col(f"text_{k}"), schema[b.field], c, b.accept_other_separator, native.get(k))
         other = other + was_other.cast("int")
     step = step.withColumns(typed | {"other_separator": F.coalesce(other, F.lit(0))})
 

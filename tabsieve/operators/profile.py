@@ -37,10 +37,11 @@ class AnalysisOptions:
                 raise ValueError(f"{n} must not be negative")
 
 
+KINDS = ("Text", "Number", "Date", "Boolean", "Error")
 CELL = "struct<column_index:int,name:string,kind:string,text:string,num:double,date:timestamp_ntz>"
 
 
-def _cell(i: int, f: T.StructField) -> Column:
+def typed_cell(i: int, f: T.StructField) -> Column:
     """A typed column's cell: kind, canonical text, number, date."""
     c, t = F.col(f"`{f.name}`"), f.dataType
     num = date = F.lit(None)
@@ -63,7 +64,7 @@ def cells(df: DataFrame, row: Column | str, columns: list[str] | None = None) ->
     row: the row's number, given by the scan or by a key, never derived from an order that a shuffle may change."""
     row = F.col(row) if isinstance(row, str) else row
     fields = [f for f in df.schema.fields if columns is None or f.name in columns]
-    made = F.array(*[_cell(i, f) for i, f in enumerate(fields)])
+    made = F.array(*[typed_cell(i, f) for i, f in enumerate(fields)])
     return df.select(row.cast("long").alias("row_number"), F.inline(made)).where("text is not null")
 
 
@@ -115,7 +116,7 @@ def column_facts(tallied: DataFrame, rows: int, cultures: tuple[str, ...]) -> Da
         F.count(F.lit(1)).cast("long").alias("distinct"),
         F.max("n").cast("long").alias("most"),
         _sum(F.col("b")).alias("booleans"),
-        *[_sum(F.col("kind") == k).alias(f"kind_{k.lower()}") for k in ("Text", "Number", "Date", "Boolean")],
+        *[_sum(F.col("kind") == k).alias(f"kind_{k.lower()}") for k in KINDS],
     ]
     for k in range(len(cs)):
         aggs += [_sum(F.col(f"i_{k}")).alias(f"integers_{k}"), _sum(F.col(f"d_{k}")).alias(f"decimals_{k}"), _sum(F.col(f"o_{k}")).alias(f"other_separator_{k}"), _sum(F.col(f"t_{k}").isNotNull()).alias(f"dates_{k}"), _sum(F.col(f"s_{k}")).alias(f"own_separator_{k}")]
@@ -240,25 +241,31 @@ class SheetProfile:
     columns: list[ColumnProfile]
     header_row: int = 0
     preferred_separator: str | None = None
+    sheet: int = 0
+    name: str | None = None
+    source: str | None = None
 
     def __getitem__(self, header: str) -> ColumnProfile:
         return next(c for c in self.columns if c.header == header)
 
 
 def analyze(df: DataFrame, row: Column | str, options: AnalysisOptions | None = None, delimiter: str | None = None) -> SheetProfile:
-    """Profiles df. What comes to the driver is bounded by columns and options, not by rows."""
+    """Profiles df, its columns typed or text."""
+    return analyze_cells(cells(df, row), df.count(), df.columns, options, delimiter)
+
+
+def analyze_cells(values: DataFrame, rows: int, headers: list[str], options: AnalysisOptions | None = None, delimiter: str | None = None) -> SheetProfile:
+    """Profiles cells (as cells() or a scan gives them). What comes to the driver is bounded by columns and options, not by rows."""
     from .hypotheses import hypotheses, separator_vote
 
     o = options or AnalysisOptions()
-    values = cells(df, row)
-    rows = df.count()
     tallied = tally(values).persist()
     cs = o.cultures
-    columns = [ColumnProfile(i, f.name, rows, is_unique=None if rows == 0 else False) for i, f in enumerate(df.schema.fields)]
+    columns = [ColumnProfile(i, h, rows, is_unique=None if rows == 0 else False) for i, h in enumerate(headers)]
     for r in column_facts(tallied, rows, cs).collect():
         c = columns[r["column_index"]]
         c.non_empty, c.min_length, c.max_length, c.distinct, c.booleans, c.is_unique = (r[k] for k in ("non_empty", "min_length", "max_length", "distinct", "booleans", "is_unique"))
-        c.kinds = {k: r[f"kind_{k.lower()}"] for k in ("Text", "Number", "Date", "Boolean") if r[f"kind_{k.lower()}"]}
+        c.kinds = {k: r[f"kind_{k.lower()}"] for k in KINDS if r[f"kind_{k.lower()}"]}
         c.readings = [Reading(n, *(r[f"{x}_{k}"] for x in ("integers", "decimals", "dates", "own_separator", "other_separator", "min_number", "max_number", "min_date", "max_date"))) for k, n in enumerate(cs)]
         number, date = max(x.numbers for x in c.readings), max(x.dates for x in c.readings)
         for k in range(len(cs)):

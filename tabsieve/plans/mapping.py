@@ -8,7 +8,7 @@ from collections.abc import Callable
 from dataclasses import asdict, dataclass
 
 from ..errors import PlanError, StructureError
-from ..functions.cultures import CULTURES
+from ..functions.cultures import known
 from .schema import Field, Schema
 
 
@@ -101,7 +101,7 @@ def faults(plan: Plan, schema: Schema, columns: int | None = None) -> list[tuple
         out.append(("mapping.invalid-header-row", str(plan.header_row)))
     if plan.sheet < 0:
         out.append(("mapping.invalid-sheet", str(plan.sheet)))
-    if plan.culture is not None and plan.culture.lower() not in {c.lower() for c in CULTURES}:
+    if known(plan.culture) is None:
         out.append(("mapping.unknown-culture", plan.culture))
     return out
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -51,13 +53,51 @@ def allowed_values(values, ignore_case: bool = False) -> Constraint:
     return Constraint("value.not-allowed", lambda t, v: t.isin(values), ("Text",), tuple(values))
 
 
-def pattern(regex: str) -> Constraint:
-    """Full match. Backreferences and look-around are refused: they need not end in linear time."""
-    import re
+def _may_explode(regex: str) -> bool:
+    """Whether a repetition holds another repetition or a choice, so that backtracking need not end in linear time."""
+    try:
+        tree = re._parser.parse(regex)
+    except re.error:
+        return True  # not what Python reads: the other engine decides
+
+    def within(part, repeated: bool) -> bool:
+        for op, arg in part:
+            name = str(op)
+            if name in ("MAX_REPEAT", "MIN_REPEAT", "POSSESSIVE_REPEAT"):
+                low, high, body = arg
+                if (repeated and low != high) or within(body, repeated or high > 1):
+                    return True
+            elif name == "BRANCH":
+                if repeated or any(within(x, repeated) for x in arg[1]):
+                    return True
+            elif name in ("SUBPATTERN", "ATOMIC_GROUP"):
+                if within(arg[-1] if name == "SUBPATTERN" else arg, repeated):
+                    return True
+        return False
+
+    return within(tree, False)
+
 
+def pattern(regex: str) -> Constraint:
+    """Full match, in time linear in the text. Backreferences and look-around are refused. A pattern that the JVM might
+    backtrack on without end is matched by an automaton (RE2, by Arrow batches)."""
     if re.search(r"\\[1-9]|\(\?[=!<]", regex):
         raise ValueError("backreferences and look-around are not allowed in a pattern")
-    return Constraint("value.pattern", lambda t, v: t.rlike(rf"\A(?:{regex})\z"), ("Text",), (regex,))
+    whole = rf"\A(?:{regex})\z"
+    if not _may_explode(regex):
+        return Constraint("value.pattern", lambda t, v: t.rlike(whole), ("Text",), (regex,))
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    try:
+        pc.match_substring_regex(pa.array([""]), whole)
+    except pa.ArrowInvalid as e:
+        raise ValueError(f"{regex!r} is no pattern: {e}") from e
+
+    def matches(t: pd.Series) -> pd.Series:
+        return pc.match_substring_regex(pa.array(t, pa.string()), whole).to_pandas()
+
+    return Constraint("value.pattern", lambda t, v: F.pandas_udf(matches, "boolean")(t), ("Text",), (regex,))
 
 
 def luhn(code: str = "rule.luhn") -> Constraint:

@@ -11,7 +11,8 @@ from pyspark.sql import types as T
 from ..errors import WriteError
 from ..functions import readings as R
 from ..functions.cultures import culture
-from ..sources.dialect import MAX_FIELD_CHARS, MAX_QUOTED_LINES
+from ..sources.dialect import MAX_QUOTED_LINES
+from .checks import check_headers, problem
 
 
 @dataclass(frozen=True)
@@ -22,6 +23,9 @@ class CsvOptions:
     formula_guard: bool = False
 
     def resolved(self) -> str:
+        """The delimiter. With a comma as decimal separator it is a semicolon, so that numbers stay whole."""
+        if self.delimiter is not None and (len(self.delimiter) != 1 or self.delimiter in '"\r\n' or self.delimiter.isalnum()):
+            raise WriteError("write.delimiter", repr(self.delimiter))
         return self.delimiter or (";" if culture(self.culture).decimal == "," else ",")
 
 
@@ -53,13 +57,12 @@ def refusals(df: DataFrame, row: str, options: CsvOptions = CsvOptions()) -> Dat
     found = []
     for i, f in enumerate(names):
         c = F.col(f"`{f.name}`")
-        code = F.lit(None).cast("string")
+        own = problem(f, "csv")
+        code = own
         if isinstance(f.dataType, T.StringType):
             breaks = F.regexp_count(c, F.lit("\r\n|\r|\n"))
             swallowed = (breaks > 0) & (F.lit(len(names)) >= 5) & (F.length(c) - F.length(F.replace(c, F.lit(d), F.lit(""))) >= len(names) - 1)
-            code = F.when(F.length(c) > MAX_FIELD_CHARS, "write.text-too-long").when(breaks > MAX_QUOTED_LINES, "write.too-many-lines").when(swallowed, "write.ambiguous-line-breaks")
-        elif isinstance(f.dataType, (T.DateType, T.TimestampType, T.TimestampNTZType)):
-            code = F.when(F.year(c) <= 1, "write.date-out-of-range")
+            code = F.coalesce(own, F.when(breaks > MAX_QUOTED_LINES, "write.too-many-lines").when(swallowed, "write.ambiguous-line-breaks"))
         found.append(F.struct(F.lit(i).alias("place"), F.lit(f.name).alias("column"), code.alias("code")))
     return df.select(F.col(row).alias("row_number"), F.inline(F.array(*found))).where("code is not null").select("row_number", "place", "column", "code")
 
@@ -79,19 +82,21 @@ def header_line(names: list[str], delimiter: str) -> str:
 
 
 def checked(df: DataFrame, row: str, options: CsvOptions = CsvOptions()) -> None:
+    check_headers([c for c in df.columns if c != row])
     bad = refusals(df, row, options).orderBy("row_number", "place").first()
     if bad:
         raise WriteError(bad["code"], f"row {bad['row_number']}, column {bad['column']}", row=bad["row_number"], column=bad["column"])
 
 
-def write_csv(df: DataFrame, path: str, row: str, options: CsvOptions = CsvOptions()) -> None:
-    """A folder of csv parts in row order, each with the header: every executor writes its own."""
+def write_csv(df: DataFrame, path: str, row: str, options: CsvOptions = CsvOptions()) -> int:
+    """A folder of csv parts in row order, each with the header: every executor writes its own. Returns the rows written."""
     checked(df, row, options)
     head = header_line([c for c in df.columns if c != row], options.resolved())
     mark = "﻿" if options.byte_order_mark else ""
     parts = lines(df, row, options).orderBy("row_number").select("value", F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("i"))
     first = F.pmod(F.col("i"), F.lit(1 << 33)) == 0
     parts.select(F.when(first, F.concat(F.lit(mark + head + "\r\n"), F.col("value"))).otherwise(F.col("value")).alias("value")).write.option("lineSep", "\r\n").text(path)
+    return df.count()
 
 
 def csv_bytes(df: DataFrame, row: str, options: CsvOptions = CsvOptions()):

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 
-_TEXT = r'(?:"[^"]*")?'
-_NUMBER = re.compile(rf"{_TEXT}(?P<whole>[#0,]+)(?:\.(?P<part>[0#]+))?(?P<percent>%)?{_TEXT}")
+_NUMBER = re.compile(r'(?:"(?P<before>[^"]*)")?(?P<whole>[#0,]+)(?:\.(?P<part>[0#]+))?(?P<percent>%)?(?:"(?P<after>[^"]*)")?')
 _DATE = re.compile(r'yyyy|yy|mm|m|dd|d|hh|h|ss|s|[/\-.:, ]|"[^"]*"|\\.')
 
 
@@ -23,6 +23,24 @@ def number_format(code: str) -> str:
     return code
 
 
+@dataclass(frozen=True)
+class NumberParts:
+    before: str
+    after: str
+    whole_digits: int
+    least_decimals: int
+    most_decimals: int
+    grouped: bool
+    percent: bool
+
+
+def number_parts(code: str) -> NumberParts:
+    """What a number format shows."""
+    m = _NUMBER.fullmatch(number_format(code))
+    part = m["part"] or ""
+    return NumberParts(m["before"] or "", m["after"] or "", m["whole"].count("0"), part.count("0"), len(part), "," in m["whole"], bool(m["percent"]))
+
+
 def date_format(code: str) -> list[str]:
     """The tokens of a date format, minutes told from months (`m` is minutes right after hours or right before seconds)."""
     tokens, at = [], 0

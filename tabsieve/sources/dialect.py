@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import codecs
 import io
+import re
 import zipfile
 from dataclasses import dataclass
 
@@ -91,43 +92,61 @@ def refuse(probe: bytes) -> None:
         raise FormatError("format.unsupported", "a markup document")
 
 
-def _records(text: str, quote: str | None) -> list[list[str]]:
-    """Lines of the probe as lists of characters outside of quotes; blank ones left out."""
-    out, line, inside = [], [], False
-    for ch in text:
-        if ch == quote:
-            inside = not inside
-        elif ch in "\r\n" and not inside:
-            if "".join(line).strip():
-                out.append(line)
-                if len(out) == PROBE_RECORDS:
-                    return out
-            line = []
-        elif not inside:
-            line.append(ch)
-    if "".join(line).strip():
-        out.append(line)
+def _probe_records(text: str, quote: str | None, open_tail: bool) -> list[str]:
+    """The probe's first records that hold anything; with a quote, line ends within quotes part none. open_tail: whether a
+    last record that the probe cuts inside quotes counts."""
+    pieces = re.split("\n", text)
+    out, held = [], ""
+    for i, piece in enumerate(pieces):
+        held = f"{held}\n{piece}" if held else piece
+        whole = not quote or held.count(quote) % 2 == 0
+        if not whole and (i < len(pieces) - 1 or not open_tail):
+            continue
+        record, held = held.rstrip("\r"), ""
+        if record:
+            out.append(record)
+        if len(out) == PROBE_RECORDS:
+            break
     return out
 
 
+def _unquoted(record: str, quote: str | None) -> str:
+    return "".join(record.split(quote)[::2]) if quote else record
+
+
+def _best_delimiter(lines: list[str], quote: str | None) -> tuple[str | None, bool]:
+    """(the delimiter that more than half of the lines have, whether all that have it have it equally often). That weighs
+    most, then how many lines have it, then how often the first of them does; ties go by the order of candidates."""
+    bare, best, top = [_unquoted(x, quote) for x in lines], (None, False), (False, 0, 0)
+    for d in DELIMITERS:
+        counts = [n for n in (x.count(d) for x in bare) if n]
+        if len(counts) * 2 <= len(bare):
+            continue
+        even = len(set(counts)) == 1
+        if (even, len(counts), counts[0]) > top:
+            best, top = (d, even), (even, len(counts), counts[0])
+    return best
+
+
+def _well_quoted(record: str, delimiter: str, quote: str) -> bool:
+    """Whether quotes stand only where fields begin and end, or doubled inside of them."""
+    q, d = re.escape(quote), re.escape(delimiter)
+    field = f"(?:{q}(?:[^{q}]|{q}{q})*{q}\r?|[^{q}{d}][^{q}{d}]*|)"
+    return re.fullmatch(f"{field}(?:{d}{field})*", record) is not None
+
+
 def detect_delimiter(text: str, quote: str | None = '"', full: bool = False) -> tuple[str, str]:
-    """(delimiter, how it was found). A candidate must be on more than half of the lines; consistent counts weigh most,
-    then presence, then the count on the first line that has it."""
+    """(delimiter, how it was found). An odd number of quotes is a stray one, or a quoted field that the probe cuts: the
+    whole records decide if they are even and well quoted, else quotes are taken for text."""
     if full and "\n" in text:
         text = text[: text.rindex("\n") + 1]
     if quote and text.count(quote) % 2:
+        lines = _probe_records(text, quote, False)
+        best, even = _best_delimiter(lines, quote)
+        if best and even and all(_well_quoted(x, best, quote) for x in lines):
+            return best, "Detected"
         quote = None
-    lines = _records(text, quote)
-    best, top = None, 0.0
-    for d in DELIMITERS:
-        counts = [line.count(d) for line in lines]
-        present = sum(1 for c in counts if c)
-        if not lines or present * 2 <= len(lines):
-            continue
-        first = next(c for c in counts if c)
-        score = sum(1 for c in counts if c == first) * 1e6 + present * 1e3 + first
-        if score > top:
-            best, top = d, score
+    best, _ = _best_delimiter(_probe_records(text, quote, True), quote)
     return (best, "Detected") if best else (";", "Fallback")
 
 

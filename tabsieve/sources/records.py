@@ -27,7 +27,7 @@ class Repairs:
         return not (self.unterminated or self.stray)
 
 
-def records(text: str, dialect: Dialect, repairs: Repairs | None = None, max_lines: int = MAX_QUOTED_LINES) -> Iterator[list[str]]:
+def records(text: str, dialect: Dialect, repairs: Repairs | None = None, max_lines: int = MAX_QUOTED_LINES, max_chars: int = MAX_FIELD_CHARS, max_columns: int = MAX_COLUMNS) -> Iterator[list[str]]:
     """Every record's fields as they stand; a blank line is a record of one empty field."""
     repairs = repairs if repairs is not None else Repairs()
     d, q, n = dialect.delimiter, dialect.quote, len(text)
@@ -38,7 +38,7 @@ def records(text: str, dialect: Dialect, repairs: Repairs | None = None, max_lin
                 lines.pop()
             for line in lines:
                 fields = line.split(d)
-                _check(fields)
+                _check(fields, max_chars, max_columns)
                 yield fields
         return
     stop = re.compile(f"[{re.escape(d)}\r\n]")
@@ -97,11 +97,11 @@ def records(text: str, dialect: Dialect, repairs: Repairs | None = None, max_lin
                 m = stop.search(text, at)
                 end = m.start() if m else n
                 value, at = text[at:end], end
-            if len(value) > MAX_FIELD_CHARS:
+            if len(value) > max_chars:
                 raise LimitError("limit.exceeded", f"a field of {len(value)} characters")
             fields.append(value)
-            if len(fields) > MAX_COLUMNS:
-                raise LimitError("limit.exceeded", f"more than {MAX_COLUMNS} columns")
+            if len(fields) > max_columns:
+                raise LimitError("limit.exceeded", f"more than {max_columns} columns")
             if at < n and text[at] == d:
                 at += 1
                 continue
@@ -129,8 +129,8 @@ def _stray_room(text: str, opened: int, d: str) -> int:
     return text.count(d, opened, min(ends, default=len(text)))
 
 
-def _check(fields: list[str]) -> None:
-    if len(fields) > MAX_COLUMNS:
-        raise LimitError("limit.exceeded", f"more than {MAX_COLUMNS} columns")
-    if any(len(f) > MAX_FIELD_CHARS for f in fields):
+def _check(fields: list[str], max_chars: int, max_columns: int) -> None:
+    if len(fields) > max_columns:
+        raise LimitError("limit.exceeded", f"more than {max_columns} columns")
+    if any(len(f) > max_chars for f in fields):
         raise LimitError("limit.exceeded", "a field is too long")

@@ -1,4 +1,4 @@
-"""Scans: tabular files as DataFrames of rows (sheet, row number, cells).
+"""Scans: files of rows as DataFrames of rows (sheet, row number, cells).
 
 Files are listed and read by Spark (binaryFile), so they may lie in any store that Spark reads; each file is one task's
 work, as a repaired csv's records depend on what comes before them. A csv that is proven to hold no quote is split by
@@ -9,11 +9,12 @@ from __future__ import annotations
 
 import os
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..errors import TabularError
+from ..errors import EngineError
 from .dialect import PROBE_BYTES, detect_dialect
 from .files import open_file
 
@@ -37,21 +38,28 @@ def scan(spark: SparkSession, path: str | list[str], sheet: int | None = None, *
                 for s in f.sheets:
                     if sheet is not None and s.index != sheet:
                         continue
-                    rows = []
+                    numbers, rows = [], []
                     for n, cells in f.rows(s.index):
-                        rows.append((n, [None if c.kind == "Empty" else {"kind": c.kind, "text": c.text, "num": c.num, "date": c.date} for c in cells]))
+                        numbers.append(n)
+                        rows.append(cells)
                         if len(rows) == BATCH:
-                            yield _batch(at, s, rows)
-                            rows = []
+                            yield _batch(at, s, numbers, rows)
+                            numbers, rows = [], []
                     if rows:
-                        yield _batch(at, s, rows)
+                        yield _batch(at, s, numbers, rows)
 
     return _binary(spark, path).mapInArrow(run, ROWS)
 
 
-def _batch(at, s, rows):
+def _batch(at, s, numbers, rows):
     n = len(rows)
-    return pa.record_batch([pa.array([at] * n), pa.array([s.index] * n, pa.int32()), pa.array([s.name] * n), pa.array([s.source] * n, pa.string()), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], _CELL)], ["path", "sheet_index", "sheet", "source", "row_number", "cells"])
+    ends = np.cumsum([0, *map(len, rows)], dtype=np.int32)
+    flat = [c for r in rows for c in r]
+    full = [c.kind != "Empty" for c in flat]
+    names = ["kind", "text", "num", "date"]
+    parts = [pa.array([c.kind for c in flat], pa.string()), pa.array([c.text for c in flat], pa.string()), pa.array([c.num for c in flat], pa.float64()), pa.array([c.date for c in flat], pa.timestamp("us"))]
+    cells = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(parts, names, mask=pa.array([not f for f in full], pa.bool_())))
+    return pa.record_batch([pa.array([at] * n), pa.array([s.index] * n, pa.int32()), pa.array([s.name] * n), pa.array([s.source] * n, pa.string()), pa.array(numbers, pa.int64()), cells.cast(_CELL)], ["path", "sheet_index", "sheet", "source", "row_number", "cells"])
 
 
 def catalog(spark: SparkSession, path: str | list[str], **options) -> DataFrame:
@@ -69,7 +77,7 @@ def catalog(spark: SparkSession, path: str | list[str], **options) -> DataFrame:
                         d = f.dialects[s.index]
                         out.append((at, s.index, s.name, s.source, s.format, s.visibility, d and d.encoding, d and d.delimiter, rows, f.repairs.stray, f.repairs.unterminated, None))
                     out += [(at, None, None, s.path, None, None, None, None, None, None, None, s.reason) for s in f.skipped]
-                except TabularError as e:
+                except EngineError as e:
                     out.append((at, None, None, None, None, None, None, None, None, None, None, e.code))
             names = ["path", "sheet_index", "sheet", "source", "format", "visibility", "encoding", "delimiter", "rows", "stray_quotes", "unterminated_quotes", "skipped"]
             types = [pa.string(), pa.int32(), *[pa.string()] * 6, *[pa.int64()] * 3, pa.string()]
@@ -78,21 +86,46 @@ def catalog(spark: SparkSession, path: str | list[str], **options) -> DataFrame:
     return _binary(spark, path).mapInArrow(run, "path string, sheet_index int, sheet string, source string, format string, visibility string, encoding string, delimiter string, rows long, stray_quotes long, unterminated_quotes long, skipped string")
 
 
-def table(rows: DataFrame, header_row: int = 0) -> DataFrame:
-    """Rows of one sheet as columns named by the header (position added where a name is empty or repeated), as text.
-
-    The header is the first row after header_row; columns reach as far as the last value of any row."""
+def header(rows: DataFrame, header_row: int = 0) -> tuple[int, list[str | None]] | None:
+    """(row number, texts) of the header: the first row after header_row."""
     head = rows.where(F.col("row_number") > header_row).orderBy("row_number").limit(1).select("row_number", F.transform("cells", lambda c: c["text"]).alias("h")).first()
+    return None if head is None else (head["row_number"], head["h"])
+
+
+def _last(cells: str = "cells") -> Column:
+    """How many cells a row has up to its last value."""
+    return F.coalesce(F.array_max(F.transform(cells, lambda c, i: F.when(c["text"].isNotNull(), i + 1).otherwise(0))), F.lit(0))
+
+
+def body(rows: DataFrame, header_row: int = 0) -> tuple[DataFrame, list[str]] | None:
+    """(rows below the header that hold a value, column headers); None if there is no header row. Columns reach as far as
+    the header's or any row's last value, so padding makes none; a header that is missing is empty."""
+    head = header(rows, header_row)
     if head is None:
+        return None
+    below = rows.where((F.col("row_number") > head[0]) & F.exists("cells", lambda c: c["text"].isNotNull()))
+    named = max((i + 1 for i, h in enumerate(head[1]) if h), default=0)
+    width = max(named, below.agg(F.max(_last())).first()[0] or 0)
+    return below, [(head[1][i] if i < len(head[1]) else None) or "" for i in range(width)]
+
+
+def cells_of(below: DataFrame, headers: list[str]) -> DataFrame:
+    """(row_number, column_index, name, kind, text, num, date) of rows below a header, one row a value, as the file types it."""
+    one = below.select("row_number", F.posexplode("cells").alias("column_index", "c")).where("c.text is not null")
+    return one.select("row_number", "column_index", F.get(F.array(*[F.lit(h) for h in headers]), F.col("column_index")).alias("name"), "c.kind", "c.text", "c.num", "c.date")
+
+
+def table(rows: DataFrame, header_row: int = 0) -> DataFrame:
+    """Rows of one sheet as columns named by the header (position added where a name is empty or repeated), as text."""
+    found = body(rows, header_row)
+    if found is None:
         return rows.select("row_number").limit(0)
-    width = max(len(head["h"]), rows.agg(F.max(F.size("cells"))).first()[0] or 0)
     names, seen = [], set()
-    for i in range(width):
-        h = (head["h"][i] if i < len(head["h"]) else None) or f"column_{i}"
+    for i, h in enumerate(found[1]):
+        h = h or f"column_{i}"
         names.append(h if h.lower() not in seen else f"{h}_{i}")
         seen.add(names[-1].lower())
-    body = rows.where((F.col("row_number") > head["row_number"]) & F.exists("cells", lambda c: c["text"].isNotNull()))
-    return body.select("row_number", *[F.get("cells", i)["text"].alias(n) for i, n in enumerate(names)])
+    return found[0].select("row_number", *[F.get("cells", i)["text"].alias(n) for i, n in enumerate(names)])
 
 
 def scan_plain_csv(spark: SparkSession, path: str, delimiter: str | None = None, quote: str = '"') -> DataFrame:

@@ -95,12 +95,12 @@ def _local(tag: str) -> str:
     return tag.rpartition("}")[2]
 
 
-def _package(data: bytes, kind: str) -> zipfile.ZipFile:
+def _package(data: bytes, kind: str, most: int | None = None) -> zipfile.ZipFile:
     try:
         z = zipfile.ZipFile(io.BytesIO(data))
     except zipfile.BadZipFile as e:
         raise FormatError("format.corrupt", str(e)) from e
-    if sum(i.file_size for i in z.infolist()) > MAX_UNCOMPRESSED[kind]:
+    if sum(i.file_size for i in z.infolist()) > (most or MAX_UNCOMPRESSED[kind]):
         raise LimitError("limit.exceeded", "the package holds too much")
     if any(i.flag_bits & 1 for i in z.infolist()):
         raise FormatError("format.unsupported", "an encrypted package")
@@ -119,8 +119,8 @@ def _xml(z: zipfile.ZipFile, name: str):
 class Xlsx:
     """An xlsx workbook: `sheets`, and rows(i) as (row number, cells)."""
 
-    def __init__(self, data: bytes):
-        self.z = _package(data, "Xlsx")
+    def __init__(self, data: bytes, max_bytes: int | None = None, max_sheets: int = MAX_SHEETS):
+        self.z = _package(data, "Xlsx", max_bytes)
         names = {n.lstrip("/"): n for n in self.z.namelist()}
         rels = self._relations("_rels/.rels") if "_rels/.rels" in names else {}
         book = next((t for kind, t in rels.values() if kind.endswith("/officeDocument")), "xl/workbook.xml")
@@ -144,8 +144,8 @@ class Xlsx:
             state = {"hidden": "Hidden", "veryHidden": "VeryHidden"}.get(e.get("state"), "Visible")
             self.sheets.append(Sheet(len(self.sheets), e.get("name") or f"Sheet{len(self.sheets) + 1}", "Xlsx", None, state))
             self.parts.append(target.lstrip("/") if target.startswith("/") else f"{self.base}/{target}".lstrip("/"))
-            if len(self.sheets) > MAX_SHEETS:
-                raise LimitError("limit.exceeded", f"more than {MAX_SHEETS} sheets")
+            if len(self.sheets) > max_sheets:
+                raise LimitError("limit.exceeded", f"more than {max_sheets} sheets")
         self._strings = self._dates = None
 
     def _relations(self, name: str) -> dict[str, tuple[str, str]]:
@@ -245,6 +245,8 @@ class Xlsx:
             x = float(v)
         except ValueError:
             return text_cell(v)
+        if not math.isfinite(x):
+            return text_cell(v)
         style = int(c.get("s") or 0)
         if style < len(self.dates()) and self.dates()[style] and (d := from_serial(x, self.date1904)):
             return date_cell(d)
@@ -272,8 +274,8 @@ def from_duration(text: str, null_date: datetime | None = None) -> datetime | No
 class Ods:
     """An OpenDocument spreadsheet: `sheets`, and rows(i) as (row number, cells)."""
 
-    def __init__(self, data: bytes):
-        self.z = _package(data, "Ods")
+    def __init__(self, data: bytes, max_bytes: int | None = None, max_sheets: int = MAX_SHEETS):
+        self.z = _package(data, "Ods", max_bytes)
         if "content.xml" not in self.z.namelist():
             raise FormatError("format.corrupt", "content.xml is missing")
         self.sheets, depth, hidden, style = [], 0, set(), None
@@ -288,6 +290,8 @@ class Ods:
                     if event == "start" and not depth:
                         seen = "Hidden" if self._get(e, "style-name") in hidden else "Visible"
                         self.sheets.append(Sheet(len(self.sheets), self._get(e, "name") or f"Sheet{len(self.sheets) + 1}", "Ods", None, seen))
+                        if len(self.sheets) > max_sheets:
+                            raise LimitError("limit.exceeded", f"more than {max_sheets} sheets")
                     depth += 1 if event == "start" else -1
                 elif event == "end" and tag == "table-row":
                     e.clear()
@@ -345,10 +349,17 @@ class Ods:
             waiting = 0
         return out
 
+    @staticmethod
+    def _says_error(c) -> bool:
+        """A failed formula is an empty text, and an error by an attribute of the producer's extension."""
+        return any(k.endswith("}value-type") and "extension" in k or k == "calcext:value-type" for k, v in c.attrib.items() if v == "error")
+
     def _cell(self, c) -> Cell:
-        kind, value = self._get(c, "value-type"), self._get(c, "value")
+        kind, value = next((v for k, v in c.attrib.items() if _local(k) == "value-type" and "ext" not in k), None), self._get(c, "value")
         try:
-            if kind in ("float", "percentage", "currency") and value is not None:
+            if self._says_error(c):
+                return Cell("Error", text_cell("\n".join(self._folded(p) for p in c if _local(p.tag) in ("p", "h"))).text or "#ERROR")
+            if kind in ("float", "percentage", "currency") and value is not None and math.isfinite(float(value)):
                 return number_cell(float(value))
             if kind == "date" and (d := self._get(c, "date-value")) and d.find("-") >= 4:
                 return date_cell(datetime.fromisoformat(d.rstrip("Z")))

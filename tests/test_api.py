@@ -2,7 +2,7 @@
 
 import pytest
 
-from tabsieve.api import export, open_tabular
+from tabsieve.api import export, open_workbook
 from tabsieve.errors import PlanError, StructureError
 from tabsieve.plans import schema as S
 from tabsieve.plans.mapping import Binding, Plan
@@ -13,7 +13,7 @@ CUSTOMERS = "id;name;country;signed_on;amount;active\n1001;Contoso Ltd;DE;2024-0
 
 def test_end_to_end(spark, tmp_path):
     (tmp_path / "c.csv").write_text(CUSTOMERS)
-    f = open_tabular(spark, str(tmp_path / "c.csv"))
+    f = open_workbook(spark, str(tmp_path / "c.csv"))
     schema = S.Schema((S.Field("id", "Integer").require().must_be_unique(), S.Field("name").require(), S.Field("country").with_rules(S.exact_length(2)), S.Field("signed on", "Date"), S.Field("amount", "Decimal")))
     p = f.profile()
     assert p.rows == 4 and p["amount"].hypotheses[0].culture == "de-DE" and p.preferred_separator == ","
@@ -26,7 +26,7 @@ def test_end_to_end(spark, tmp_path):
     assert [(e["row_number"], e["code"], e["raw_value"]) for e in errors] == [(4, "value.type-mismatch", "n/a"), (6, "value.type-mismatch", "x")]
     for name in ("out.xlsx", "out.ods", "out.zip"):
         export(str(tmp_path / name), [SheetOut("S", x.accepted(), "row_number")])
-        assert [c["text"] for c in open_tabular(spark, str(tmp_path / name)).rows().where("row_number = 2").first()["cells"]][:3] == ["1001", "Contoso Ltd", "DE"]
+        assert [c["text"] for c in open_workbook(spark, str(tmp_path / name)).rows().where("row_number = 2").first()["cells"]][:3] == ["1001", "Contoso Ltd", "DE"]
     with pytest.raises(PlanError):
         f.extract(Plan(()), schema)
     with pytest.raises(StructureError):
