@@ -16,7 +16,7 @@ from .sinks.csv import CsvOptions, lines, refusals
 from .sources.dialect import Dialect
 from .sources.records import records
 
-PROFILED = {"customer": "c_custkey", "orders": "o_orderkey", "part": "p_partkey", "supplier": "s_suppkey"}
+PROFILED = {"customer": "c_custkey", "orders": "o_orderkey", "part": "p_partkey", "supplier": "s_suppkey", "lineitem": "l_orderkey", "events": "event_id"}
 
 
 def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -30,7 +30,7 @@ def _values(spark, sf, table, columns=None):
 def profile_counts(spark, sf):
     """Rows, empties, distinct values and uniqueness of every column."""
     out = None
-    for table in ("customer", "orders"):
+    for table in ("customer", "orders", "lineitem", "events"):
         df = _t(spark, sf, table)
         rows = df.count()
         one = P.column_facts(P.tally(P.cells(df, PROFILED[table])), rows, ("",)).select(F.lit(table).alias("table_name"), F.col("name").alias("column_name"), "non_empty", F.col("empty").cast("long").alias("empty"), F.col("distinct").alias("distinct_count"), "is_unique")
@@ -38,13 +38,22 @@ def profile_counts(spark, sf):
     return out
 
 
-def _counts_sql(table, columns, key):
-    return " UNION ALL ".join(f"SELECT '{table}' AS table_name, '{c}' AS column_name, count(nullif(trim({c}::VARCHAR), '')) AS non_empty, count(*) - count(nullif(trim({c}::VARCHAR), '')) AS empty, count(DISTINCT nullif(trim({c}::VARCHAR), '')) AS distinct_count, count(DISTINCT nullif(trim({c}::VARCHAR), '')) = count(*) AS is_unique FROM {table}" for c in columns)
+_BY_SECOND = "date_trunc('second', ts)"  # a cell's text holds no fractions
+
+
+def _counts_sql(table, columns):
+    out = []
+    for c in columns:
+        v = f"nullif(trim({_BY_SECOND if c == 'ts' else c}::VARCHAR), '')"
+        out.append(f"SELECT '{table}' AS table_name, '{c}' AS column_name, count({v}) AS non_empty, count(*) - count({v}) AS empty, count(DISTINCT {v}) AS distinct_count, count(DISTINCT {v}) = count(*) AS is_unique FROM {table}")
+    return " UNION ALL ".join(out)
 
 
 COLUMNS = {
     "customer": ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"],
     "orders": ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"],
+    "lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"],
+    "events": ["event_id", "ts", "user_id", "event_type", "value", "props"],
 }
 
 
@@ -256,7 +265,7 @@ def formula_guard(spark, sf):
 QUERIES = {f.__name__: f for f in (profile_counts, profile_lengths, profile_number_range, top_values, first_samples, value_tally, rows_with_value_in, parse_counts, disagree_dates, grouped_numbers, extract_accept, extract_reject, review_summary, coverage, error_limit, allowed_values_large, alternatives_report, checksums, excel_serial, csv_roundtrip, csv_refusals, header_match, hypotheses, number_outliers, distinct_names, formula_guard)}
 
 SQL = {
-    "profile_counts": " UNION ALL ".join(_counts_sql(t, c, PROFILED[t]) for t, c in COLUMNS.items()),
+    "profile_counts": " UNION ALL ".join(_counts_sql(t, c) for t, c in COLUMNS.items()),
     "profile_lengths": " UNION ALL ".join(f"SELECT '{c}' AS column_name, min(length({e}))::INTEGER AS min_length, max(length({e}))::INTEGER AS max_length FROM documents WHERE {e} <> ''" for c in ("lang", "source", "text") for e in [f"regexp_replace(regexp_replace({c}, '^\\s+', ''), '\\s+$', '')"]),
     "profile_number_range": "SELECT 'o_totalprice' AS column_name, count(o_totalprice) AS numbers, min(o_totalprice)::DOUBLE AS min_number, max(o_totalprice)::DOUBLE AS max_number FROM orders UNION ALL SELECT 'o_custkey', count(o_custkey), min(o_custkey)::DOUBLE, max(o_custkey)::DOUBLE FROM orders",
     "top_values": " UNION ALL ".join(f"SELECT * FROM (SELECT '{c}' AS column_name, row_number() OVER (ORDER BY count(*) DESC, {c})::INTEGER AS place, {c} AS value, count(*) AS n FROM orders GROUP BY {c}) WHERE place <= 20" for c in ("o_orderpriority", "o_orderstatus")),
@@ -277,8 +286,20 @@ SQL = {
     "excel_serial": "SELECT l_orderkey, l_linenumber, date_diff('day', DATE '1899-12-30', l_shipdate::DATE)::DOUBLE AS serial, strftime(l_shipdate, '%Y-%m-%d') AS back FROM lineitem",
     "csv_roundtrip": "SELECT doc_id, lang, md5(text) AS text_md5 FROM documents",
     "csv_refusals": "SELECT doc_id AS row_number, 'text' AS column_name, 'write.too-many-lines' AS code FROM documents WHERE len(regexp_extract_all(text, '\\r\\n|\\r|\\n')) > 100",
+    "hypotheses": "SELECT c AS column_name, p::BIGINT AS place, t AS type, k AS culture, 1.0::DOUBLE AS confidence FROM (VALUES ('signed', 1, 'Date', 'de-DE'), ('signed', 2, 'Text', ''), ('english', 1, 'Decimal', ''), ('english', 2, 'Decimal', 'en-US'), ('english', 3, 'Text', ''), ('german', 1, 'Decimal', 'de-DE'), ('german', 2, 'Text', ''), ('plain', 1, 'Decimal', 'de-DE'), ('plain', 2, 'Text', '')) x(c, p, t, k)",
+    "header_match": "SELECT i::BIGINT AS column_index, h AS header, f AS field_name FROM (VALUES (0, 'CUST KEY', 'custkey'), (1, 'c-name', 'c_name'), (2, 'C.AcctBal', 'c_acctbal'), (4, 'segment', 'Segment')) x(i, h, f)",
     "number_outliers": "SELECT row_number() OVER (ORDER BY c_custkey)::INTEGER AS place, c_custkey::BIGINT AS row_number, 'none' AS value FROM customer WHERE c_custkey % 5 = 0 ORDER BY c_custkey LIMIT 20",
     "distinct_names": "SELECT n_nationkey, lower(regexp_replace(n_name, '[\\s_.-]', '', 'g')) AS name FROM nation",
     "formula_guard": "WITH c AS (SELECT c_custkey, c_acctbal::DECIMAL(18,2)::VARCHAR AS v FROM customer), t AS (SELECT c_custkey, CASE WHEN v LIKE '%.00' THEN left(v, length(v) - 3) ELSE rtrim(v, '0') END AS v FROM c) SELECT c_custkey, CASE WHEN v LIKE '-%' THEN '''' || v ELSE v END AS guarded FROM t",
 }
 del W
+
+from . import queries_files  # noqa: E402
+
+QUERIES |= queries_files.QUERIES
+SQL |= queries_files.SQL
+
+from . import queries_plans  # noqa: E402
+
+QUERIES |= queries_plans.QUERIES
+SQL |= queries_plans.SQL

@@ -21,8 +21,9 @@ def double_problem(x: Column) -> Column:
     """A double is read back through 15 significant digits. One that is written in so few passes without a second look."""
     text = x.cast("string")
     back = F.format_string("%.14e", x).try_cast("double")
-    lost = (F.abs(x) >= 7.9228162514264338e28) | ((x != 0) & (F.abs(x) < 5e-29)) | ~back.eqNullSafe(x)
-    return F.when(F.isnan(x) | (F.abs(x) == float("inf")), "write.not-finite").when((F.length(text) > 16) & lost, "write.precision-loss")
+    out_of_range = (F.abs(x) >= 7.9228162514264338e28) | ((x != 0) & (F.abs(x) < 5e-29))
+    lost = out_of_range | ((F.length(text) > 16) & ~back.eqNullSafe(x))
+    return F.when(F.isnan(x) | (F.abs(x) == float("inf")), "write.not-finite").when(lost, "write.precision-loss")
 
 
 def problem(f: T.StructField, form: str) -> Column:
