@@ -31,11 +31,17 @@ def _class(chars: str) -> str:
     return "[" + "".join(re.escape(c) for c in chars) + "]"
 
 
+def bare_integer(text: Column) -> Column:
+    """Digits alone, as most integers are written: they read alike in every culture, without further tests."""
+    return text.rlike("^-?[0-9]{1,18}$")
+
+
 def integer(text: Column, c: Culture) -> Column:
     """Sign, digits in well-formed groups; null unless it is in the range of 64 bits."""
     g = _class(c.group)
     ok = text.rlike(rf"^\s*[+-]?\d+(?:{g}\d{{3}})*\s*$")
-    return F.when(could_be_numeric(text) & ok, F.regexp_replace(text, rf"{g}|\s", "").try_cast("bigint"))
+    other = F.when(could_be_numeric(text) & ok, F.regexp_replace(text, rf"{g}|\s", "").try_cast("bigint"))
+    return F.when(bare_integer(text), text.try_cast("bigint")).otherwise(other)
 
 
 def _decimal_pattern(c: Culture) -> str:
@@ -44,16 +50,21 @@ def _decimal_pattern(c: Culture) -> str:
     return rf"^\s*(?:[+-]?\s*{number}(?:[eE][+-]?\d+)?|{number}(?:[eE][+-]?\d+)?[+-])\s*$"
 
 
-def _plain(text: Column, c: Culture) -> Column:
-    """The number without groups, with a decimal point and the sign in front; null if it isn't well formed."""
-    plain = F.regexp_replace(text, rf"{_class(c.group)}|\s", "")
-    plain = F.regexp_replace(plain, re.escape(c.decimal), ".") if c.decimal != "." else plain
-    return F.when(could_be_numeric(text) & text.rlike(_decimal_pattern(c)), F.regexp_replace(plain, r"^(.*\d\.?)([+-])$", "$2$1"))
+def _plain(text: Column, c: Culture, guarded: bool = False) -> Column:
+    """The number without groups, with a decimal point and the sign in front; null if it isn't well formed. guarded: it is
+    known to be possibly numeric."""
+    plain = F.translate(text, c.group + " \t\n\x0b\f\r", "")
+    plain = F.translate(plain, c.decimal, ".") if c.decimal != "." else plain
+    turned = F.when(plain.rlike("[+-]$"), F.concat(F.right(plain, F.lit(1)), F.substr(plain, F.lit(1), F.length(plain) - 1))).otherwise(plain)
+    fits = text.rlike(_decimal_pattern(c))
+    return F.when(fits if guarded else could_be_numeric(text) & fits, turned)
 
 
 def decimal(text: Column, c: Culture) -> Column:
     """As integer, with a decimal part, an exponent and a trailing sign too; decimal(38,18), null if it doesn't fit."""
-    return _plain(text, c).try_cast(WHOLE)
+    bare = text.rlike(rf"^-?[0-9]{{1,18}}(?:{re.escape(c.decimal)}[0-9]{{1,18}})?$")  # needs no further tests
+    plain = F.translate(text, ",", ".") if c.decimal == "," else text
+    return F.when(bare, plain.try_cast(WHOLE)).otherwise(_plain(text, c).try_cast(WHOLE))
 
 
 def reads_as_decimal(text: Column, c: Culture) -> Column:
@@ -61,6 +72,22 @@ def reads_as_decimal(text: Column, c: Culture) -> Column:
     return F.coalesce(F.abs(_plain(text, c).try_cast("double")) < 7.9228162514264338e28, F.lit(False))
 
 
+def number(text: Column, c: Culture) -> Column:
+    """(i whether an integer, v the value, d whether a decimal, o whether one with the other separator) of a text that could
+    be numeric: each pattern runs once."""
+    g = _class(c.group)
+
+    def read(plain: Column) -> Column:
+        whole = F.when(plain.isNotNull() & text.rlike(rf"^\s*[+-]?\d+(?:{g}\d{{3}})*\s*$"), plain.try_cast("bigint"))
+        value = plain.try_cast(WHOLE)
+        is_decimal = whole.isNull() & F.coalesce(F.abs(plain.try_cast("double")) < 7.9228162514264338e28, F.lit(False))
+        other = plain.isNull() & text.contains(c.other) & other_separator(text, c).isNotNull()
+        return F.struct(whole.isNotNull().alias("i"), F.coalesce(whole.cast(WHOLE), value).alias("v"), is_decimal.alias("d"), (~is_decimal & other).alias("o"))
+
+    bare = F.struct(F.lit(True).alias("i"), text.try_cast(WHOLE).alias("v"), F.lit(False).alias("d"), F.lit(False).alias("o"))
+    return F.when(bare_integer(text), bare).otherwise(let(_plain(text, c, guarded=True), read))
+
+
 def other_separator(text: Column, c: Culture) -> Column:
     """A plain decimal with the separator that isn't the culture's: digits on both sides, not three after it."""
     s = re.escape(c.other)
@@ -77,22 +104,31 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def _count(text: Column, marks: str) -> Column:
+    return F.length(text) - F.length(F.translate(text, marks, ""))
+
+
 def looks_like_date(text: Column) -> Column:
     """Cheap test before the costly readings."""
-    marks = F.length(text) - F.length(F.regexp_replace(text, r"[-/.]", ""))
-    words = F.length(text).between(8, 40) & text.rlike(r"\p{L}.*\d{4}$") & (F.length(text) - F.length(F.regexp_replace(text, r"[-/., ]", "")) >= 2)
-    return text.contains(":") | (marks >= 2) | words
+    words = F.length(text).between(8, 40) & (_count(text, "-/., ") >= 2) & text.rlike(r"\p{L}.*\d{4}$")
+    return (F.length(text) >= 4) & (text.contains(":") | (_count(text, "-/.") >= 2) | words)
 
 
 def _made(day: Column, t: Column) -> Column:
     """The date-time of y-m-d and the time at the end of t; a zone is read over, the wall clock stays."""
-    part = lambda i: F.try_element_at(F.split(day, "-"), F.lit(i)).try_cast("int")
     clock = r"(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,](\d{1,6}))?)?\d?\s*([AaPp][Mm])?\s*(?:[Zz]|[+-]\d{2}:?\d{2})?$"
-    hour, half = F.coalesce(F.regexp_extract(t, clock, 1).try_cast("int"), F.lit(0)), F.lower(F.regexp_extract(t, clock, 5))
-    hour = F.when(half == "pm", hour % 12 + 12).when(half == "am", hour % 12).otherwise(hour)
-    second = F.concat(F.lit("0"), F.regexp_extract(t, clock, 3), F.lit("."), F.regexp_extract(t, clock, 4), F.lit("0")).try_cast("decimal(10,6)")
-    year = part(1) + F.when(F.length(F.substring_index(day, "-", 1)) > 2, 0).when(part(1) < 50, 2000).otherwise(1900)
-    return F.when(year != 1, F.try_make_timestamp_ntz(year, part(2), part(3), hour, F.coalesce(F.regexp_extract(t, clock, 2).try_cast("int"), F.lit(0)), second))
+
+    def made(d: Column) -> Column:
+        part = lambda i: F.try_element_at(d, F.lit(i)).try_cast("int")
+        year = part(1) + F.when(F.length(F.try_element_at(d, F.lit(1))) > 2, 0).when(part(1) < 50, 2000).otherwise(1900)
+        at = lambda h, m, sec: F.when(year != 1, F.try_make_timestamp_ntz(year, part(2), part(3), h, m, sec))
+        hour, half = F.coalesce(F.regexp_extract(t, clock, 1).try_cast("int"), F.lit(0)), F.lower(F.regexp_extract(t, clock, 5))
+        hour = F.when(half == "pm", hour % 12 + 12).when(half == "am", hour % 12).otherwise(hour)
+        second = F.concat(F.lit("0"), F.regexp_extract(t, clock, 3), F.lit("."), F.regexp_extract(t, clock, 4), F.lit("0")).try_cast("decimal(10,6)")
+        timed = at(hour, F.coalesce(F.regexp_extract(t, clock, 2).try_cast("int"), F.lit(0)), second)
+        return F.when(t.contains(":"), timed).otherwise(at(F.lit(0), F.lit(0), F.lit(0).cast("decimal(10,6)")))
+
+    return F.when(day.isNotNull(), let(F.split(day, "-"), made))
 
 
 def date(text: Column, c: Culture) -> Column:
@@ -106,13 +142,23 @@ def date(text: Column, c: Culture) -> Column:
         forms.append((rf"^(\d{{1,2}})[./-]\s?(\d{{1,2}})[./-]\s?(\d{{4}}|\d{{2}}){TIME}", "$3-$2-$1" if c.order == "DMY" else "$3-$1-$2"))
 
     def read(t: Column) -> Column:
-        days = [F.when(t.rlike(p), F.regexp_replace(t, p, to)) for p, to in forms]
+        # A pattern that doesn't match leaves the text as it is, so one pass both tests and extracts.
+        def first_of(left: list) -> Column:
+            if not left:
+                return F.lit(None).cast("string")
+            (p, to), *rest = left
+            return let(F.regexp_replace(t, p, "=" + to), lambda x: F.when(x.startswith("="), F.substr(x, F.lit(2))).otherwise(first_of(rest)))
+
+        numeric = first_of(forms)
+        days = []
         for p, y, m, d in ((rf"^(\d{{1,2}})\.?[\s-]+({some})\.?,?[\s-]+(\d{{4}}){TIME}", 3, 2, 1), (rf"^({some})\.?\s+(\d{{1,2}}),?\s+(\d{{4}}){TIME}", 3, 1, 2)):
             get = lambda i, p=p: F.regexp_extract(t, p, i)
             days.append(F.when(t.rlike(p), F.concat_ws("-", get(y), F.try_element_at(table, get(m)).cast("string"), get(d))))
-        return F.when(looks_like_date(t), let(F.coalesce(*days), lambda day: _made(day, t)))
+        worded = F.when(t.rlike(r"\p{L}\p{L}"), F.coalesce(*days))
+        return F.when(looks_like_date(t), let(F.coalesce(numeric, worded), lambda day: _made(day, t)))
 
-    return let(F.lower(F.trim(text)), read)
+    iso = text.rlike("^[1-9][0-9]{3}-[0-9]{2}-[0-9]{2}$")  # as most dates are kept
+    return F.when(iso, text.try_cast("timestamp_ntz")).otherwise(let(F.lower(F.trim(text)), read))
 
 
 def has_own_separator(text: Column, c: Culture) -> Column:

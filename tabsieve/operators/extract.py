@@ -76,19 +76,29 @@ def _named(x: str) -> str:
 
 @dataclass
 class Extraction:
-    """rows: row_number, blank, nothing_mapped, values struct, errors array, other_separator, resolutions per set."""
+    """rows: row_number, blank, nothing_mapped, values struct, errors array, other_separator, resolutions per set.
+
+    Filters name `part`, the task's number: as that is not deterministic, a filter stays above the projection. Pushed
+    below, it would repeat every reading and rule in the condition.
+    """
 
     rows: DataFrame
     schema: Schema
     plan: Plan
 
+    def _good(self) -> DataFrame:
+        return self.rows.where("not blank and size(errors) = 0 and part >= 0")
+
+    def _bad(self) -> DataFrame:
+        return self.rows.where("not blank and size(errors) > 0 and part >= 0")
+
     def accepted(self) -> DataFrame:
-        good = self.rows.where("not blank and size(errors) = 0")
+        good = self._good()
         return good.select("row_number", "values.*", *[F.col(f"`set_{a.name}`").alias(f"{a.name}_resolution") for a in self.schema.alternatives])
 
     def rejected(self) -> DataFrame:
         """One row an error, in the order of the row's errors."""
-        bad = self.rows.where("not blank").select("row_number", F.posexplode("errors").alias("place", "e"))
+        bad = self._bad().select("row_number", F.posexplode("errors").alias("place", "e"))
         return bad.select("row_number", "place", "e.column_index", "e.field_name", "e.code", "e.raw_value")
 
     def summary(self) -> DataFrame:
@@ -112,7 +122,7 @@ class Extraction:
 
     def coverage(self) -> DataFrame:
         """(field, filled, empty, share) over produced rows; shares rounded half-even to three places."""
-        good = self.rows.where("not blank and size(errors) = 0")
+        good = self._good()
         names = [_named(b.field) for b in self.plan.bindings]
         one = good.agg(F.count(F.lit(1)).alias("n"), *[F.count(F.col("values")[n]).alias(n) for n in names])
         rows = one.select("n", F.inline(F.array(*[F.struct(F.lit(b.field).alias("field"), F.col(n).alias("filled")) for b, n in zip(self.plan.bindings, names, strict=True)])))
@@ -120,11 +130,11 @@ class Extraction:
 
     def until_errors(self, limit: int = 1000) -> DataFrame:
         """rows up to the one with which `limit` rows have failed: reading stops there."""
-        cut = self.rows.where("not blank and size(errors) > 0").select("row_number").orderBy("row_number").limit(limit).agg(F.count(F.lit(1)).alias("n"), F.max("row_number").alias("cut"))
+        cut = self._bad().select("row_number").orderBy("row_number").limit(limit).agg(F.count(F.lit(1)).alias("n"), F.max("row_number").alias("cut"))
         return self.rows.join(F.broadcast(cut), (F.col("n") < limit) | (F.col("row_number") <= F.col("cut"))).drop("n", "cut")
 
     def preview(self, n: int) -> DataFrame:
-        good = self.rows.where("not blank and size(errors) = 0").orderBy("row_number").limit(n)
+        good = self._good().orderBy("row_number").limit(n)
         return good.select("row_number", F.create_map(*[x for b in self.plan.bindings for x in (F.lit(b.field), F.col("texts")[_named(b.field)])]).alias("values"))
 
     def mapped(self, mapper: Callable[[dict], tuple | dict], returns: str) -> DataFrame:
@@ -139,11 +149,11 @@ class Extraction:
                 made = [mapper({names[k]: v for k, v in r.items()}) for r in b.to_pylist()]
                 yield pa.RecordBatch.from_pylist([x if isinstance(x, dict) else dict(zip(columns, x, strict=True)) for x in made], arrow)
 
-        return self.rows.where("not blank and size(errors) = 0").select("values.*").mapInArrow(run, schema)
+        return self._good().select("values.*").mapInArrow(run, schema)
 
     def read_all(self, limit: int = 100_000) -> list:
         """All produced rows on the driver; an error past the limit. AllOrNothing: none if any row fails."""
-        if self.schema.policy == "AllOrNothing" and self.rows.where("not blank and size(errors) > 0").limit(1).count():
+        if self.schema.policy == "AllOrNothing" and self._bad().limit(1).count():
             return []
         out = self.accepted().orderBy("row_number").limit(limit + 1).collect()
         if len(out) > limit:
@@ -155,7 +165,7 @@ class Extraction:
     def chunks(self, size: int):
         """(first row, last row, items, errors) of windows of `size` read rows, in row order; rows come partition-wise."""
         window, items, errors, all_or_nothing = [], [], [], self.schema.policy == "AllOrNothing"
-        for r in self.rows.where("not blank").select("row_number", "values", "errors").orderBy("row_number").toLocalIterator():
+        for r in self.rows.where("not blank and part >= 0").select("row_number", "values", "errors").orderBy("row_number").toLocalIterator():
             window.append(r["row_number"])
             (errors.extend if r["errors"] else items.append)(r["errors"] if r["errors"] else r["values"])
             if len(window) == size:
@@ -168,7 +178,7 @@ class Extraction:
         """One row a group: rows needing it, won, at each level, empty, incomplete, and invalid values passed over; and
         the first row numbers that stay unresolved or incomplete."""
         a = next(x for x in self.schema.alternatives if x.name == name)
-        good = self.rows.where("not blank and size(errors) = 0")
+        good = self._good()
         s = f"alt_{a.name}"
         unresolved = F.col(f"set_{name}").isNull()
         firsts = {"unresolved_rows": unresolved}
@@ -275,7 +285,7 @@ def compile_plan(scan: DataFrame, plan: Plan, schema: Schema, row: str = "row_nu
     values = F.struct(*[F.col(f"value_{k}").cast(SQL_TYPE[schema[b.field].type]).alias(_named(b.field)) for k, b in enumerate(plan.bindings)])
     texts = F.struct(*[F.col(f"text_{k}").alias(_named(b.field)) for k, b in enumerate(plan.bindings)])
     keep = [F.col(f"`{p}_{a.name}`") for a in schema.alternatives for p in ("set", "alt")]
-    return Extraction(step.select("row_number", "blank", "nothing_mapped", values.alias("values"), texts.alias("texts"), "errors", "other_separator", *keep), schema, plan)
+    return Extraction(step.select(F.spark_partition_id().alias("part"), "row_number", "blank", "nothing_mapped", values.alias("values"), texts.alias("texts"), "errors", "other_separator", *keep), schema, plan)
 
 
 def _ladder(step: DataFrame, a: Alternatives, place: dict[str, int], plan: Plan) -> tuple[DataFrame, list[Column]]:

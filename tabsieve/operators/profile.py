@@ -74,30 +74,30 @@ def tally(values: DataFrame) -> DataFrame:
 
 
 def _readings(t: DataFrame, cultures: list[Culture]) -> DataFrame:
-    """tally with each culture's readings: i_k, d_k (number), o_k (other separator), t_k (date), s_k (own separator)."""
+    """tally with each culture's readings: i_k, d_k (number), o_k (other separator), t_k (date), s_k (own separator).
+    Cultures that read alike are evaluated once."""
     text, is_text = F.col("text"), F.col("kind") == "Text"
-    guard = R.could_be_numeric(text)
-
-    def reading(c):
-        def read(x):
-            whole = F.when(guard, R.integer(x, c).cast(R.WHOLE))
-            dec = F.coalesce(whole, F.when(guard, R.decimal(x, c)))
-            is_decimal = whole.isNull() & (dec.isNotNull() | (guard & R.reads_as_decimal(x, c)))
-            date = R.date(x, c)
-            return F.struct(whole.isNotNull().alias("i"), dec.alias("v"), is_decimal.alias("d"), (whole.isNull() & ~is_decimal & guard & R.other_separator(x, c).isNotNull()).alias("o"), date.alias("t"), (date.isNotNull() & R.has_own_separator(x, c)).alias("s"))
-
-        return read
-
     no = F.lit(False)
-    number = F.col("kind") == "Number"
-    whole = number & (F.floor("num") == F.col("num"))
-    native = F.struct(F.coalesce(whole, no).alias("i"), F.when(number, F.coalesce(text.try_cast(R.WHOLE), R.from_double(F.col("num")))).alias("v"), F.coalesce(number & ~whole, no).alias("d"), no.alias("o"), F.col("date").alias("t"), no.alias("s"))
+    is_number = F.col("kind") == "Number"
+    whole = is_number & (F.floor("num") == F.col("num"))
+    native = F.struct(F.coalesce(whole, no).alias("i"), F.when(is_number, F.coalesce(text.try_cast(R.WHOLE), R.from_double(F.col("num")))).alias("v"), F.coalesce(is_number & ~whole, no).alias("d"), no.alias("o"))
+    none = F.struct(no.alias("i"), F.lit(None).cast(R.WHOLE).alias("v"), no.alias("d"), no.alias("o"))
+    guard = is_text & R.could_be_numeric(text)
+    numbers, dates, made = {}, {}, {}
     for k, c in enumerate(cultures):
-        t = t.withColumn(f"r_{k}", F.when(is_text, R.let(text, reading(c))).otherwise(native))
-    for k in range(len(cultures)):
-        for x in ("i", "v", "d", "o", "t", "s"):
-            t = t.withColumn(f"{x}_{k}", F.col(f"r_{k}")[x])
-    return t.withColumn("b", (F.col("kind") == "Boolean") | (is_text & R.boolean(text).isNotNull()))
+        n = numbers.setdefault((c.decimal, frozenset(c.group)), k)
+        d = dates.setdefault((c.order, tuple(c.month_names().items())), k)
+        if n == k:
+            made[f"r_{k}"] = F.when(F.col("numeric"), R.number(text, c)).when(~is_text, native).otherwise(none)
+        if d == k:
+            made[f"t_{k}"] = F.when(is_text, R.date(text, c)).otherwise(F.col("date"))
+    t = t.withColumn("numeric", guard).withColumns(made)
+    out = {}
+    for k, c in enumerate(cultures):
+        n, d = numbers[c.decimal, frozenset(c.group)], dates[c.order, tuple(c.month_names().items())]
+        out |= {f"{x}_{k}": F.col(f"r_{n}")[x] for x in ("i", "v", "d", "o")}
+        out |= {f"t_{k}": F.col(f"t_{d}"), f"s_{k}": is_text & F.col(f"t_{d}").isNotNull() & R.has_own_separator(text, c)}
+    return t.withColumns(out).withColumn("b", (F.col("kind") == "Boolean") | (is_text & R.boolean(text).isNotNull()))
 
 
 def _sum(flag: Column) -> Column:
@@ -108,7 +108,7 @@ def column_facts(tallied: DataFrame, rows: int, cultures: tuple[str, ...]) -> Da
     """One row a column that has values: counts, lengths, distinct, kinds, each culture's readings and extremes, and for
     each pair of cultures the rows that they read differently."""
     cs = [culture(c) for c in cultures]
-    t = _readings(tallied, cs)
+    t = tallied if "numeric" in tallied.columns else _readings(tallied, cs)
     aggs = [
         F.sum("n").cast("long").alias("non_empty"),
         F.min(R.length16(F.col("text"))).alias("min_length"),
@@ -135,27 +135,27 @@ def first_values(values: DataFrame, n: int) -> DataFrame:
     return values.withColumn("place", F.row_number().over(by)).where(F.col("place") <= n).select("column_index", "name", "place", "row_number", "text")
 
 
-def _unread(name: str, dates: bool) -> Column:
-    """Whether a cell doesn't read as a number (or as a date) in a culture."""
-    c, text = culture(name), F.col("text")
-    if dates:
-        reads = F.when(F.col("kind") == "Text", R.date(text, c).isNotNull()).otherwise(F.col("kind") == "Date")
-    else:
-        reads = F.when(F.col("kind") == "Text", R.reads_as_decimal(text, c)).otherwise(F.col("kind") == "Number")
-    return ~F.coalesce(reads, F.lit(False))
-
-
 def outliers(values: DataFrame, name: str, n: int, dates: bool = False) -> DataFrame:
     """The first n values of each column, in row order, that don't read as a number (or as a date) in a culture."""
-    return first_values(values.where(_unread(name, dates)), n)
+    return all_outliers(values, (name,), n).where(F.col("dates") if dates else ~F.col("dates")).drop("culture", "dates")
 
 
-def all_outliers(values: DataFrame, cultures: tuple[str, ...], n: int) -> DataFrame:
-    """outliers() of all cultures and both kinds in one pass: (culture, dates, column_index, place, row_number, text)."""
-    which = F.array(*[F.struct(F.lit(c).alias("culture"), F.lit(d).alias("dates"), _unread(c, d).alias("unread")) for c in cultures for d in (False, True)])
-    one = values.select("column_index", "row_number", "text", F.inline(F.filter(which, lambda w: w["unread"]))).drop("unread")
+def all_outliers(values: DataFrame, cultures: tuple[str, ...], n: int, read: DataFrame | None = None) -> DataFrame:
+    """outliers() of all cultures and both kinds: (culture, dates, column_index, name, place, row_number, text).
+
+    Readings run once for each distinct value (read: the tally with them). The first n cells that don't read hold no
+    other values than the n distinct ones that come first, so only these few are looked up among all cells.
+    """
+    t = _readings(tally(values), [culture(c) for c in cultures]) if read is None else read
+    fails = []
+    for k, c in enumerate(cultures):
+        fails += [F.struct(F.lit(c).alias("culture"), F.lit(False).alias("dates"), (~(F.col(f"i_{k}") | F.col(f"d_{k}"))).alias("unread")), F.struct(F.lit(c).alias("culture"), F.lit(True).alias("dates"), F.col(f"t_{k}").isNull().alias("unread"))]
+    one = t.select("column_index", "kind", "text", "first_row", F.inline(F.filter(F.array(*fails), lambda w: F.coalesce(w["unread"], F.lit(True))))).drop("unread")
+    early = W.partitionBy("column_index", "culture", "dates").orderBy("first_row", "kind", "text")
+    few = one.withColumn("place", F.row_number().over(early)).where(F.col("place") <= n).drop("place", "first_row")
+    found = values.select("column_index", "name", "kind", "row_number", "text").join(F.broadcast(few), ["column_index", "kind", "text"])  # n values a column, culture and kind
     by = W.partitionBy("column_index", "culture", "dates").orderBy("row_number")
-    return one.withColumn("place", F.row_number().over(by)).where(F.col("place") <= n)
+    return found.withColumn("place", F.row_number().over(by)).where(F.col("place") <= n).select("culture", "dates", "column_index", "name", "place", "row_number", "text")
 
 
 def top_values(tallied: DataFrame, n: int) -> DataFrame:
@@ -259,8 +259,8 @@ def analyze_cells(values: DataFrame, rows: int, headers: list[str], options: Ana
     from .hypotheses import hypotheses, separator_vote
 
     o = options or AnalysisOptions()
-    tallied = tally(values).persist()
     cs = o.cultures
+    tallied = _readings(tally(values), [culture(c) for c in cs]).persist()
     columns = [ColumnProfile(i, h, rows, is_unique=None if rows == 0 else False) for i, h in enumerate(headers)]
     for r in column_facts(tallied, rows, cs).collect():
         c = columns[r["column_index"]]
@@ -281,7 +281,7 @@ def analyze_cells(values: DataFrame, rows: int, headers: list[str], options: Ana
         columns[r["column_index"]].values.append((r["text"], r["n"]))
     for c in columns:
         c.values_complete = len(c.values) == c.distinct
-    for r in all_outliers(values, cs, o.outlier_sample_size).orderBy("column_index", "place").collect():
+    for r in all_outliers(values, cs, o.outlier_sample_size, tallied).orderBy("column_index", "place").collect():
         c = columns[r["column_index"]]
         (c.date_outliers if r["dates"] else c.number_outliers).setdefault(r["culture"], []).append((r["row_number"], r["text"]))
     tallied.unpersist()

@@ -59,7 +59,7 @@ COLUMNS = {
 
 def profile_lengths(spark, sf):
     """Shortest and longest value, in UTF-16 units."""
-    t = P.tally(P.cells(_t(spark, sf, "documents"), "doc_id", ["lang", "source", "text"]))
+    t = P.tally(P.cells(_t(spark, sf, "documents"), "doc_id", ["doc_id", "lang", "source", "n_chars", "text"]))
     return P.column_facts(t, 0, ("",)).select(F.col("name").alias("column_name"), "min_length", "max_length")
 
 
@@ -266,7 +266,7 @@ QUERIES = {f.__name__: f for f in (profile_counts, profile_lengths, profile_numb
 
 SQL = {
     "profile_counts": " UNION ALL ".join(_counts_sql(t, c) for t, c in COLUMNS.items()),
-    "profile_lengths": " UNION ALL ".join(f"SELECT '{c}' AS column_name, min(length({e}))::INTEGER AS min_length, max(length({e}))::INTEGER AS max_length FROM documents WHERE {e} <> ''" for c in ("lang", "source", "text") for e in [f"regexp_replace(regexp_replace({c}, '^\\s+', ''), '\\s+$', '')"]),
+    "profile_lengths": " UNION ALL ".join(f"SELECT '{c}' AS column_name, min(length({e}))::INTEGER AS min_length, max(length({e}))::INTEGER AS max_length FROM documents WHERE {e} <> ''" for c in ("doc_id", "lang", "source", "n_chars", "text") for e in [f"regexp_replace(regexp_replace({c}::VARCHAR, '^\\s+', ''), '\\s+$', '')"]),
     "profile_number_range": "SELECT 'o_totalprice' AS column_name, count(o_totalprice) AS numbers, min(o_totalprice)::DOUBLE AS min_number, max(o_totalprice)::DOUBLE AS max_number FROM orders UNION ALL SELECT 'o_custkey', count(o_custkey), min(o_custkey)::DOUBLE, max(o_custkey)::DOUBLE FROM orders",
     "top_values": " UNION ALL ".join(f"SELECT * FROM (SELECT '{c}' AS column_name, row_number() OVER (ORDER BY count(*) DESC, {c})::INTEGER AS place, {c} AS value, count(*) AS n FROM orders GROUP BY {c}) WHERE place <= 20" for c in ("o_orderpriority", "o_orderstatus")),
     "first_samples": " UNION ALL ".join(f"SELECT * FROM (SELECT '{c}' AS column_name, row_number() OVER (ORDER BY c_custkey)::INTEGER AS place, c_custkey::BIGINT AS row_number, {c} AS value FROM customer) WHERE place <= 10" for c in ("c_name", "c_mktsegment")),

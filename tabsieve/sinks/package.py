@@ -103,7 +103,13 @@ class Package:
 
 
 def in_store(path: str) -> bool:
-    return bool(re.match(r"[A-Za-z][A-Za-z0-9+.-]+:/", path))
+    """Whether the path is one of Spark's file systems: it names one, or Spark's default isn't the local one."""
+    from pyspark.sql import SparkSession
+
+    if re.match(r"[A-Za-z][A-Za-z0-9+.-]+:/", path):
+        return True
+    spark = SparkSession.getActiveSession()
+    return spark is not None and not spark._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///").startswith("file:")
 
 
 @contextmanager
@@ -113,6 +119,7 @@ def whole(path: str, level: int):
         handle, part = tempfile.mkstemp(prefix="export-")
         os.close(handle)
     else:
+        os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
         part = path + ".partial"
     try:
         with open(part, "wb") as f:

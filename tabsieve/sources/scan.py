@@ -11,6 +11,7 @@ import os
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,11 +55,10 @@ def scan(spark: SparkSession, path: str | list[str], sheet: int | None = None, *
 def _batch(at, s, numbers, rows):
     n = len(rows)
     ends = np.cumsum([0, *map(len, rows)], dtype=np.int32)
-    flat = [c for r in rows for c in r]
-    full = [c.kind != "Empty" for c in flat]
-    names = ["kind", "text", "num", "date"]
-    parts = [pa.array([c.kind for c in flat], pa.string()), pa.array([c.text for c in flat], pa.string()), pa.array([c.num for c in flat], pa.float64()), pa.array([c.date for c in flat], pa.timestamp("us"))]
-    cells = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(parts, names, mask=pa.array([not f for f in full], pa.bool_())))
+    kinds, texts, numbers_, dates = zip(*(c for r in rows for c in r), strict=True) if ends[-1] else ((), (), (), ())
+    parts = [pa.array(kinds, pa.string()), pa.array(texts, pa.string()), pa.array(numbers_, pa.float64()), pa.array(dates, pa.timestamp("us"))]
+    empty = pc.equal(parts[0], "Empty")
+    cells = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(parts, ["kind", "text", "num", "date"], mask=empty))
     return pa.record_batch([pa.array([at] * n), pa.array([s.index] * n, pa.int32()), pa.array([s.name] * n), pa.array([s.source] * n, pa.string()), pa.array(numbers, pa.int64()), cells.cast(_CELL)], ["path", "sheet_index", "sheet", "source", "row_number", "cells"])
 
 

@@ -9,19 +9,20 @@ import zipfile
 from collections.abc import Iterator
 from dataclasses import dataclass
 from datetime import datetime, timedelta
+from typing import NamedTuple
 from xml.etree import ElementTree
 
 from ..errors import FormatError, LimitError
 
 MAX_ROWS, MAX_COLUMNS, MAX_SHEETS = 1_048_576, 16_384, 4_096
+KNOWN_CELLS = 200_000  # kept by their markup, as many cells are alike
 MAX_UNCOMPRESSED = {"Xlsx": 2 << 30, "Ods": 8 << 30}
 
 # The built-in number formats that show a date.
 DATE_FORMATS = {14, 15, 16, 17, 18, 19, 20, 21, 22, 27, 28, 29, 30, 31, 32, 33, 34, 35, 36, 45, 46, 47, 50, 51, 52, 53, 54, 55, 56, 57, 58}
 
 
-@dataclass(frozen=True)
-class Cell:
+class Cell(NamedTuple):
     kind: str
     text: str | None = None
     num: float | None = None
@@ -46,6 +47,7 @@ def text_cell(text: str | None) -> Cell:
 
 
 def number_text(x: float) -> str:
+    """The shortest text that reads back."""
     if x == int(x) and abs(x) < 1e15:
         return str(int(x))
     r = repr(x)
@@ -116,6 +118,24 @@ def _xml(z: zipfile.ZipFile, name: str):
         raise FormatError("format.corrupt", f"{name}: {e}") from e
 
 
+class _Unusual(Exception):
+    """Markup that the patterns below don't read."""
+
+
+_PLAIN_HEAD = re.compile(rb"""(?s)\s*(?:<\?xml[^>]*?(?:encoding=["']utf-8["'][^>]*)?\?>\s*)?<worksheet\b[^>]*>(?!.*<!)""", re.IGNORECASE)
+_ROW = re.compile(rb"(?s)<row\b([^>]*?)(?:/>|>(.*?)</row>)")
+_NUMBER_OF = re.compile(rb'\br="(\d+)"')
+_CELL = re.compile(rb'<c r="([A-Z]+)\d+"((?: [\w:]+="[^"]*")*)\s*(?:/>|>(?:<v>([^<]*)</v>|<is><t(?: xml:space="preserve")?>([^<]*)</t></is>)?</c>)')
+_ATTRIBUTE = re.compile(rb'(\w+)="([^"]*)"')
+_columns: dict[bytes, int] = {}
+# The entities of XML.
+_NAMED = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'"}
+
+
+def _entities(text: str) -> str:
+    return re.sub(r"&(#x?[0-9A-Fa-f]+|[a-z]+);", lambda m: _NAMED.get(m[1]) or (chr(int(m[1][2:], 16)) if m[1][1:2] == "x" else chr(int(m[1][1:]))), text)
+
+
 class Xlsx:
     """An xlsx workbook: `sheets`, and rows(i) as (row number, cells)."""
 
@@ -147,6 +167,8 @@ class Xlsx:
             if len(self.sheets) > max_sheets:
                 raise LimitError("limit.exceeded", f"more than {max_sheets} sheets")
         self._strings = self._dates = None
+        self._shapes: dict[bytes, tuple[str, int]] = {}
+        self._known: dict[tuple, Cell] = {}  # cells by their markup
 
     def _relations(self, name: str) -> dict[str, tuple[str, str]]:
         return {e.get("Id"): (e.get("Type", ""), e.get("Target", "").lstrip("/") if name == "_rels/.rels" else e.get("Target", "")) for e in _xml(self.z, name) if e.get("TargetMode") != "External"}
@@ -188,9 +210,103 @@ class Xlsx:
         return self._dates
 
     def rows(self, index: int) -> Iterator[tuple[int, list[Cell]]]:
+        """Rows as most producers write them are matched by patterns; any other row, or markup, goes through a parser."""
         part = self.parts[index]
         if part not in self.z.namelist():
             raise FormatError("format.corrupt", f"{part} is missing")
+        try:
+            with self.z.open(part) as f:
+                plain = _PLAIN_HEAD.match(f.read(1 << 16)) is not None
+        except zipfile.BadZipFile as e:
+            raise FormatError("format.corrupt", str(e)) from e
+        yield from self._plain_rows(part) if plain else self._parsed_rows(part)
+
+    def _plain_rows(self, part: str) -> Iterator[tuple[int, list[Cell]]]:
+        last, held, begun = 0, b"", False
+        try:
+            with self.z.open(part) as f:
+                while True:
+                    block = f.read(1 << 22)
+                    held += block
+                    if not begun:
+                        at = held.find(b"<sheetData")
+                        if at < 0:
+                            if block:
+                                continue
+                            break
+                        close = held.find(b">", at)
+                        if close < 0 and block:
+                            continue
+                        if held[close - 1 : close] == b"/":
+                            break  # no rows at all
+                        held, begun = held[close + 1 :], True
+                    if b"<!" in held:
+                        raise _Unusual
+                    cut = held.rfind(b"</row>") + 6
+                    if cut == 5 and block:
+                        continue
+                    for attributes, body in _ROW.findall(held, 0, cut if block else len(held)):
+                        number = _NUMBER_OF.search(attributes)
+                        last = int(number[1]) if number and last < int(number[1]) <= MAX_ROWS else last + 1
+                        cells = self._plain_cells(body)
+                        if cells is None:
+                            cells = self._cells(ElementTree.fromstring(b"<row xmlns:x='x' xmlns:r='r' xmlns:x14ac='a'>" + body + b"</row>"))
+                        yield last, cells
+                    end = held.find(b"</sheetData>", max(0, cut - 1))
+                    if end >= 0:
+                        break
+                    if not block:
+                        raise FormatError("format.truncated", f"{part} ends early")
+                    held = held[cut:]
+                while f.read(1 << 20):  # to the end, where the checksum is
+                    pass
+        except _Unusual:
+            yield from (x for x in self._parsed_rows(part) if x[0] > last)
+        except ElementTree.ParseError as e:
+            raise FormatError("format.corrupt", str(e)) from e
+        except (zipfile.BadZipFile, EOFError) as e:
+            raise FormatError("format.corrupt", str(e)) from e
+
+    def _plain_cells(self, body: bytes) -> list[Cell] | None:
+        """A row's cells; None if they aren't all of the usual form."""
+        cells: list[Cell] = []
+        seen = 0
+        for m in _CELL.finditer(body):
+            if m.start() != seen:
+                return None
+            seen = m.end()
+            ref, attributes, value, text = m.groups()
+            if value is None and text is None:
+                continue
+            i = _columns.get(ref)
+            if i is None:
+                i = _columns[ref] = column_index(ref.decode())
+            known = self._known.get((attributes, value, text))
+            if known is not None:
+                if len(cells) <= i:
+                    cells += [EMPTY] * (i + 1 - len(cells))
+                cells[i] = known
+                continue
+            shape = self._shapes.get(attributes)
+            if shape is None:
+                found = dict(_ATTRIBUTE.findall(attributes))
+                shape = self._shapes[attributes] = (found.get(b"t", b"n").decode(), int(found.get(b"s", b"0") or 0))
+            raw = value if text is None else text
+            v = _entities(raw.decode("utf-8", "replace")) if b"&" in raw else raw.decode("utf-8", "replace")
+            if text is not None and "\r" in v:
+                return None  # a parser folds line ends
+            if len(cells) <= i:
+                cells += [EMPTY] * (i + 1 - len(cells))
+            cells[i] = c = text_cell(unescaped(v)) if text is not None else self._value(shape[0], v, shape[1])
+            if len(self._known) < KNOWN_CELLS:
+                self._known[attributes, value, text] = c
+        if seen != len(body):
+            return None
+        while cells and cells[-1] is EMPTY:
+            cells.pop()
+        return cells
+
+    def _parsed_rows(self, part: str) -> Iterator[tuple[int, list[Cell]]]:
         last, closed = 0, False
         try:
             for _, e in ElementTree.iterparse(self.z.open(part)):
@@ -198,15 +314,7 @@ class Xlsx:
                 if tag == "row":
                     r = e.get("r")
                     last = int(r) if r and r.isdigit() and last < int(r) <= MAX_ROWS else last + 1
-                    cells: list[Cell] = []
-                    for c in e:
-                        if _local(c.tag) == "c":
-                            i = column_index(c.get("r")) if c.get("r") else len(cells)
-                            cells += [EMPTY] * (i + 1 - len(cells))
-                            cells[i] = self._cell(c)
-                    while cells and cells[-1] is EMPTY:
-                        cells.pop()
-                    yield last, cells
+                    yield last, self._cells(e)
                     e.clear()
                 elif tag == "sheetData":
                     closed = True
@@ -215,6 +323,17 @@ class Xlsx:
         except zipfile.BadZipFile as e:
             raise FormatError("format.corrupt", str(e)) from e
 
+    def _cells(self, row) -> list[Cell]:
+        cells: list[Cell] = []
+        for c in row:
+            if _local(c.tag) == "c":
+                i = column_index(c.get("r")) if c.get("r") else len(cells)
+                cells += [EMPTY] * (i + 1 - len(cells))
+                cells[i] = self._cell(c)
+        while cells and cells[-1] is EMPTY:
+            cells.pop()
+        return cells
+
     def _cell(self, c) -> Cell:
         kind, v = c.get("t"), None
         for child in c:
@@ -222,8 +341,10 @@ class Xlsx:
                 v = child.text
             elif _local(child.tag) == "is":
                 return text_cell(self._runs(child))
-        if v is None:
-            return EMPTY
+        return EMPTY if v is None else self._value(kind or "n", v, int(c.get("s") or 0))
+
+    def _value(self, kind: str, v: str, style: int) -> Cell:
+        """A cell of a stated type."""
         if kind == "s":
             s = self.strings()
             return text_cell(s[int(v)]) if v.strip().isdigit() and int(v) < len(s) else EMPTY
@@ -247,7 +368,6 @@ class Xlsx:
             return text_cell(v)
         if not math.isfinite(x):
             return text_cell(v)
-        style = int(c.get("s") or 0)
         if style < len(self.dates()) and self.dates()[style] and (d := from_serial(x, self.date1904)):
             return date_cell(d)
         return number_cell(x)
