@@ -461,8 +461,14 @@ def test_op8_is_a_distribution():
     p = language_model.hierarchical_pitman_yor(g, n * 50, 3)
     assert np.allclose(p.reshape(-1, 64).sum(axis=1), 1, atol=1e-4)
     c = rng.integers(1, 10_000, 200)
-    t = language_model.seat(c, np.full(200, 0.01), np.full(200, 50), 0.7, 1.0, rng)
-    assert (t >= 1).all() and (t <= c).all()
+    key = rng.integers(0, 1 << 63, 200).astype(np.uint64)
+    for draw in (lambda _, m, p: rng.binomial(m, p), language_model.binomial_by_hash(key, 3)):
+        t = language_model.seat(c, np.full(200, 0.01), np.full(200, 50), 0.7, 1.0, draw)
+        assert (t >= 1).all() and (t <= c).all()
+    seated = [language_model.seat(c[part], np.full(len(part), 0.01), np.full(len(part), 50), 0.7, 1.0, language_model.binomial_by_hash(key[part], 3)) for part in (np.arange(200), np.arange(100))]
+    m, p = np.full(4000, 40), np.full(4000, 0.3)
+    got = language_model.binomial_by_hash(rng.integers(0, 1 << 63, 4000).astype(np.uint64), 1)(np.arange(4000), m, p)
+    assert abs(got.mean() - 12) < 0.2 and abs(got.var() - 8.4) < 0.8 and (seated[0][:100] == seated[1]).all()
 
 
 # 9
