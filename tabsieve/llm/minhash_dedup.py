@@ -18,7 +18,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -26,10 +26,11 @@ from ._shared import batch_texts, bounded_batches, components, forget, mix, port
 
 SHINGLE = 5
 THRESHOLD = 0.8
-BANDS, ROWS = 14, 4  # finds a pair of similarity 0.8 with probability 0.9996, one of 0.85 with 0.99999
+BANDS, ROWS = 14, 4  # finds a pair of similarity 0.8 with probability 0.9994, one of 0.85 with 0.99999
 SLOTS = 1 << 18  # hashed words in the table of document frequencies
 PART = 400  # members of a part of a bucket
 CENTRES = 4  # of each bucket's stars
+SPLIT = 20_000  # members of a bucket that are joined by bucket in one part
 SURELY_LESS = 0.57  # a pair of which fewer samples agree is not verified: at similarity 0.8 that has a chance below 0.0001
 
 
@@ -77,13 +78,13 @@ def weighted_shingles(h: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 @lru_cache(1)
-def _salts() -> np.ndarray:
+def _hash_salts() -> np.ndarray:
     return mix(np.arange(1, 2 * BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)).reshape(2, -1)
 
 
 def signature(shingles: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """ICWS: for each hash function, a 64-bit hash of the sampled (shingle, level)."""
-    salts = _salts()
+    salts = _hash_salts()
     k = salts.shape[1]
     best, pick = np.full(k, np.inf, np.float32), np.zeros(k, np.uint64)
     lw = np.log(weights)
@@ -151,23 +152,39 @@ def _signatures(docs: DataFrame, idf, text: str) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, idf) -> DataFrame:
-    """Of distinct pairs (a, b) of text keys, those whose weighted Jaccard similarity is THRESHOLD or more."""
-    ta, tb = texts.select(F.col("tkey").alias("a"), F.col("t").alias("ta")), texts.select(F.col("tkey").alias("b"), F.col("t").alias("tb"))
-    both = pairs.join(tb, "b").join(ta, "a")
+    """Of distinct pairs (a, b) of text keys, those whose weighted Jaccard similarity is THRESHOLD or more.
+
+    salt parts the partners of a central text: its text is sent once to each part, ahead of the partners' texts, and
+    parts are read as they come, so neither a task nor a worker's memory grows with a centre.
+    """
+    partners = pairs.join(texts.select(F.col("tkey").alias("b"), "t"), "b").select("a", "salt", "b", "t")
+    centres = pairs.select("a", "salt").distinct().join(texts.select(F.col("tkey").alias("a"), "t"), "a").select("a", "salt", F.lit(None).cast("binary").alias("b"), "t")
 
     def check(batches):
-        table, last, left = idf.value, None, None
+        table, left = idf.value, None
         for x in batches:
-            a, b = x.column("a").to_pylist(), x.column("b").to_pylist()
-            ta, tb = batch_texts(x.column("ta")), batch_texts(x.column("tb"))
+            a, b, texts_ = x.column("a").to_pylist(), x.column("b").to_pylist(), batch_texts(x.column("t"))
             ok = []
             for i in range(len(a)):
-                if a[i] != last:
-                    last, left = a[i], weighted_shingles(words([ta[i]])[3], table)
-                ok.append(weighted_jaccard(left, weighted_shingles(words([tb[i]])[3], table)) >= THRESHOLD)
-            yield pa.record_batch([pa.array([v for v, y in zip(a, ok, strict=True) if y], pa.binary()), pa.array([v for v, y in zip(b, ok, strict=True) if y], pa.binary())], ["a", "b"])
+                own = weighted_shingles(words([texts_[i]])[3], table)
+                if b[i] is None:
+                    left = own
+                elif weighted_jaccard(left, own) >= THRESHOLD:
+                    ok.append(i)
+            yield pa.record_batch([pa.array([a[i] for i in ok], pa.binary()), pa.array([b[i] for i in ok], pa.binary())], ["a", "b"])
+
+    dealt = centres.unionByName(partners).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
+    return dealt.select("a", "b", "t").mapInArrow(check, "a binary, b binary")
+
+
+def _salts(n: str = "n") -> Column:
+    """Into how many parts a bucket of n members is cut where it is joined by bucket."""
+    return F.ceil(F.col(n) / SPLIT).cast("int")
+
 
-    return both.select("a", "b", "ta", "tb").mapInArrow(check, "a binary, b binary")
+def _all_salts(df: DataFrame) -> DataFrame:
+    """One row of df (bucket, n, ...) for each part of the bucket, as (bucket, salt, ...)."""
+    return df.withColumn("salt", F.explode(F.sequence(F.lit(0), _salts() - 1))).drop("n")
 
 
 def _compared(now: DataFrame, rest: DataFrame, unit: DataFrame, texts: DataFrame, idf) -> DataFrame:
@@ -176,7 +193,7 @@ def _compared(now: DataFrame, rest: DataFrame, unit: DataFrame, texts: DataFrame
     A bucket is cut into parts of about PART members; each part of rest meets each part of the bucket in one task, so no
     task grows with a bucket. A pair is looked at in the smallest bucket that both have, once.
     """
-    whole = now.join(rest.select("bucket").distinct(), "bucket", "left_semi").join(rest.withColumn("rest", F.lit(True)), ["bucket", "tkey"], "left").withColumn("rest", F.coalesce("rest", F.lit(False)))
+    whole = now.join(_all_salts(rest.select("bucket", "n").distinct()), ["bucket", "salt"], "left_semi").select("tkey", "bucket", "comp").join(rest.select("bucket", "tkey", F.lit(True).alias("rest")), ["bucket", "tkey"], "left").withColumn("rest", F.coalesce("rest", F.lit(False)))
     sizes = whole.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts"))
     lists = now.groupBy("tkey").agg(F.sort_array(F.collect_set("bucket")).alias("buckets"))  # BANDS at most
     full = whole.join(sizes, "bucket").join(lists, "tkey").join(unit.select("tkey", "sig", "total"), "tkey").join(texts, "tkey")
@@ -248,7 +265,7 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     crowded = member.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     member = member.join(crowded, ["band", "key"]).select("tkey", F.xxhash64("band", "key").alias("bucket"), "n")
     central = member.groupBy("tkey").agg(F.sum("n").alias("crowd"))
-    member = written(member.join(central, "tkey").select("tkey", "bucket", "crowd"), "minhash-members")
+    member = written(member.join(central, "tkey").select("tkey", "bucket", "crowd", "n", F.pmod(F.xxhash64("tkey"), _salts()).cast("int").alias("salt")), "minhash-members")
     # Texts of the members, one line for each.
     holder = signed.groupBy("tkey").agg(F.min(F.struct("doc_id", "th")).alias("h")).select("tkey", "h.*").join(member.select("tkey").distinct(), "tkey", "left_semi")
     texts = _texts_of(rows, holder, text)
@@ -256,19 +273,25 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
 
     # Stars: everyone with the bucket's most central members.
     by = W.partitionBy("bucket").orderBy(F.desc("crowd"), "tkey")
-    centre = member.withColumn("place", F.row_number().over(by)).where(F.col("place") <= CENTRES).select("bucket", F.col("tkey").alias("a"))
-    pairs = member.select("bucket", F.col("tkey").alias("b")).join(centre, "bucket").where("a != b")
-    pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "minhash-pairs")
+    centre = member.withColumn("place", F.row_number().over(by)).where(F.col("place") <= CENTRES).select("bucket", "n", F.col("tkey").alias("a"))
+    pairs = member.select("bucket", "salt", F.col("tkey").alias("b"), "n").join(_all_salts(centre), ["bucket", "salt"]).where("a != b")
+    # The same two texts can meet in several buckets, and be centres to each other: one pair, the smaller key's.
+    pairs = pairs.groupBy(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).agg(F.min(F.col("a") < F.col("b")).alias("first"), F.max("n").alias("n"))
+    pairs = pairs.select(F.when(F.col("first"), F.col("x")).otherwise(F.col("y")).alias("a"), F.when(F.col("first"), F.col("y")).otherwise(F.col("x")).alias("b"), "n")
+    pairs = written(pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / PART)).cast("int").alias("salt")), "minhash-pairs")
     links = written(_verified(pairs, texts, idf), "minhash-links")
+    forget(pairs)
     comp = _labelled(member, links)
     # Left: members outside the bucket's first component that were no centre, with all the bucket's other components.
-    now = written(member.select("tkey", "bucket").join(comp, "tkey"), "minhash-now")
-    stats = now.groupBy("bucket").agg(F.min("comp").alias("main"), F.max("comp").alias("other")).where("main < other")
-    rest = now.join(stats, "bucket").where("comp != main").join(centre.withColumnRenamed("a", "tkey"), ["bucket", "tkey"], "left_anti").select("bucket", "tkey")
-    more = written(_compared(now, written(rest, "minhash-rest"), unit, texts, idf), "minhash-links")
+    now = written(member.select("tkey", "bucket", "n", "salt").join(comp, "tkey"), "minhash-now")
+    stats = now.groupBy("bucket").agg(F.min("comp").alias("main"), F.max("comp").alias("other"), F.max("n").alias("n")).where("main < other")
+    rest = now.join(_all_salts(stats), ["bucket", "salt"]).where("comp != main").join(centre.select("bucket", F.col("a").alias("tkey")), ["bucket", "tkey"], "left_anti").select("bucket", "tkey", "n")
+    rest = written(rest, "minhash-rest")
+    more = written(_compared(now, rest, unit, texts, idf), "minhash-links")
     if more.limit(1).count():
         comp = _labelled(member, links.unionByName(more))
-    forget(texts)
+    for done in (texts, now, rest, more, links):
+        forget(done)
     label = unit.select("tkey", "least").join(comp, "tkey", "left").withColumn("comp", F.coalesce("comp", "tkey"))
     label = label.join(label.groupBy("comp").agg(F.min("least").alias("class_id")), "comp").select("tkey", "comp", "class_id")
     label = written(label, "minhash-labels")

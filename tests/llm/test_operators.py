@@ -221,6 +221,29 @@ def test_op3_signature_estimates_similarity():
     assert abs(np.mean(diff)) < 0.04
 
 
+def test_op3_all_pairs(spark, docs, texts, monkeypatch):
+    """Classes of documents against weighted Jaccard of all pairs; the stages behind the stars cut into parts."""
+    monkeypatch.setattr(minhash_dedup, "SPLIT", 2)
+    monkeypatch.setattr(minhash_dedup, "PART", 3)
+    idf = minhash_dedup.idf_table(*minhash_dedup.document_frequencies(docs))
+    sets = {k: minhash_dedup.weighted_shingles(words([t.encode()])[3], idf) for k, t in texts.items()}
+    ids, links = sorted(sets), []
+    for i, a in enumerate(ids):
+        links += [(a, b) for b in ids[i + 1 :] if minhash_dedup.weighted_jaccard(sets[a], sets[b]) >= 0.8]
+    assert len(links) > 10
+    parent = {k: k for k in ids}
+
+    def top(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+
+    for a, b in links:
+        parent[max(top(a), top(b))] = min(top(a), top(b))
+    got = {r["doc_id"]: r["class_id"] for r in minhash_dedup.near_duplicates(docs).collect()}
+    assert got == {k: top(k) for k in ids}
+
+
 def test_op3_members_left_apart(spark, monkeypatch):
     """With one centre only, the blocks find what stars miss."""
     monkeypatch.setattr(minhash_dedup, "CENTRES", 1)
