@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import _power, batch_texts, bounded_batches, mix, written
+from ._shared import _power, batch_texts, bounded_batches, forget, mix, written
 
 LENGTH = 100
 # A perfect difference set modulo 57; every residue is a difference of two of them.
@@ -127,20 +127,36 @@ def _sample_groups(c: Chunk):
     return at, u, inv, n > 1
 
 
-def chunked(docs: DataFrame, text: str, chunk_bytes: int) -> tuple[DataFrame, int]:
-    """(table (chunk, ids, lens, data) bucketed by chunk, number of chunks). Chunks follow the order of doc_id, null first."""
+def chunked(docs: DataFrame, text: str, chunk_bytes: int) -> tuple[DataFrame, int, str]:
+    """(table (chunk, ids, lens, data) bucketed by chunk, number of chunks, the table's name). Chunks follow the order of doc_id, null first.
+
+    Rows of one id (or without any) that make up more than a chunk are dealt to chunks of their own, by row.
+    """
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("t"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("t"), F.monotonically_increasing_id().alias("row"))
     total = rows.agg(F.sum(F.octet_length("t")).alias("n")).first()["n"] or 0
     chunks = max(1, math.ceil(total / chunk_bytes))
     bounds = rows.stat.approxQuantile("doc_id", [k / chunks for k in range(1, chunks)], 0.1 / chunks) if chunks > 1 else []
-    edges = np.array(bounds, np.int64)
+    edges = np.array(sorted({int(x) for x in bounds}), np.int64)
+    least = -(1 << 63)
+    # Ids of which one alone would fill a chunk: there are fewer of them than chunks.
+    large = rows.groupBy(F.coalesce("doc_id", F.lit(least)).alias("id")).agg(F.sum(F.octet_length("t")).alias("n")).where(F.col("n") > chunk_bytes).collect()
+    # Where chunks begin: (id, part of the id). A large id has parts of its own, and the next id begins a chunk.
+    starts = {(int(e) + 1, 0) for e in edges} | {(least, 0)}
+    parts = {r["id"]: math.ceil(r["n"] / chunk_bytes) for r in large}
+    starts |= {(i, k) for i, n in parts.items() for k in range(n)} | {(i + 1, 0) for i in parts}
+    starts = sorted(starts)
+    at = spark.sparkContext.broadcast((np.array([i for i, _ in starts], np.int64), parts))
 
     def place(batches):
+        begin, large_ids = at.value
         for b in batches:
-            ids = b.column(0)
-            c = np.searchsorted(edges, ids.fill_null(-(1 << 63)).to_numpy(), "left").astype(np.int64)
-            yield pa.record_batch([ids, pa.array(batch_texts(b.column(1)), pa.binary()), pa.array(c)], ["doc_id", "t", "chunk"])
+            ids = b.column(0).fill_null(least).to_numpy()
+            c = np.searchsorted(begin, ids, "right") - 1  # a large id's last part
+            for i, n in large_ids.items():
+                own = np.flatnonzero(ids == i)
+                c[own] -= (mix(b.column(2).to_numpy()[own].astype(np.uint64) + np.uint64(1)) % np.uint64(n)).astype(np.int64)
+            yield pa.record_batch([b.column(0), pa.array(batch_texts(b.column(1)), pa.binary()), pa.array(c.astype(np.int64))], ["doc_id", "t", "chunk"])
 
     def build(t: pa.Table) -> pa.Table:
         texts, ids = t.column("t").to_pylist(), t.column("doc_id").to_pylist()
@@ -148,22 +164,30 @@ def chunked(docs: DataFrame, text: str, chunk_bytes: int) -> tuple[DataFrame, in
         own = [texts[i] or b"" for i in order]
         return pa.table({"chunk": t.column("chunk").slice(0, 1), "ids": pa.array([[ids[i] for i in order]], pa.list_(pa.int64())), "lens": pa.array([[len(x) for x in own]], pa.list_(pa.int32())), "data": pa.array([b"".join(own)], pa.binary())})
 
-    name = f"tabsieve_chunks_{uuid.uuid4().hex}"
+    name, chunks = f"tabsieve_chunks_{uuid.uuid4().hex}", len(starts)
     made = rows.mapInArrow(place, "doc_id long, t binary, chunk long").repartition(chunks, "chunk").groupBy("chunk").applyInArrow(build, "chunk long, ids array<long>, lens array<int>, data binary")
     made.write.option("compression", "zstd").bucketBy(min(chunks, 100_000), "chunk").saveAsTable(name)
-    return spark.table(name), chunks
+    return spark.table(name), chunks, name
+
+
+def drop(out: DataFrame) -> None:
+    """Removes the tables behind a result of remove_repeats(), once it has been used."""
+    table, *written_ = out._behind
+    out.sparkSession.sql(f"DROP TABLE IF EXISTS {table}")
+    for df in written_:
+        forget(df)
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", chunk_bytes: int = CHUNK) -> DataFrame:
     """(doc_id, n_bytes, spans array<struct<start,end>>, kept binary) of every row: the removed spans in bytes, and what is left.
 
-    A null text is empty. A null doc_id sorts before all others; rows with equal ids sort by their text. Repeated rows
-    are texts of their own, of which the first is kept. Texts below LENGTH bytes lose nothing. Empty input gives no
+    A null text is empty. A null doc_id sorts before all others; rows with equal ids sort by their text (where they fill
+    several chunks: within a chunk). Repeated rows are texts of their own, of which the first is kept. Texts below LENGTH bytes lose nothing. Empty input gives no
     rows. Other columns are not read.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    table, ranges = chunked(docs, text, chunk_bytes)
+    table, ranges, name = chunked(docs, text, chunk_bytes)
 
     def send(chunk: int, u: np.ndarray, width: int) -> pa.Table:
         cut = _cut(u, ranges)
@@ -239,9 +263,14 @@ def remove_repeats(docs: DataFrame, text: str = "text", chunk_bytes: int = CHUNK
         return pa.table({n: pa.array(v, t) for (n, t), v in zip(types, values, strict=True)})
 
     both = repeated.withColumn("step", F.lit(1)).unionByName(later.withColumn("step", F.lit(2)))
-    return table.groupBy("chunk").cogroup(both.groupBy("chunk")).applyInArrow(remove, "doc_id long, n_bytes long, spans array<struct<start:bigint,end:bigint>>, kept binary")
+    out = table.groupBy("chunk").cogroup(both.groupBy("chunk")).applyInArrow(remove, "doc_id long, n_bytes long, spans array<struct<start:bigint,end:bigint>>, kept binary")
+    out._behind = (name, repeated, later)
+    return out
 
 
 def op5_difference_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return out.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    digests = out.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    digests = written(digests, "suffix-digests")
+    drop(out)
+    return digests

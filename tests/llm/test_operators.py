@@ -351,6 +351,13 @@ def test_op5(spark, texts, edges, empty):
         out = suffix_dedup.remove_repeats(df, chunk_bytes=size)
         got = {r["doc_id"]: (r["n_bytes"], r["n"], r["s"], r["h"]) for r in out.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n"), F.size("spans").alias("s"), F.sha2("kept", 256).alias("h")).collect()}
         assert got == brute_removed(rows)
+    # A missing and a repeated id, of more texts than a chunk holds: of equal texts one stays whole, wherever it lies.
+    same = [(None, letters[:300])] * 40 + [(7, letters[1000:1400])] * 40 + [(7, letters[2000:2300])] * 9 + [(8, letters[1000:1400]), (6, letters[:300])]
+    for size in (1 << 23, 1000):
+        out = suffix_dedup.remove_repeats(spark.createDataFrame(same, "doc_id long, text string").repartition(3), chunk_bytes=size)
+        kept = Counter((r["doc_id"], bytes(r["kept"])) for r in out.collect())
+        assert kept == Counter({(None, letters[:300].encode()): 1, (None, b""): 39, (7, letters[1000:1400].encode()): 1, (7, letters[2000:2300].encode()): 1, (7, b""): 47, (8, b""): 1, (6, b""): 1})
+        suffix_dedup.drop(out)
     assert suffix_dedup.remove_repeats(edges).count() == len(EDGES)
     assert suffix_dedup.remove_repeats(empty).count() == 0
 
