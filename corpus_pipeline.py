@@ -11,9 +11,6 @@ from pyspark.sql import functions as F
 from tabsieve.llm import language_id, minhash_dedup, mixing, packing, secrets
 from tabsieve.llm._shared import written
 
-SURE = 0.5  # a prediction whose posterior probability is lower is no prediction
-
-
 MADE = ("lang_pred", "score", "n_assign", "n_access", "n_hex", "base_spans", "spans", "redacted", "size", "source_size", "target", "copies", "taken", "own copy")
 
 
@@ -28,9 +25,8 @@ def _as(docs: DataFrame, out: DataFrame) -> DataFrame:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects texts without any letter, and such whose language stays open; a missing label is filled in."""
-    found = language_id.identify(_apart(docs), language_id.train(docs))
-    found = found.where((F.col("lang_pred") != "und") & (F.col("score") >= SURE))
+    """Rejects texts whose language can't be told: those without any letter. A missing label is filled in."""
+    found = language_id.identify(_apart(docs), language_id.train(docs)).where(F.col("lang_pred") != "und")
     return _as(docs, found.withColumn("lang", F.coalesce("lang", "lang_pred")))
 
 
@@ -64,7 +60,7 @@ STAGES = [
     ("pack", pack_windows),
 ]
 
-ORACLE_SQL = None  # SQL can't express the stages; tests/llm holds each against a brute-force version
+ORACLE_SQL = None  # SQL can't express the stages; tests/llm holds them against plain versions
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
