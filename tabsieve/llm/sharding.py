@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ._shared import forget, written
@@ -29,7 +30,8 @@ def external_shuffle(docs: DataFrame, shards: int = 24, seed: int = 7, key: str
 
     Nulls: a null key is hashed as its own value, a null text counts 8 bytes. Repeated rows stay, each with a slot of
     its own. Equal texts scatter like any others. Empty input gives no rows. Columns of docs named like an output are
-    replaced. The order of a bucket's rows before the shuffle is by key, then hash of the text, so reruns agree.
+    replaced. The order of a bucket's rows before the shuffle is by key, then hash of the text, so reruns agree (rows
+    alike in both are told by their numbers in docs).
     """
     spark = docs.sparkSession
     own = [c for c in docs.columns if c not in ("size", "shard", "grown_shard", "slot")]
@@ -39,20 +41,22 @@ def external_shuffle(docs: DataFrame, shards: int = 24, seed: int = 7, key: str
     total = rows.agg(F.sum("size")).first()[0] or 0
     per_shard = max(1, math.ceil(total / shards / bucket_bytes))
     rows = rows.select("row", "size", rendezvous(k, shards, seed).alias("shard"), rendezvous(k, shards + 1, seed).alias("grown_shard"), F.xxhash64(F.lit(seed), k, t).alias("tie"))
-    rows = rows.withColumn("bucket", F.col("shard") * per_shard + F.pmod(F.xxhash64(F.lit(seed + 1), k, F.col("tie")), F.lit(per_shard)).cast("int"))
+    # Rows that are all alike scatter by their numbers, if together they would make up much of a bucket.
+    alike = rows.groupBy("shard", "tie").agg(F.sum("size").alias("n")).where(F.col("n") > bucket_bytes // 8).select(F.col("shard").alias("s2"), F.col("tie").alias("t2"), F.lit(True).alias("alike"))
+    small = shards * per_shard <= 100_000  # then there are 800,000 such rows at most
+    rows = rows.withColumn("number", F.monotonically_increasing_id()).join(F.broadcast(alike) if small else alike, (F.col("shard") == F.col("s2")) & (F.col("tie") == F.col("t2")), "left").drop("s2", "t2")
+    number = F.when(F.col("alike"), F.col("number"))
+    rows = rows.withColumn("bucket", F.col("shard") * per_shard + F.pmod(F.xxhash64(F.lit(seed + 1), k, F.col("tie"), number), F.lit(per_shard)).cast("int")).drop("alike", "number")
     # Pass 2: the bucket's number is its partition's number, which with the seed fixes the permutation.
     buckets = rows.repartitionById(shards * per_shard, F.col("bucket")).groupBy("bucket", "shard").agg(
         F.sort_array(F.collect_list(F.struct(k.alias("k"), "tie", "size", "grown_shard", "row"))).alias("rows")
     )
     placed = written(buckets.select("bucket", "shard", F.posexplode(F.shuffle("rows", seed)).alias("place", "r")).select("bucket", "shard", "place", "r.size", "r.grown_shard", "r.row"), "sharding")
-    counts = [(r["bucket"], r["n"]) for r in placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).collect()]  # one row a bucket
-    starts, before = [], {}
-    for b, n in sorted(counts):
-        starts.append((b, before.get(b // per_shard, 0)))
-        before[b // per_shard] = before.get(b // per_shard, 0) + n
-    start = spark.createDataFrame(starts, "bucket int, start long")
-    if len(starts) <= 1_000_000:
-        start = F.broadcast(start)  # at most a million pairs of numbers
+    counts = placed.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    before = W.partitionBy("shard").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
+    start = counts.select("bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).cast("long").alias("start"))
+    if shards * per_shard <= 1_000_000:
+        start = F.broadcast(start)  # a pair of numbers for each bucket
     out = placed.join(start, "bucket").select("row.*", "size", "shard", "grown_shard", (F.col("start") + F.col("place")).alias("slot"))
     out._written_path = placed._written_path
     return out

@@ -451,6 +451,10 @@ def test_op7(spark, docs, texts, edges, empty, tmp_path):
     few = sharding.external_shuffle(docs, shards=3, bucket_bytes=20_000)
     sharding.write_shards(few, str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == len(texts)
+    alike = spark.createDataFrame([(5, "x" * 100)] * 500 + [(i, "y") for i in range(20)], "doc_id long, text string")
+    got = sharding.external_shuffle(alike, shards=2, bucket_bytes=2_000).collect()
+    shard = Counter(r["shard"] for r in got)
+    assert len({r["shard"] for r in got if r["doc_id"] == 5}) == 1 and all(sorted(r["slot"] for r in got if r["shard"] == s) == list(range(n)) for s, n in shard.items())
     got = sharding.external_shuffle(edges, shards=2).collect()
     assert len(got) == len(EDGES) and all(sorted(r["slot"] for r in got if r["shard"] == s) == list(range(sum(r["shard"] == s for r in got))) for s in (0, 1))
     assert sharding.external_shuffle(empty).count() == 0
