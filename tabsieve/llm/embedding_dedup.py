@@ -179,8 +179,10 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, seed: int = 3) -> D
             hit[i] = hit[j] = True
         return t.select(["kind", "block", "task", "uid", "side"]).filter(pa.array(hit))
 
-    found = dealt(placed(reps, cosine, seed), cosine).groupBy("kind", "block", "task").applyInArrow(search, "kind long, block int, task long, uid long, side int")
+    at = written(placed(reps, cosine, seed), "near-vectors-placed")
+    found = dealt(at, cosine).groupBy("kind", "block", "task").applyInArrow(search, "kind long, block int, task long, uid long, side int")
     found = written(found, "near-vectors-candidates")
+    forget(at)
 
     def verify(t: pa.Table) -> pa.Table:
         """Links of a task's candidates: counted, and a spanning forest."""
