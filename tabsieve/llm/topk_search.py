@@ -23,66 +23,74 @@ from ._shared import written
 from .vectors import numbered
 
 SCALE = 256
-ROUNDS = 20  # in which a list is read, if it is read to its end
+ROUNDS = (0.25, 0.5, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95)  # shares of the lists that are read when bounds are taken
 FEW = 8  # times k: so few candidates that overlap are resolved at once
+PART = 256  # queries bounded at once
 QUERY_BLOCK, ROW_BLOCK = 1024, 4096
 
 
 class Lists:
-    """A block's lists: the rows of each dimension in order of their components, and the components."""
+    """A block's lists: each dimension's components in order."""
 
     def __init__(self, x: np.ndarray):
         self.x = x
         self.n, self.dims = x.shape
-        self.rows = np.argsort(x, axis=0, kind="stable").T.copy()
-        self.values = np.take_along_axis(x, self.rows.T, axis=0).T.copy()
-
-    def candidates(self, q: np.ndarray, k: int, own: int = -1) -> tuple[np.ndarray, int]:
-        """(rows that can be among the k best for q, with all of these among them; entries read of each list). own: a row to leave out."""
-        n, on = self.n, np.flatnonzero(q)
-        others = n - (own >= 0)
-        alive = np.delete(np.arange(n), own) if own >= 0 else np.arange(n)
-        if others <= k or not len(on):
-            return alive, 0
-        # Lists that the query favours at their upper end are read backwards.
-        rows, values = self.rows[on], self.values[on] * q[on, None]
-        up = q[on] > 0
-        rows[up], values[up] = rows[up, ::-1], values[up, ::-1]
-        worst = values[:, -1]
-        low = np.full(n, worst.sum())
-        if own >= 0:
-            low[own] = -np.inf
-        unread = np.ones((n, len(on)), np.float32)
-        column = np.broadcast_to(np.arange(len(on))[:, None], rows.shape)
-        step = max(1, math.ceil(n / ROUNDS))
-        for lo in range(0, n, step):
-            hi = min(n, lo + step)
-            low += np.bincount(rows[:, lo:hi].ravel(), (values[:, lo:hi] - worst[:, None]).ravel(), n)
-            unread[rows[:, lo:hi], column[:, lo:hi]] = 0
-            bound = values[:, hi - 1]
-            kth = np.partition(low, n - k)[n - k]
-            # No upper bound is below the sum of the present values: until that is below the k-th, nothing can go.
-            if bound.sum() >= kth:
+        self.values = np.sort(x, axis=0)
+
+    def _bounds(self, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        """Each row's components as far as reading to this depth tells, at best and at worst, for lists read from their upper
+        ends and (second half) from their lower ends. A component that is read is itself; an unread one is at best the
+        list's present value, at worst its last one."""
+        top, bottom = self.values[self.n - depth], self.values[depth - 1]
+        high = np.concatenate((np.maximum(self.x, top), np.minimum(self.x, bottom)), axis=1)
+        low = np.concatenate((np.where(self.x >= top, self.x, self.values[0]), np.where(self.x <= bottom, self.x, self.values[-1])), axis=1)
+        return high.astype(np.float32), low.astype(np.float32)
+
+    def candidates(self, queries: np.ndarray, k: int, own: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+        """For each query, (rows that can be among its k best, with all of these among them; entries it read of each list).
+        own: each query's row to leave out, or -1.
+
+        Lists are read on together; each query has bounds of its own and stops by itself, once few rows are left. With
+        the components clipped to what is read, the bounds of many queries are one matrix product.
+        """
+        n, q = self.n, len(queries)
+        alive = np.ones((q, n), bool)
+        at = np.flatnonzero(own >= 0)
+        alive[at, own[at]] = False
+        depth = np.full(q, n)
+        going = np.flatnonzero(alive.sum(axis=1) > k)
+        depth[alive.sum(axis=1) <= k] = 0
+        # A query reads a list from the end that its own component's sign favours.
+        signed = np.concatenate((np.maximum(queries, 0), np.minimum(queries, 0)), axis=1).astype(np.float32)
+        # Products are in single precision: what they can be off.
+        off = 1.2e-7 * 4 * self.dims * (np.abs(queries) @ np.maximum(np.abs(self.values[0]), np.abs(self.values[-1])))
+        for share in ROUNDS:
+            t = int(n * share)
+            if not len(going) or t < 1:
                 continue
-            gap = bound - worst
-            high = low[alive] + unread[alive] @ gap.astype(np.float32)
-            alive = alive[high + 1.2e-7 * len(on) * gap.sum() >= kth]  # the product is in single precision
-            if len(alive) <= FEW * k:
-                return alive, hi
-        return alive, n
+            high, low = self._bounds(t)
+            lower = signed[going] @ low.T
+            lower[~alive[going]] = -np.inf
+            kth = np.partition(lower, n - k, axis=1)[:, n - k]
+            alive[going] &= signed[going] @ high.T >= (kth - off[going])[:, None]
+            few = alive[going].sum(axis=1) <= FEW * k
+            depth[going[few]] = t
+            going = going[~few]
+        return [np.flatnonzero(x) for x in alive], depth
 
 
 def nra_block(q: np.ndarray, own: np.ndarray, rid: np.ndarray, x: np.ndarray, k: int):
     """For each query, its k best (query, row, score) among the block's rows, ties to the smaller id; never the row own.
 
-    Rows are given in order of their ids. Sums are exact: all products are integers below 2**53 in double precision.
+    Rows are given in order of their ids. Final scores are exact: all products are integers below 2**53.
     """
     lists = Lists(x)
-    for i in range(len(q)):
-        alive, _ = lists.candidates(q[i], k, int(own[i]))
-        final = x[alive] @ q[i]
-        for c in np.lexsort((alive, -final))[:k]:
-            yield i, alive[c], int(final[c])
+    for lo in range(0, len(q), PART):
+        found, _ = lists.candidates(q[lo : lo + PART], k, own[lo : lo + PART])
+        for i, alive in enumerate(found, lo):
+            final = x[alive] @ q[i]
+            for c in np.lexsort((alive, -final))[:k]:
+                yield i, alive[c], int(final[c])
 
 
 def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = SCALE) -> DataFrame:
