@@ -147,15 +147,24 @@ def all_outliers(values: DataFrame, cultures: tuple[str, ...], n: int, read: Dat
     other values than the n distinct ones that come first, so only these few are looked up among all cells.
     """
     t = _readings(tally(values), [culture(c) for c in cultures]) if read is None else read
-    fails = []
+    # Cultures that read alike fail alike: each kind of failure is looked up once.
+    fails, alike = [], {}
     for k, c in enumerate(cultures):
-        fails += [F.struct(F.lit(c).alias("culture"), F.lit(False).alias("dates"), (~(F.col(f"i_{k}") | F.col(f"d_{k}"))).alias("unread")), F.struct(F.lit(c).alias("culture"), F.lit(True).alias("dates"), F.col(f"t_{k}").isNull().alias("unread"))]
+        own = culture(c)
+        for dates, key, unread in ((False, (own.decimal, frozenset(own.group)), ~(F.col(f"i_{k}") | F.col(f"d_{k}"))), (True, (own.order, tuple(own.month_names().items())), F.col(f"t_{k}").isNull())):
+            first = alike.setdefault((dates, key), (c, []))
+            first[1].append(c)
+            if first[0] == c:
+                fails.append(F.struct(F.lit(c).alias("culture"), F.lit(dates).alias("dates"), unread.alias("unread")))
     one = t.select("column_index", "kind", "text", "first_row", F.inline(F.filter(F.array(*fails), lambda w: F.coalesce(w["unread"], F.lit(True))))).drop("unread")
     early = W.partitionBy("column_index", "culture", "dates").orderBy("first_row", "kind", "text")
     few = one.withColumn("place", F.row_number().over(early)).where(F.col("place") <= n).drop("place", "first_row")
     found = values.select("column_index", "name", "kind", "row_number", "text").join(F.broadcast(few), ["column_index", "kind", "text"])  # n values a column, culture and kind
     by = W.partitionBy("column_index", "culture", "dates").orderBy("row_number")
-    return found.withColumn("place", F.row_number().over(by)).where(F.col("place") <= n).select("culture", "dates", "column_index", "name", "place", "row_number", "text")
+    found = found.withColumn("place", F.row_number().over(by)).where(F.col("place") <= n)
+    twins = F.array(*[F.struct(F.lit(first).alias("of"), F.lit(d).alias("d"), F.lit(c).alias("c")) for (d, _), (first, same) in alike.items() for c in same])
+    own = F.filter(twins, lambda x: (x["of"] == F.col("culture")) & (x["d"] == F.col("dates")))
+    return found.select(F.explode(own).alias("own"), "dates", "column_index", "name", "place", "row_number", "text").select(F.col("own.c").alias("culture"), "dates", "column_index", "name", "place", "row_number", "text")
 
 
 def top_values(tallied: DataFrame, n: int) -> DataFrame:

@@ -44,12 +44,16 @@ def problem(f: T.StructField, form: str) -> Column:
     return F.when((R.length16(text) if workbook else F.length(text)) > (MAX_TEXT if workbook else MAX_FIELD_CHARS), "write.text-too-long").when(text.rlike(NOT_IN_XML), "write.invalid-character")
 
 
-def first_problem(df: DataFrame, row: str, problems: dict[str, Column]) -> None:
-    """Raises the first refusal in order of rows, then columns. One pass; rows without any are not sorted."""
+def first_problem(df: DataFrame, row: str, problems: dict[str, Column]) -> int:
+    """Raises the first refusal in order of rows, then columns; else the number of rows. One pass, without a sort."""
     found = F.array(*[F.struct(F.lit(i).alias("place"), F.lit(n).alias("column"), p.alias("code")) for i, (n, p) in enumerate(problems.items())])
-    bad = df.select(F.col(f"`{row}`").alias("row_number"), F.inline(found)).where("code is not null").orderBy("row_number", "place").first()
-    if bad:
-        raise WriteError(bad["code"], f"row {bad['row_number']}, column {bad['column']}", row=bad["row_number"], column=bad["column"])
+    one = F.get(F.filter(found, lambda x: x["code"].isNotNull()), F.lit(0))
+    seen = df.select(F.col(f"`{row}`").alias("row_number"), one.alias("one"))
+    r = seen.agg(F.count(F.lit(1)).alias("n"), F.min(F.when(F.col("one").isNotNull(), F.struct("row_number", "one"))).alias("first")).first()
+    if r["first"]:
+        at, bad = r["first"]["row_number"], r["first"]["one"]
+        raise WriteError(bad["code"], f"row {at}, column {bad['column']}", row=at, column=bad["column"])
+    return r["n"]
 
 
 def check_headers(names: list[str]) -> None:

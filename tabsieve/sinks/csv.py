@@ -12,7 +12,7 @@ from ..errors import WriteError
 from ..functions import readings as R
 from ..functions.cultures import culture
 from ..sources.dialect import MAX_QUOTED_LINES
-from .checks import check_headers, problem
+from .checks import check_headers, first_problem, problem
 
 
 @dataclass(frozen=True)
@@ -50,20 +50,24 @@ def quoted(text: Column, delimiter: str) -> Column:
     return F.coalesce(F.when(must, F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(text), F.lit(""))
 
 
-def refusals(df: DataFrame, row: str, options: CsvOptions = CsvOptions()) -> DataFrame:
-    """(row_number, column, code) of values that would not read back."""
-    o, d = options, options.resolved()
-    names = [f for f in df.schema.fields if f.name != row]
-    found = []
-    for i, f in enumerate(names):
+def problems(df: DataFrame, row: str, options: CsvOptions = CsvOptions()) -> dict[str, Column]:
+    """By column: the code of a value that would not read back, else null."""
+    d = options.resolved()
+    fields = [f for f in df.schema.fields if f.name != row]
+    out = {}
+    for f in fields:
         c = F.col(f"`{f.name}`")
-        own = problem(f, "csv")
-        code = own
+        out[f.name] = problem(f, "csv")
         if isinstance(f.dataType, T.StringType):
             breaks = F.regexp_count(c, F.lit("\r\n|\r|\n"))
-            swallowed = (breaks > 0) & (F.lit(len(names)) >= 5) & (F.length(c) - F.length(F.replace(c, F.lit(d), F.lit(""))) >= len(names) - 1)
-            code = F.coalesce(own, F.when(breaks > MAX_QUOTED_LINES, "write.too-many-lines").when(swallowed, "write.ambiguous-line-breaks"))
-        found.append(F.struct(F.lit(i).alias("place"), F.lit(f.name).alias("column"), code.alias("code")))
+            swallowed = (breaks > 0) & (F.lit(len(fields)) >= 5) & (F.length(c) - F.length(F.replace(c, F.lit(d), F.lit(""))) >= len(fields) - 1)
+            out[f.name] = F.coalesce(out[f.name], F.when(breaks > MAX_QUOTED_LINES, "write.too-many-lines").when(swallowed, "write.ambiguous-line-breaks"))
+    return out
+
+
+def refusals(df: DataFrame, row: str, options: CsvOptions = CsvOptions()) -> DataFrame:
+    """(row_number, place, column, code) of values that would not read back."""
+    found = [F.struct(F.lit(i).alias("place"), F.lit(n).alias("column"), p.alias("code")) for i, (n, p) in enumerate(problems(df, row, options).items())]
     return df.select(F.col(row).alias("row_number"), F.inline(F.array(*found))).where("code is not null").select("row_number", "place", "column", "code")
 
 
@@ -81,22 +85,21 @@ def header_line(names: list[str], delimiter: str) -> str:
     return delimiter.join('"' + n.replace('"', '""') + '"' if any(c in n for c in ';,\t|"\r\n') else n for n in names)
 
 
-def checked(df: DataFrame, row: str, options: CsvOptions = CsvOptions()) -> None:
+def checked(df: DataFrame, row: str, options: CsvOptions = CsvOptions()) -> int:
+    """The number of rows; raises the first refusal."""
     check_headers([c for c in df.columns if c != row])
-    bad = refusals(df, row, options).orderBy("row_number", "place").first()
-    if bad:
-        raise WriteError(bad["code"], f"row {bad['row_number']}, column {bad['column']}", row=bad["row_number"], column=bad["column"])
+    return first_problem(df, row, problems(df, row, options))
 
 
 def write_csv(df: DataFrame, path: str, row: str, options: CsvOptions = CsvOptions()) -> int:
     """A folder of csv parts in row order, each with the header: every executor writes its own. Returns the rows written."""
-    checked(df, row, options)
+    n = checked(df, row, options)
     head = header_line([c for c in df.columns if c != row], options.resolved())
     mark = "﻿" if options.byte_order_mark else ""
-    parts = lines(df, row, options).orderBy("row_number").select("value", F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("i"))
+    parts = lines(df.orderBy(f"`{row}`"), row, options).select("value", F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("i"))
     first = F.pmod(F.col("i"), F.lit(1 << 33)) == 0
     parts.select(F.when(first, F.concat(F.lit(mark + head + "\r\n"), F.col("value"))).otherwise(F.col("value")).alias("value")).write.option("lineSep", "\r\n").text(path)
-    return df.count()
+    return n
 
 
 def csv_bytes(df: DataFrame, row: str, options: CsvOptions = CsvOptions()):
@@ -105,5 +108,5 @@ def csv_bytes(df: DataFrame, row: str, options: CsvOptions = CsvOptions()):
     if options.byte_order_mark:
         yield b"\xef\xbb\xbf"
     yield (header_line([c for c in df.columns if c != row], options.resolved()) + "\r\n").encode()
-    for r in lines(df, row, options).orderBy("row_number").select("value").toLocalIterator(prefetchPartitions=True):
+    for r in lines(df.orderBy(f"`{row}`"), row, options).select("value").toLocalIterator(prefetchPartitions=True):
         yield (r["value"] + "\r\n").encode()

@@ -215,12 +215,10 @@ def write_zip_of_csv(path: str, sheets: list[SheetOut], options: CsvOptions = Cs
     with whole(path, level) as z:
         for s in sheets:
             df = s.df.select(s.row, *[f"`{c}`" for c in s.columns])
-            checked(df, s.row, options)
-            count = df.count()
-            text = lines(df, s.row, options).orderBy("row_number").select(F.concat("value", F.lit("\r\n")).alias("value"))
+            out[s.name] = checked(df, s.row, options)
+            text = lines(df.orderBy(f"`{s.row}`"), s.row, options).select(F.concat("value", F.lit("\r\n")).alias("value"))
             head = ("﻿" if options.byte_order_mark else "") + header_line(s.columns, options.resolved()) + "\r\n"
             z.stream(f"{s.name}.csv", _with(head, _pieces(text, level), ""))
-            out[s.name] = count
     return out
 
 
