@@ -126,6 +126,7 @@ _PLAIN_HEAD = re.compile(rb"""(?s)\s*(?:<\?xml[^>]*?(?:encoding=["']utf-8["'][^>
 _ROW = re.compile(rb"(?s)<row\b([^>]*?)(?:/>|>(.*?)</row>)")
 _NUMBER_OF = re.compile(rb'\br="(\d+)"')
 _CELL = re.compile(rb'<c r="([A-Z]+)\d+"((?: [\w:]+="[^"]*")*)\s*(?:/>|>(?:<v>([^<]*)</v>|<is><t(?: xml:space="preserve")?>([^<]*)</t></is>)?</c>)')
+_CELLS = re.compile(b"(?:" + re.sub(rb"\((?!\?)", b"(?:", _CELL.pattern) + b")*+")
 _ATTRIBUTE = re.compile(rb'(\w+)="([^"]*)"')
 _columns: dict[bytes, int] = {}
 # The entities of XML.
@@ -269,43 +270,46 @@ class Xlsx:
 
     def _plain_cells(self, body: bytes) -> list[Cell] | None:
         """A row's cells; None if they aren't all of the usual form."""
+        if _CELLS.fullmatch(body) is None:
+            return None
         cells: list[Cell] = []
-        seen = 0
-        for m in _CELL.finditer(body):
-            if m.start() != seen:
-                return None
-            seen = m.end()
-            ref, attributes, value, text = m.groups()
-            if value is None and text is None:
+        known = self._known
+        for found in _CELL.findall(body):
+            ref, attributes, value, text = found
+            if not (value or text):
                 continue
+            c = known.get(found[1:])
+            if c is None:
+                c = self._plain_cell(attributes, value, text)
+                if c is None:
+                    return None
+                if len(known) < KNOWN_CELLS:
+                    known[found[1:]] = c
             i = _columns.get(ref)
             if i is None:
                 i = _columns[ref] = column_index(ref.decode())
-            known = self._known.get((attributes, value, text))
-            if known is not None:
-                if len(cells) <= i:
+            if i == len(cells):
+                cells.append(c)
+            else:
+                if i > len(cells):
                     cells += [EMPTY] * (i + 1 - len(cells))
-                cells[i] = known
-                continue
-            shape = self._shapes.get(attributes)
-            if shape is None:
-                found = dict(_ATTRIBUTE.findall(attributes))
-                shape = self._shapes[attributes] = (found.get(b"t", b"n").decode(), int(found.get(b"s", b"0") or 0))
-            raw = value if text is None else text
-            v = _entities(raw.decode("utf-8", "replace")) if b"&" in raw else raw.decode("utf-8", "replace")
-            if text is not None and "\r" in v:
-                return None  # a parser folds line ends
-            if len(cells) <= i:
-                cells += [EMPTY] * (i + 1 - len(cells))
-            cells[i] = c = text_cell(unescaped(v)) if text is not None else self._value(shape[0], v, shape[1])
-            if len(self._known) < KNOWN_CELLS:
-                self._known[attributes, value, text] = c
-        if seen != len(body):
-            return None
+                cells[i] = c
         while cells and cells[-1] is EMPTY:
             cells.pop()
         return cells
 
+    def _plain_cell(self, attributes: bytes, value: bytes, text: bytes) -> Cell | None:
+        shape = self._shapes.get(attributes)
+        if shape is None:
+            found = dict(_ATTRIBUTE.findall(attributes))
+            shape = self._shapes[attributes] = (found.get(b"t", b"n").decode(), int(found.get(b"s", b"0") or 0))
+        v = (value or text).decode("utf-8", "replace")
+        if "&" in v:
+            v = _entities(v)
+        if not text:
+            return self._value(shape[0], v, shape[1])
+        return None if "\r" in v else text_cell(unescaped(v))  # a parser folds line ends
+
     def _parsed_rows(self, part: str) -> Iterator[tuple[int, list[Cell]]]:
         last, closed = 0, False
         try:
