@@ -168,6 +168,47 @@ def test_op2_more_neighbours_than_asked():
     assert all(len({d % 2 for d in x}) == 1 for x in _sequences(docs, 600).values())
 
 
+def test_op2_brute_force():
+    """Windows filled by scores that plain loops make, best first and ties in order, are those of the index."""
+    rng = np.random.default_rng(12)
+    docs = [np.append(rng.zipf(1.5, int(rng.integers(1, 60))).clip(2, 400), 1).astype(np.uint16) for _ in range(120)]
+    df = np.bincount(np.concatenate([np.unique(d) for d in docs]), minlength=1 << 16)
+    idf, mean = np.log1p((len(docs) - df + 0.5) / (df + 0.5)).astype(np.float32), float(np.mean([len(d) for d in docs]))
+    counts = [Counter(x for x in d.tolist() if x != packing.END) for d in docs]
+
+    def score(seed, k):
+        out = 0.0
+        for t in counts[seed]:
+            tf = counts[k][t]
+            out += float(idf[t]) * tf * (packing.K1 + 1) / (tf + packing.K1 * (1 - packing.B + packing.B * len(docs[k]) / mean))
+        return out
+
+    window, free, pieces, seq, room, seed, start = 100, set(range(len(docs))), [], 0, 100, None, 0
+    while free or seed is not None:
+        if seed is None:
+            seed, start = min(free), 0
+            free.discard(seed)
+        queue = [(seed, start)]
+        at, seed = seed, None
+        while queue:
+            k, begin = queue.pop(0)
+            take = min(len(docs[k]) - begin, room)
+            pieces.append((k, begin, take, seq, window - room))
+            room -= take
+            if not room:
+                seq, room = seq + 1, window
+                if begin + take < len(docs[k]):
+                    seed, start = k, begin + take
+                break
+            if k == at:
+                queue = [(x, 0) for x in sorted(free, key=lambda x: (-round(score(at, x), 4), x)) if score(at, x) > 0]
+            if queue:
+                free.discard(queue[0][0])
+    got = list(packing.fill(docs, idf, mean, window))
+    same = sum(a == b for a, b in zip(got, pieces, strict=False))
+    assert len(got) == len(pieces) and same >= 0.9 * len(pieces)  # scores that differ by rounding only may swap
+
+
 def test_op2_special_texts():
     enc = packing.Encoder(packing.tokenizer_file())
     t = ["Ünï  CODE x　y", "a <|endoftext|> b", "<|x", "naïve café's 12ab ...", "\x00\x85z"]

@@ -59,6 +59,38 @@ def test_mix_stage(spark, docs):
 
 
 def test_run(spark, docs):
+    """The whole pipeline against plain versions of its stages: each document's ids, as often as the mix takes it."""
+    from tokenizers import Tokenizer
+
+    from tabsieve.llm import minhash_dedup as M
+    from tabsieve.llm import mixing, packing
+    from tabsieve.llm._shared import words
+
+    rows = {r["doc_id"]: r.asDict() for r in docs.collect() if any(ch.isalpha() for ch in r["text"] or "")}
+    idf = M.idf_table(*M.document_frequencies(docs))
+    sets = {k: M.weighted_shingles(words([r["text"].encode()])[3], idf) for k, r in rows.items()}
+    kept = []
+    group = {k: k for k in rows}  # smallest id among those that links reach
+
+    def top(k):
+        while group[k] != k:
+            k = group[k]
+        return k
+
+    ids = sorted(rows)
+    for i, a in enumerate(ids):
+        for b in ids[i + 1 :]:
+            if M.weighted_jaccard(sets[a], sets[b]) >= M.THRESHOLD:
+                group[max(top(a), top(b))] = min(top(a), top(b))
+    kept = [k for k in ids if top(k) == k]
+    for k in kept:
+        rows[k]["text"] = secrets.redact(rows[k]["text"], secrets.scan(rows[k]["text"])[1])
+    left = spark.createDataFrame([rows[k] for k in kept], docs.schema)
+    copies = {r["doc_id"]: r["copies"] for r in mixing.mix_sources(left).collect()}
+    tok = Tokenizer.from_file(packing.tokenizer_file())
+    want = {k: n * (len(tok.encode(rows[k]["text"], add_special_tokens=False).ids) + 1) for k, n in copies.items() if n}
     out = C.run(spark, SF)
-    n = out.groupBy("sequence_id").agg(F.sum("length").alias("n"))
-    assert n.where("n > 2048").count() == 0 and n.count() > 0
+    got = {r["doc_id"]: r["n"] for r in out.groupBy("doc_id").agg(F.sum("length").alias("n")).collect()}
+    assert got == want
+    n = out.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max(F.col("offset") + F.col("length")).alias("end"))
+    assert n.where("n > 2048 or n != end").count() == 0 and n.count() > 0
