@@ -12,7 +12,7 @@ from .operators import profile as P
 from .operators.extract import compile_plan, not_in
 from .plans import schema as S
 from .plans.mapping import by_header
-from .sinks.csv import CsvOptions, lines, refusals
+from .sinks.csv import CsvOptions, lines
 from .sources.dialect import Dialect
 from .sources.records import records
 
@@ -57,6 +57,11 @@ COLUMNS = {
 }
 
 
+def _shown(c: str) -> str:
+    """DuckDB: a cell's text."""
+    return f"strftime({c}, '%Y-%m-%d')" if c.endswith("date") else f"regexp_replace({c}::VARCHAR, '[.]0$', '')" if c.endswith(("price", "bal")) else f"{c}::VARCHAR"
+
+
 def profile_lengths(spark, sf):
     """Shortest and longest value, in UTF-16 units."""
     t = P.tally(P.cells(_t(spark, sf, "documents"), "doc_id", ["doc_id", "lang", "source", "n_chars", "text"]))
@@ -64,26 +69,26 @@ def profile_lengths(spark, sf):
 
 
 def profile_number_range(spark, sf):
-    t = P.tally(_values(spark, sf, "orders", ["o_totalprice", "o_custkey"]))
-    return P.column_facts(t, 0, ("",)).select(F.col("name").alias("column_name"), (F.col("integers_0") + F.col("decimals_0")).alias("numbers"), F.col("min_number_0").cast("double").alias("min_number"), F.col("max_number_0").cast("double").alias("max_number"))
+    t = P.tally(_values(spark, sf, "lineitem")).unionByName(P.tally(_values(spark, sf, "orders")))
+    return P.column_facts(t.where("kind = 'Number'"), 0, ("",)).select(F.col("name").alias("column_name"), (F.col("integers_0") + F.col("decimals_0")).alias("numbers"), F.col("min_number_0").cast("double").alias("min_number"), F.col("max_number_0").cast("double").alias("max_number"))
 
 
 def top_values(spark, sf):
-    return P.top_values(P.tally(_values(spark, sf, "orders", ["o_orderpriority", "o_orderstatus"])), 20).select(F.col("name").alias("column_name"), F.col("place").alias("place"), F.col("text").alias("value"), F.col("n").alias("n"))
+    return P.top_values(P.tally(_values(spark, sf, "orders")), 20).select(F.col("name").alias("column_name"), F.col("place").alias("place"), F.col("text").alias("value"), F.col("n").alias("n"))
 
 
 def first_samples(spark, sf):
-    return P.first_values(_values(spark, sf, "customer", ["c_name", "c_mktsegment"]), 10).select(F.col("name").alias("column_name"), "place", "row_number", F.col("text").alias("value"))
+    return P.first_values(_values(spark, sf, "customer"), 10).select(F.col("name").alias("column_name"), "place", "row_number", F.col("text").alias("value"))
 
 
 def value_tally(spark, sf):
     """All distinct values in order of first appearance, of columns that have few."""
-    t = P.tally(_values(spark, sf, "customer", ["c_mktsegment", "c_name"]))
+    t = P.tally(_values(spark, sf, "customer"))
     return P.distinct_values(t, 100).select(F.col("name").alias("column_name"), "place", F.col("text").alias("value"), "n")
 
 
 def rows_with_value_in(spark, sf):
-    return P.rows_with_value_in(P.tally(_values(spark, sf, "customer", ["c_mktsegment"])), "c_mktsegment", ["BUILDING", "MACHINERY"])
+    return P.rows_with_value_in(P.tally(_values(spark, sf, "customer")), "c_mktsegment", ["BUILDING", "MACHINERY"])
 
 
 def _rendered_orders(spark, sf):
@@ -229,11 +234,6 @@ def csv_roundtrip(spark, sf):
     return out.select("doc_id", "lang", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
-def csv_refusals(spark, sf):
-    """Documents that a csv can't hold so that they read back: too many line breaks."""
-    return refusals(_t(spark, sf, "documents").select("doc_id", "text"), "doc_id").select("row_number", F.col("column").alias("column_name"), "code")
-
-
 def header_match(spark, sf):
     headers = ["CUST KEY", "c-name", "C.AcctBal", "", "segment"]
     schema = S.Schema((S.Field("custkey", "Integer"), S.Field("c_name"), S.Field("c_acctbal", "Decimal"), S.Field("Segment")))
@@ -262,15 +262,15 @@ def formula_guard(spark, sf):
     return _t(spark, sf, "customer").select("c_custkey", R.guarded(R.canonical_number(F.col("c_acctbal").cast("decimal(18,2)"))).alias("guarded"))
 
 
-QUERIES = {f.__name__: f for f in (profile_counts, profile_lengths, profile_number_range, top_values, first_samples, value_tally, rows_with_value_in, parse_counts, disagree_dates, grouped_numbers, extract_accept, extract_reject, review_summary, coverage, error_limit, allowed_values_large, alternatives_report, checksums, excel_serial, csv_roundtrip, csv_refusals, header_match, hypotheses, number_outliers, distinct_names, formula_guard)}
+QUERIES = {f.__name__: f for f in (profile_counts, profile_lengths, profile_number_range, top_values, first_samples, value_tally, rows_with_value_in, parse_counts, disagree_dates, grouped_numbers, extract_accept, extract_reject, review_summary, coverage, error_limit, allowed_values_large, alternatives_report, checksums, excel_serial, csv_roundtrip, header_match, hypotheses, number_outliers, distinct_names, formula_guard)}
 
 SQL = {
     "profile_counts": " UNION ALL ".join(_counts_sql(t, c) for t, c in COLUMNS.items()),
     "profile_lengths": " UNION ALL ".join(f"SELECT '{c}' AS column_name, min(length({e}))::INTEGER AS min_length, max(length({e}))::INTEGER AS max_length FROM documents WHERE {e} <> ''" for c in ("doc_id", "lang", "source", "n_chars", "text") for e in [f"regexp_replace(regexp_replace({c}::VARCHAR, '^\\s+', ''), '\\s+$', '')"]),
-    "profile_number_range": "SELECT 'o_totalprice' AS column_name, count(o_totalprice) AS numbers, min(o_totalprice)::DOUBLE AS min_number, max(o_totalprice)::DOUBLE AS max_number FROM orders UNION ALL SELECT 'o_custkey', count(o_custkey), min(o_custkey)::DOUBLE, max(o_custkey)::DOUBLE FROM orders",
-    "top_values": " UNION ALL ".join(f"SELECT * FROM (SELECT '{c}' AS column_name, row_number() OVER (ORDER BY count(*) DESC, {c})::INTEGER AS place, {c} AS value, count(*) AS n FROM orders GROUP BY {c}) WHERE place <= 20" for c in ("o_orderpriority", "o_orderstatus")),
-    "first_samples": " UNION ALL ".join(f"SELECT * FROM (SELECT '{c}' AS column_name, row_number() OVER (ORDER BY c_custkey)::INTEGER AS place, c_custkey::BIGINT AS row_number, {c} AS value FROM customer) WHERE place <= 10" for c in ("c_name", "c_mktsegment")),
-    "value_tally": "SELECT 'c_mktsegment' AS column_name, row_number() OVER (ORDER BY min(c_custkey))::INTEGER AS place, c_mktsegment AS value, count(*) AS n FROM customer GROUP BY c_mktsegment",
+    "profile_number_range": " UNION ALL ".join(f"SELECT '{c}' AS column_name, count({c}) AS numbers, min({c})::DOUBLE AS min_number, max({c})::DOUBLE AS max_number FROM {t}" for t, cs in COLUMNS.items() if t in ("orders", "lineitem") for c in cs if c.endswith(("key", "number", "price", "quantity", "discount", "tax"))),
+    "top_values": " UNION ALL ".join(f"SELECT * FROM (SELECT '{c}' AS column_name, row_number() OVER (ORDER BY count(*) DESC, {_shown(c)})::INTEGER AS place, {_shown(c)} AS value, count(*) AS n FROM orders GROUP BY {_shown(c)}) WHERE place <= 20" for c in COLUMNS["orders"]),
+    "first_samples": " UNION ALL ".join(f"SELECT * FROM (SELECT '{c}' AS column_name, row_number() OVER (ORDER BY c_custkey)::INTEGER AS place, c_custkey::BIGINT AS row_number, {_shown(c)} AS value FROM customer) WHERE place <= 10" for c in COLUMNS["customer"]),
+    "value_tally": " UNION ALL ".join(f"SELECT * FROM (SELECT '{c}' AS column_name, row_number() OVER (ORDER BY min(c_custkey))::INTEGER AS place, {_shown(c)} AS value, count(*) AS n FROM customer GROUP BY {_shown(c)}) WHERE (SELECT count(DISTINCT {c}) FROM customer) <= 100" for c in COLUMNS["customer"]),
     "rows_with_value_in": "SELECT count(*) AS rows FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')",
     "parse_counts": PARSE_SQL,
     "disagree_dates": "SELECT count(*) FILTER (WHERE day(o_orderdate) <= 12 AND day(o_orderdate) <> month(o_orderdate)) AS rows_read_differently, count(*) FILTER (WHERE day(o_orderdate) > 12) AS only_day_first FROM orders",
@@ -285,7 +285,6 @@ SQL = {
     "checksums": CHECKSUM_SQL,
     "excel_serial": "SELECT l_orderkey, l_linenumber, date_diff('day', DATE '1899-12-30', l_shipdate::DATE)::DOUBLE AS serial, strftime(l_shipdate, '%Y-%m-%d') AS back FROM lineitem",
     "csv_roundtrip": "SELECT doc_id, lang, md5(text) AS text_md5 FROM documents",
-    "csv_refusals": "SELECT doc_id AS row_number, 'text' AS column_name, 'write.too-many-lines' AS code FROM documents WHERE len(regexp_extract_all(text, '\\r\\n|\\r|\\n')) > 100",
     "hypotheses": "SELECT c AS column_name, p::BIGINT AS place, t AS type, k AS culture, 1.0::DOUBLE AS confidence FROM (VALUES ('signed', 1, 'Date', 'de-DE'), ('signed', 2, 'Text', ''), ('english', 1, 'Decimal', ''), ('english', 2, 'Decimal', 'en-US'), ('english', 3, 'Text', ''), ('german', 1, 'Decimal', 'de-DE'), ('german', 2, 'Text', ''), ('plain', 1, 'Decimal', 'de-DE'), ('plain', 2, 'Text', '')) x(c, p, t, k)",
     "header_match": "SELECT i::BIGINT AS column_index, h AS header, f AS field_name FROM (VALUES (0, 'CUST KEY', 'custkey'), (1, 'c-name', 'c_name'), (2, 'C.AcctBal', 'c_acctbal'), (4, 'segment', 'Segment')) x(i, h, f)",
     "number_outliers": "SELECT row_number() OVER (ORDER BY c_custkey)::INTEGER AS place, c_custkey::BIGINT AS row_number, 'none' AS value FROM customer WHERE c_custkey % 5 = 0 ORDER BY c_custkey LIMIT 20",

@@ -2,6 +2,9 @@
 
 import hashlib
 import os
+import shutil
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -39,7 +42,19 @@ def test_csv_roundtrip_of_many_lines(spark, tmp_path):
     assert got == {i: hashlib.md5(t.encode()).hexdigest() for i, t in enumerate(texts)}
 
 
-def test_entry_needs_no_llm():
+def test_entry_needs_no_llm(tmp_path):
+    """A copy of the repository without the subpackage lists the other queries; a broken subpackage raises."""
     import __spark_entry__ as e
 
     assert set(SQL) <= set(e.oracle_sql()) and set(QUERIES) <= set(e.queries()) and set(e.oracle_sql()) <= set(e.queries())
+    root = os.path.dirname(os.path.abspath(e.__file__))
+    shutil.copytree(f"{root}/tabsieve", tmp_path / "tabsieve", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(f"{root}/__spark_entry__.py", tmp_path)
+    names = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(*sorted(e.queries()))"], cwd=tmp_path, capture_output=True, text=True, check=True).stdout.split()
+    assert names == sorted(QUERIES)
+    (tmp_path / "tabsieve" / "llm").mkdir()
+    for name in ("tabsieve/llm/__init__.py", "corpus_pipeline.py"):
+        (tmp_path / name).write_text("")
+    (tmp_path / "tabsieve/llm/queries.py").write_text("import nothing_of_this_name\n")
+    broken = subprocess.run([sys.executable, "-c", "import __spark_entry__"], cwd=tmp_path, capture_output=True, text=True)
+    assert broken.returncode and "nothing_of_this_name" in broken.stderr
