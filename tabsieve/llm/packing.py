@@ -12,6 +12,7 @@ from __future__ import annotations
 import math
 import os
 import zlib
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -61,16 +62,17 @@ class Encoder:
         if len(self.at) > CACHED_WORDS:
             self._clear()
         at = self.at
-        rows = np.fromiter((at.get(x, -1) for x in uniq.tolist()), np.int64, len(uniq))
+        rows = np.fromiter(map(at.get, uniq.tolist(), repeat(-1)), np.int64, len(uniq))
         new = np.flatnonzero(rows < 0)
         if len(new):
             raw = b" ".join(t or b"" for t in texts)  # as written: buf is lower-cased
-            ids = [x.ids for x in self.tok.encode_batch_fast([raw[s[i] : e[i]].decode("utf-8", "replace") for i in where[new]], add_special_tokens=False)]
+            first_at = where[new]
+            ids = [x.ids for x in self.tok.encode_batch_fast([raw[i:j].decode("utf-8", "replace") for i, j in zip(s[first_at].tolist(), e[first_at].tolist(), strict=True)], add_special_tokens=False)]
             length = np.fromiter(map(len, ids), np.int64, len(ids))
             begin = len(self.flat) + np.cumsum(length) - length
             rows[new] = len(self.start) + np.arange(len(new))
             at.update(zip(uniq[new].tolist(), rows[new].tolist(), strict=True))
-            self.flat = np.concatenate((self.flat, np.fromiter((x for y in ids for x in y), np.uint16, int(length.sum()))))
+            self.flat = np.concatenate((self.flat, np.fromiter(chain.from_iterable(ids), np.uint16, int(length.sum()))))
             self.start, self.length = np.concatenate((self.start, begin)), np.concatenate((self.length, length))
         row = rows[inv]
         n = self.length[row]
@@ -83,7 +85,7 @@ class Encoder:
         sizes = np.array([len(whole[i]) + 1 if i in whole else bounds[i + 1] - bounds[i] + 1 for i in range(len(texts))], np.int64)
         return (np.concatenate(parts) if parts else np.zeros(0, np.uint16)), np.concatenate(([0], np.cumsum(sizes)))
 
-    def __call__(self, texts: list[bytes | None], step: int = 1 << 21):
+    def __call__(self, texts: list[bytes | None], step: int = 1 << 22):
         """Arrays of ids, text by text, a few MB of text at a time."""
         lo = size = 0
         for i in range(len(texts)):
@@ -120,11 +122,13 @@ def id_frequencies(tokens: DataFrame) -> np.ndarray:
     """In how many documents each id occurs, over all of them."""
 
     def count(batches):
-        total = np.zeros(1 << 16, np.int64)
+        total, last = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
         for b in batches:
-            seen = [np.unique(np.frombuffer(x, np.uint16)) for x in b.column(0).to_pylist()]
-            if seen:
-                total += np.bincount(np.concatenate(seen), minlength=1 << 16)
+            for x in b.column(0).to_pylist():
+                ids = np.frombuffer(x, np.uint16)
+                place = np.arange(len(ids))
+                last[ids] = place  # of an id's places in the document, one stays
+                total[ids[last[ids] == place]] += 1
         at = np.flatnonzero(total)
         yield pa.record_batch([pa.array(at), pa.array(total[at])], ["id", "n"])
 

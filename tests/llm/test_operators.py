@@ -132,6 +132,14 @@ def test_op2(spark, docs, texts, edges, empty):
     assert packing.pack(empty).count() == 0
 
 
+def test_op2_frequencies(spark, docs, texts):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(packing.tokenizer_file())
+    want = np.bincount(np.concatenate([np.unique(tok.encode(t, add_special_tokens=False).ids + [packing.END]) for t in texts.values()]), minlength=1 << 16)
+    assert (packing.id_frequencies(packing.tokenized(docs, packing.tokenizer_file())) == want).all()
+
+
 def test_op2_neighbours():
     """A window's seed is followed by the unused documents that share its rare ids."""
     rng = np.random.default_rng(1)
