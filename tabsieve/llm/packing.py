@@ -15,6 +15,7 @@ import zlib
 from itertools import chain, repeat
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,7 +51,7 @@ class Encoder:
         self._clear()
 
     def _clear(self):
-        self.at, self.start, self.length, self.flat = {}, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint16)
+        self.at, self.start, self.length, self.flat = {}, np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.uint16)
 
     def encode(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each followed by END; where each text's ids begin, and the end)."""
@@ -58,7 +59,9 @@ class Encoder:
         texts = [None if t and b"<|" in t else t for t in texts] if special else texts
         whole = {i: np.array(e.ids, np.uint16) for i, e in zip(special, self.tok.encode_batch_fast([self._orig[i].decode("utf-8", "replace") for i in special], add_special_tokens=False), strict=True)} if special else {}
         _, s, e, h, first = words(texts)
-        uniq, where, inv = np.unique(h, return_index=True, return_inverse=True)
+        inv, uniq = pd.factorize(h)  # by hash, without a sort
+        where = np.zeros(len(uniq), np.int64)
+        where[inv[::-1]] = np.arange(len(inv) - 1, -1, -1)  # of a word's places, the first stays
         if len(self.at) > CACHED_WORDS:
             self._clear()
         at = self.at
@@ -73,11 +76,11 @@ class Encoder:
             rows[new] = len(self.start) + np.arange(len(new))
             at.update(zip(uniq[new].tolist(), rows[new].tolist(), strict=True))
             self.flat = np.concatenate((self.flat, np.fromiter(chain.from_iterable(ids), np.uint16, int(length.sum()))))
-            self.start, self.length = np.concatenate((self.start, begin)), np.concatenate((self.length, length))
+            self.start, self.length = np.concatenate((self.start, begin.astype(np.int32))), np.concatenate((self.length, length.astype(np.int32)))
         row = rows[inv]
         n = self.length[row]
-        upto = np.concatenate(([0], np.cumsum(n)))
-        ids = self.flat[np.repeat(self.start[row] - upto[:-1], n) + np.arange(upto[-1])]
+        upto = np.concatenate(([0], np.cumsum(n, dtype=np.int64)))  # of a few MB of text: fits 32 bits
+        ids = self.flat[np.repeat(self.start[row] - upto[:-1].astype(np.int32), n) + np.arange(upto[-1], dtype=np.int32)]
         bounds = upto[first]
         parts = []
         for i in range(len(texts)):
@@ -173,8 +176,9 @@ class Index:
             out = np.bincount(np.concatenate([self.posting[a:b] for a, b in spans]), np.concatenate([self.weight[a:b] for a, b in spans]), self.n)
         else:
             out = np.zeros(self.n)
-        for i in rows[rows >= 0].tolist():
-            out += self.rows[i]
+        common = rows[rows >= 0]
+        for lo in range(0, len(common), 64):  # row by row for each document alike, so equal documents' sums are equal
+            out += np.add.reduce(self.rows[common[lo : lo + 64]], axis=0)
         return out
 
 
