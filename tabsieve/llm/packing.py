@@ -27,7 +27,7 @@ END = 1
 SHARD_TOKENS = 2_000_000
 ASKED = 64  # neighbours ranked at first; further ones are ranked while the window has room
 K1, B = 1.2, 0.75
-CACHED_WORDS = 1_200_000  # a worker's cache of words is emptied beyond this
+CACHED_WORDS = 1_800_000  # a worker's cache of words is emptied beyond this
 
 _encoders: dict = {}
 
