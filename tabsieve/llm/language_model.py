@@ -1,111 +1,146 @@
-"""Language-model scoring by a hierarchical Pitman-Yor model, beside an additive unigram baseline.
+"""Language-model scoring by a hierarchical Pitman-Yor model of word pairs, beside an additive unigram baseline.
 
-Two hierarchies of restaurants. Words (and the end of a text) are dishes of one restaurant over a uniform base of all
-words seen and one unseen. A word's ending, its last two symbols, is drawn symbol by symbol from restaurants whose
-context is the previous word's ending and what is drawn already; contexts share parents with one symbol less, down to
-none over a uniform base. A known word's probability is that of its ending in its context times its share among the
-words of that ending; an unseen word has the word restaurant's probability of the unseen dish. Symbols are the end, a
-word of one byte's missing one, the 62 most frequent bytes, and one for all others, so the restaurants of endings fit a
-table of a fixed size (64**4) whatever the corpus; words are counted whole, without a cap.
+Each word (and the end of a text, which is the word before a text's first one) has a restaurant of its own: its customers
+are the words that follow it. Their tables are customers of the one restaurant of words, whose base is uniform over all
+words seen and one unseen. A word's probability is that of its restaurant's context, unseen words share one dish.
 
 Seating is sampled by Gibbs in blocks: all customers of one dish in one restaurant leave and sit down again one after
-the other by the Chinese-restaurant rule, given the parent's present probabilities; tables become customers of the
-parent. Long queues sit down in parties of an eighth of those seated, whose new tables are drawn at once. Predictive
-probabilities are averaged over the samples.
-
-Word counts grow with the corpus: they are summed and seated by Spark, broadcast while they are at most BROADCAST_WORDS.
-Beyond that the COMMON most frequent ones at most are broadcast and the others joined by word, so no word is a hot key.
+the other by the Chinese-restaurant rule, given the tables and the parent's probabilities of the sweep before. Long queues
+sit down in parties of an eighth of those seated, whose new tables are drawn at once. Numbers drawn hang on the words
+alone. Scores take the seats' averages over the samples, so each context's probabilities sum to one.
+
+Nothing that grows with the corpus is broadcast or sent to the driver. Texts are cut into chunks; a chunk's distinct pairs
+go to parts by their second word (hash ranges), those of the most common words by both words. A part keeps its pairs as
+arrays, so words' customers are at hand; the tables of contexts are summed in other parts, by blocks of arrays, each sweep.
+At the end parts answer each chunk in the order of its pairs, and its texts, read again, meet the answers.
 """
 
 from __future__ import annotations
 
+import gc
+import pickle
+import uuid
+from itertools import groupby
+
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import batch_texts, bounded_batches, forget, mix, portions, words, written
+from ..scratch import shared_folder
+from ._shared import batch_texts, bounded_batches, forget, mix, words, written
 from .language_id import held_out
 
-SYMBOLS, ORDER = 64, 4
-DISCOUNT = (0.5, 0.6, 0.7, 0.75)  # of endings, by the number of symbols in the context
+SYMBOLS = 64
+DISCOUNT = (0.5, 0.6, 0.7, 0.75)  # of symbols, by their number in the context
 STRENGTH = (1.0, 1.0, 1.0, 1.0)
-WORD_STRENGTH = 10.0
+WORD_STRENGTH, PAIR_STRENGTH = 10.0, 1.0
 BURN_IN, SAMPLES = 1, 3
 ALPHA = 0.1
-BROADCAST_WORDS = 10_000_000  # 16 bytes each
 COMMON = 10_000  # words with a larger share of all than one in COMMON: there are no more than that
+CHUNK = 1 << 23  # bytes of text whose pairs are told apart at once
+PART_TOKENS, MOST_PARTS = 1 << 21, 1 << 13
+END, REST = -1, -2  # the end of a text as a word; all words that are not common, in sums
+STATE, REPLY = -1, -(1 << 40)  # tags of blocks: replies come first, then the state, then what chunks have
+BLOCK = "q int, tag long, blob binary"
 
 
 def _word_ids(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(1)).astype(np.int64)
 
 
-def _endings(buf, s, e, code: np.ndarray) -> np.ndarray:
-    """The last two symbols of each word as one number; the end of a text is 0."""
-    before = np.where(e - s > 1, code[buf[np.maximum(e - 2, 0)]], 0).astype(np.int32)
-    return before * SYMBOLS + code[buf[e - 1]]
+def _home(ids: np.ndarray, parts: int) -> np.ndarray:
+    """The part of each word: ranges of hashes, so sorted words are sorted by part."""
+    return np.maximum((ids >> 32) * parts >> 31, 0)
 
 
-def _with_ends(x: np.ndarray, first: np.ndarray, end) -> np.ndarray:
-    """A value of each word, and one for the end of each text after its words."""
-    return np.insert(x, first[1:], end)
+def _pair_hash(w: np.ndarray, u: np.ndarray) -> np.ndarray:
+    return mix(w.astype(np.uint64) ^ mix(u.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)))
 
 
-def _in_context(endings: np.ndarray) -> np.ndarray:
-    """Each ending after the one before it, as one number; a text begins after an end."""
-    return np.concatenate((np.zeros(min(1, len(endings)), np.int32), endings[:-1])) * SYMBOLS**2 + endings
+def _pack(*values) -> bytes:
+    """Values as bytes; integers from 0 on take as few bytes as the largest one needs."""
+    raw = pickle.dumps([x.astype(np.min_scalar_type(x.max(initial=0))) if isinstance(x, np.ndarray) and x.dtype == np.int64 and x.min(initial=0) >= 0 else x for x in values], 5)
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
 
 
-def word_and_byte_counts(docs: DataFrame) -> DataFrame:
-    """(kind, word, n) over the texts in column t: kind 0 words, 1 bytes (a space after each word is byte 0), 2 ends."""
+def _unpack(blob: bytes) -> list:
+    """What _pack was given, integers as int64 again."""
+    values = pickle.loads(pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), "zstd", asbytes=True))
+    return [x.astype(np.int64) if isinstance(x, np.ndarray) and x.dtype.kind in "iu" else x for x in values]
+
+
+def _blocks(rows):
+    q, tag, blob = zip(*rows, strict=True)
+    return pa.record_batch([pa.array(q, pa.int32()), pa.array(tag, pa.int64()), pa.array(blob, pa.binary())], ["q", "tag", "blob"])
+
+
+def _rows(batches):
+    for b in batches:
+        for i in range(b.num_rows):
+            yield b.column(0)[i].as_py(), b.column(1)[i].as_py(), b.column(2)[i].as_py()
 
-    def run(batches):
-        for b in batches:
-            texts = batch_texts(b.column(0))
-            for lo, hi in portions(texts):
-                buf, s, e, h, _ = words(texts[lo:hi])
-                _, at, n = np.unique(h, return_index=True, return_counts=True)
-                raw = buf.tobytes()
-                some = [raw[i:j] for i, j in zip(s[at].tolist(), e[at].tolist(), strict=True)]
-                by = np.bincount(buf, minlength=256)
-                seen = np.flatnonzero(by[1:]) + 1
-                kind = np.zeros(len(at) + len(seen) + 1, np.int32)
-                kind[len(at) :], kind[-1] = 1, 2
-                yield pa.record_batch([pa.array(kind), pa.array([*some, *(bytes([i]) for i in seen), b""], pa.binary()), pa.array(np.concatenate((n, by[seen], [hi - lo])))], ["kind", "word", "n"])
 
-    return docs.select("t").mapInArrow(run, "kind int, word binary, n long").groupBy("kind", "word").agg(F.sum("n").alias("n"))
+def _grouped(blocks: DataFrame, parts: int, run) -> DataFrame:
+    """run(q, iterator of (tag, blob) by tag) of each part, which yields rows of other blocks."""
 
+    def each(batches):
+        for q, rows in groupby(_rows(batches), key=lambda r: r[0]):
+            for row in run(q, (r[1:] for r in rows)):
+                yield _blocks([row])
 
-def symbol_code(bytes_: dict[int, int]) -> np.ndarray:
-    """The symbol of each byte: 1 to 62 by frequency, 63 for all others."""
-    code = np.full(256, SYMBOLS - 1, np.int32)
-    code[sorted(range(1, 256), key=lambda b: (-bytes_.get(b, 0), b))[: SYMBOLS - 2]] = np.arange(1, SYMBOLS - 1)
-    return code
+    return blocks.repartition(parts, "q").sortWithinPartitions("q", "tag").mapInArrow(each, BLOCK)
 
 
-def ending_counts(docs: DataFrame, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(endings in context as numbers, sorted; counts), over all texts in column t. At most 64**4."""
+def _chunks(batches):
+    """(number, texts, ids, whether to learn from each) of about CHUNK bytes of text; the same whenever rows are read."""
+    number, size, kept = TaskContext.get().partitionId() << 32, 0, ([], [], [])
+    for b in batches:
+        for row in zip(batch_texts(b.column(0)), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+            for x, y in zip(kept, row, strict=True):
+                x.append(y)
+            size += len(row[0] or b"")
+            if size >= CHUNK:
+                yield number, *kept
+                number, size, kept = number + 1, 0, ([], [], [])
+    if kept[0]:
+        yield number, *kept
+
+
+def _tokens(texts) -> tuple[np.ndarray, np.ndarray]:
+    """The words and ends of texts, and the number of each text's."""
+    _, _, _, h, first = words(texts)
+    return np.insert(_word_ids(h), first[1:], END), np.diff(first) + 1
+
+
+def _pairs(w: np.ndarray, parts: int, common: np.ndarray):
+    """Distinct words, sorted; distinct pairs as part, word and word before (places among those), sorted; each token's pair."""
+    ids, at = np.unique(w, return_inverse=True)
+    before = np.concatenate((np.zeros(1, np.int64), at[:-1]))  # an end is the smallest word
+    q = _home(ids, parts)[at]
+    spread = np.flatnonzero(np.isin(ids, common)[at])
+    q[spread] = _home(_word_ids(_pair_hash(w[spread], ids[before[spread]])), parts)
+    if len(ids) >= 1 << 25:
+        raise ValueError("a text has more than 2**25 different words")
+    key, place = np.unique(q << 50 | at << 25 | before, return_inverse=True)
+    return ids, key >> 50, key >> 25 & (1 << 25) - 1, key & (1 << 25) - 1, place
+
+
+def common_words(docs: DataFrame, most: int) -> tuple[np.ndarray, int]:
+    """(words, at most most, whose share of a chunk and of all is above one in COMMON; the number of tokens)."""
 
     def run(batches):
-        total = np.zeros(SYMBOLS**ORDER, np.int32)
-        for b in batches:
-            texts = batch_texts(b.column(0))
-            for lo, hi in portions(texts):
-                buf, s, e, _, first = words(texts[lo:hi])
-                u, n = np.unique(_in_context(_with_ends(_endings(buf, s, e, code), first, 0)), return_counts=True)
-                total[u] += n.astype(np.int32)
-                if total[u].max(initial=0) > 1 << 30:
-                    at = np.flatnonzero(total)
-                    yield pa.record_batch([pa.array(at.astype(np.int32)), pa.array(total[at].astype(np.int64))], ["g", "n"])
-                    total[:] = 0
-        at = np.flatnonzero(total)
-        yield pa.record_batch([pa.array(at.astype(np.int32)), pa.array(total[at].astype(np.int64))], ["g", "n"])
-
-    rows = docs.select("t").mapInArrow(run, "g int, n long").groupBy("g").agg(F.sum("n").alias("n")).toArrow()
-    g, n = rows["g"].to_numpy(), rows["n"].to_numpy()
-    order = np.argsort(g)
-    return g[order].astype(np.int64), n[order]
+        for _, texts, _, _ in _chunks(batches):
+            w = _tokens(texts)[0]
+            ids, n = np.unique(w, return_counts=True)
+            often = n > len(w) / COMMON
+            yield pa.record_batch([pa.array(np.append(ids[often], REST)), pa.array(np.append(n[often], len(w)))], ["id", "n"])
+
+    sums = docs.mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    total = (sums.where(F.col("id") == REST).agg(F.sum("n")).first()[0]) or 0
+    often = sums.where((F.col("id") != REST) & (F.col("n") > total / COMMON)).orderBy(F.desc("n"), "id").limit(most).collect() if most and total else []
+    return np.array(sorted(r["id"] for r in often), np.int64), total
 
 
 def binomial_by_hash(key: np.ndarray, seed: int):
@@ -145,7 +180,8 @@ def seat(c: np.ndarray, new: np.ndarray, other: np.ndarray, d: float, strength:
 
 
 def hierarchical_pitman_yor(g: np.ndarray, counts: np.ndarray, order: int, burn_in: int = BURN_IN, samples: int = SAMPLES, seed: int = 1) -> np.ndarray:
-    """P(symbol | order - 1 symbols) for all 64**order, averaged over Gibbs samples of the seating."""
+    """P(symbol | order - 1 symbols) for all 64**order, averaged over Gibbs samples of the seating: a hierarchy in memory,
+    of deeper contexts than word pairs. The query has no part in it."""
     rng = np.random.default_rng(seed)
     mean = np.zeros(SYMBOLS**order, np.float32)
     # Cells of each order: the n-gram by its last symbols; cells[k] of order k + 1.
@@ -186,145 +222,236 @@ def hierarchical_pitman_yor(g: np.ndarray, counts: np.ndarray, order: int, burn_
     return mean
 
 
-def seated_words(vocabulary: DataFrame, new: float, tables: int, d: float, seed: int) -> DataFrame:
-    """vocabulary (word, n, tables, sat) with the words' customers seated anew; sat sums up their tables."""
-
-    def run(batches):
-        for b in batches:
-            c, t = b.column("n").to_numpy(), b.column("tables").to_numpy()
-            key = words(b.column("word").to_pylist())[3]
-            sat = seat(c, np.full(len(c), new), tables - t, d, WORD_STRENGTH, binomial_by_hash(key, seed))
-            yield pa.record_batch([b.column("word"), b.column("n"), pa.array(sat), pa.array(b.column("sat").to_numpy() + sat)], ["word", "n", "tables", "sat"])
-
-    return vocabulary.select("word", "n", "tables", "sat").mapInArrow(run, "word binary, n long, tables long, sat long")
-
-
-def score_texts(docs: DataFrame, text: str = "text", key: str = "doc_id", mod: int = 10, remainder: int = 0, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
+class Part:
+    """The pairs of one part, sorted by word and word before: counts, tables, tables summed over samples."""
+
+    FIELDS = ("w", "runs", "u", "at", "n", "t", "sat", "tau", "tau_sat")
+
+    def __init__(self, *values):
+        self.__dict__.update(zip(self.FIELDS, values, strict=True))
+        self.of = np.repeat(np.arange(len(self.w)), self.runs)
+
+    def blob(self) -> bytes:
+        return _pack(*(getattr(self, f) for f in self.FIELDS))
+
+    def by_word(self, x: np.ndarray) -> np.ndarray:
+        return np.bincount(self.of, weights=x, minlength=len(self.w)).astype(np.int64)
+
+    def by_context(self, x: np.ndarray) -> np.ndarray:
+        return np.bincount(self.at, weights=x, minlength=len(self.u)).astype(np.int64)
+
+
+def _known(ids: np.ndarray, mine: np.ndarray, common: np.ndarray, theirs: np.ndarray) -> np.ndarray:
+    """A value of each word: the part's own, that of all parts for common words."""
+    if not len(common):
+        return mine
+    at = np.minimum(np.searchsorted(common, ids), len(common) - 1)
+    return np.where(common[at] == ids, theirs[at], mine)
+
+
+def _merged(q: int, rows):
+    """One state of what chunks counted, and each chunk's places in it."""
+    tags, got = [], []
+    for tag, blob in rows:
+        tags.append(tag)
+        got.append(_unpack(blob))
+    w, of = np.unique(np.concatenate([x[0] for x in got]), return_inverse=True)
+    u, at = np.unique(np.concatenate([x[2] for x in got]), return_inverse=True)
+    of = np.repeat(of, np.concatenate([x[1] for x in got]))
+    start = np.cumsum([0] + [len(x[2]) for x in got])
+    at = at[np.concatenate([x[3] + i for x, i in zip(got, start[:-1], strict=True)])]
+    n = np.concatenate([x[4] for x in got])
+    cut = np.cumsum([0] + [len(x[4]) for x in got])
+    del got
+    key, place = np.unique(of << 32 | at, return_inverse=True)
+    n = np.bincount(place, weights=n, minlength=len(key)).astype(np.int64)
+    none, t = np.zeros(len(key), np.int64), (n > 0).astype(np.int64)
+    of = key >> 32
+    seen = np.bincount(of, weights=n, minlength=len(w)) > 0
+    yield q, STATE, Part(w, np.bincount(of, minlength=len(w)), u, key & (1 << 32) - 1, n, t, none, seen.astype(np.int64), np.zeros(len(w), np.int64)).blob()
+    for tag, i, j in zip(tags, cut[:-1], cut[1:], strict=True):
+        yield q, tag, _pack(np.diff(place[i:j], prepend=0))
+
+
+def _summed(r: int, rows):
+    """Sums over all parts for the contexts at home in r, told to each part in its own order."""
+    got = [(tag, *_unpack(blob)) for tag, blob in rows]
+    u, at = np.unique(np.concatenate([x[1] for x in got]), return_inverse=True)
+    sums = [np.bincount(at, weights=np.concatenate([x[i] for x in got]), minlength=len(u)).astype(np.int64) for i in (2, 3, 4)]
+    cut = np.cumsum([0] + [len(x[1]) for x in got])
+    for (q, *_), i, j in zip(got, cut[:-1], cut[1:], strict=True):
+        yield q, REPLY + r, _pack(*(x[at[i:j]] for x in sums))
+
+
+def _with_contexts(rows):
+    """(customers, tables, summed tables of the contexts; the state) of a part, before what chunks have."""
+    told = []
+    for tag, blob in rows:
+        if tag == STATE:
+            return *(np.concatenate(x) for x in zip(*told, strict=True)), Part(*_unpack(blob))
+        told.append(_unpack(blob))
+    raise ValueError("a part has no state")
+
+
+def score_texts(docs: DataFrame, text: str = "text", key: str = "doc_id", mod: int = 10, remainder: int = 0, broadcast_words: int = COMMON) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row; learned from the rows that
-    aren't held out.
+    aren't held out. broadcast_words: so many common words at most are spread over all parts, their counts broadcast.
 
     A null text is empty: one token, the end. A null id counts as the text '' when rows are held out. Repeated rows
     teach and are scored each. With nothing to learn from, all counts are 0 and every token is the one unseen word.
-    Empty input gives no rows. Other columns are not read.
+    Empty input gives no rows. Other columns are not read. Rows are read again for their scores, in the same order.
     """
     spark = docs.sparkSession
-    bounded_batches(spark)
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("t"))
-    train = rows.where(~held_out("doc_id", mod, remainder))
-    counts = written(word_and_byte_counts(train), "lm-counts")
-    at = counts.groupBy("kind").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v"), F.sum((F.col("n") == 1).cast("long")).alias("once"), F.sum((F.col("n") == 2).cast("long")).alias("twice")).collect()
-    at = {r["kind"]: r for r in at}
-    ends = at[2]["n"] if 2 in at else 0
-    n, v = ends + (at[0]["n"] if 0 in at else 0), (at[0]["v"] if 0 in at else 0) + (ends > 0)
-    code = symbol_code({r["word"][0]: r["n"] for r in counts.where("kind = 1").collect()})  # 255 rows at most
-    d = (at[0]["once"] + 1) / (at[0]["once"] + 2 * at[0]["twice"] + 2) if 0 in at else 0.5
-
-    # The word restaurant: one table each at first, then seated by Gibbs. The end is one more word.
-    vocabulary = counts.where("kind = 0").select("word", "n", F.lit(1).cast("long").alias("tables"), F.lit(0).cast("long").alias("sat"))
-    tables, sat_tables, uniform = v, 0, 1 / (v + 1)
+    bounded_batches(spark, 64)  # blocks are larger than texts
+    rows = docs.select(F.col(text).cast("string").alias("t"), F.col(key).cast("long").alias("doc_id")).withColumn("learn", ~held_out("doc_id", mod, remainder))
+    common, tokens = common_words(rows, min(broadcast_words, COMMON))
+    parts = min(MOST_PARTS, tokens // PART_TOKENS + 1)
+
+    def drop_shuffles():
+        """Spark deletes the files of shuffles that nothing refers to any more, once both collectors ran."""
+        gc.collect()
+        spark._jvm.System.gc()
+
+    def stored(blocks: DataFrame, name: str) -> DataFrame:
+        out = written(blocks, name)
+        del blocks
+        drop_shuffles()
+        return out
+
+    def counted(batches):
+        for number, texts, _, learn in _chunks(batches):
+            w, size = _tokens(texts)
+            ids, q, of, before, place = _pairs(w, parts, common)
+            n = np.bincount(place, weights=np.repeat(np.array(learn, bool), size), minlength=len(q)).astype(np.int64)
+            del w, place
+            cut = np.searchsorted(q, np.arange(parts + 1))
+            for p in np.flatnonzero(np.diff(cut)).tolist():
+                at = slice(cut[p], cut[p + 1])
+                ws, runs = np.unique(of[at], return_counts=True)
+                us, u = np.unique(before[at], return_inverse=True)
+                yield _blocks([(p, number, _pack(ids[ws], runs, ids[us], u, n[at]))])
+
+    path = f"{shared_folder(spark)}/lm-pairs-{uuid.uuid4().hex}"
+    _grouped(rows.mapInArrow(counted, BLOCK), parts, _merged).withColumn("state", F.when(F.col("tag") == STATE, 1).otherwise(0)).write.option("compression", "zstd").partitionBy("state").parquet(path)
+    drop_shuffles()
+
+    def part_of(kind: int) -> DataFrame:
+        """The first states or the places, which are let go of apart; none if there are no rows."""
+        out = spark.read.schema(BLOCK).parquet(f"{path}/state={kind}") if tokens else spark.createDataFrame([], BLOCK)
+        out._written_path = f"{path}/state={kind}"
+        return out
+
+    state, places = part_of(1), part_of(0)
+
+    def sums(state: DataFrame):
+        """Of all words but common ones: (n, customers, tables, summed tables, words, met once, twice), of pairs: once, twice; of common words: n, customers."""
+
+        def run(batches):
+            for _, _, blob in _rows(batches):
+                s = Part(*_unpack(blob))
+                n, c = s.by_word(s.n), s.by_word(s.t)
+                own = ~np.isin(s.w, common)
+                x = [n[own].sum(), c[own].sum(), s.tau[own].sum(), s.tau_sat[own].sum(), (n[own] > 0).sum(), (c[own] == 1).sum(), (c[own] == 2).sum(), (s.n == 1).sum(), (s.n == 2).sum()]
+                some = ~own
+                cols = [np.append(s.w[some], REST), np.append(n[some], x[0]), np.append(c[some], x[1])] + [np.append(np.zeros(some.sum(), np.int64), y) for y in x[2:]]
+                yield pa.record_batch([pa.array(y.astype(np.int64)) for y in cols], ["id", *(f"x{i}" for i in range(9))])
+
+        got = state.mapInArrow(run, "id long, " + ", ".join(f"x{i} long" for i in range(9))).groupBy("id").agg(*(F.sum(f"x{i}").alias(f"x{i}") for i in range(9))).collect()
+        by = {r["id"]: list(r)[1:] for r in got}
+        return np.array(by.get(REST, [0] * 9), np.int64), np.array([by.get(i, [0, 0])[0] for i in common.tolist()], np.int64), np.array([by.get(i, [0, 0])[1] for i in common.tolist()], np.int64)
+
+    rest, common_n, common_c = sums(state)
+    n, v = int(rest[0] + common_n.sum()), int(rest[4] + (common_n > 0).sum())
+    once, twice = rest[5] + (common_c == 1).sum(), rest[6] + (common_c == 2).sum()
+    d, d_pair = (once + 1) / (once + 2 * twice + 2), (rest[7] + 1) / (rest[7] + 2 * rest[8] + 2)
+    uniform = 1 / (v + 1)
+
+    def contexts(state: DataFrame) -> DataFrame:
+        def run(batches):
+            for q, _, blob in _rows(batches):
+                s = Part(*_unpack(blob))
+                x = [s.u, s.by_context(s.n), s.by_context(s.t), s.by_context(s.sat)]
+                cut = np.searchsorted(_home(s.u, parts), np.arange(parts + 1))
+                for r in np.flatnonzero(np.diff(cut)).tolist():
+                    yield _blocks([(r, q, _pack(*(y[cut[r] : cut[r + 1]] for y in x)))])
+
+        return _grouped(state.mapInArrow(run, BLOCK), parts, _summed)
+
+    def seated_words(ids, c, tau, total, sweep):
+        """Tables of the words' customers, seated anew."""
+        out, some = np.zeros(len(c), np.int64), np.flatnonzero(c)
+        out[some] = seat(c[some], np.full(len(some), uniform), total - tau[some], d, WORD_STRENGTH, binomial_by_hash(mix(ids[some].astype(np.uint64)), 2 * sweep))
+        return out
+
+    common_tau = (common_c > 0).astype(np.int64)
+    common_sat, customers_sat = np.zeros(len(common), np.int64), 0
+    common_c_sat = np.zeros(len(common), np.int64)
     for sweep in range(BURN_IN + SAMPLES):
-        if sweep == BURN_IN:
-            vocabulary, sat_tables = vocabulary.withColumn("sat", F.lit(0).cast("long")), 0
-        before, vocabulary = vocabulary, written(seated_words(vocabulary, uniform, tables, d, sweep), "lm-words")
+        keep = sweep >= BURN_IN
+        customers, total = int(rest[1] + common_c.sum()), int(rest[2] + common_tau.sum())
+
+        def seated(q, rows, customers=customers, total=total, common_c=common_c, common_tau=common_tau, sweep=sweep, keep=keep):
+            _, tables, _, s = _with_contexts(rows)
+            c, tau = _known(s.w, s.by_word(s.t), common, common_c), _known(s.w, s.tau, common, common_tau)
+            p = (c - d * tau + (WORD_STRENGTH + d * total) * uniform) / (WORD_STRENGTH + customers)
+            live = np.flatnonzero(s.n)
+            of, at = s.of[live], s.at[live]
+            t = seat(s.n[live], p[of], tables[at] - s.t[live], d_pair, PAIR_STRENGTH, binomial_by_hash(_pair_hash(s.w[of], s.u[at]), 2 * sweep + 1))
+            s.t[live] = t
+            s.tau = seated_words(s.w, s.by_word(s.t), s.tau, total, sweep)
+            if keep:
+                s.sat, s.tau_sat = s.sat + s.t, s.tau_sat + s.tau
+            yield q, STATE, s.blob()
+
+        before, state = state, stored(_grouped(state.unionAll(contexts(state)), parts, seated), "lm-seats")
         forget(before)
-        tables = (vocabulary.agg(F.sum("tables")).first()[0] or 0) + (ends > 0)
-        sat_tables += tables
-    back = (WORD_STRENGTH + d * sat_tables / SAMPLES) / (WORD_STRENGTH + n) * uniform
-    unseen = float(np.log10(back))
-
-    def dish(c, t, top=np.maximum):
-        return top(0.0, c - d * t) / (WORD_STRENGTH + n) + back
-
-    def hashed(batches):
-        for b in batches:
-            buf, s, e, h, _ = words(b.column("word").to_pylist())
-            c, t = b.column("n").to_numpy(), b.column("sat").to_numpy() / SAMPLES
-            yield pa.record_batch([pa.array(_word_ids(h)), pa.array(_endings(buf, s, e, code)), b.column("n"), pa.array(dish(c, t))], ["id", "ending", "c", "p"])
-
-    seats = vocabulary.mapInArrow(hashed, "id long, ending int, c long, p double")
-    share = np.ones(SYMBOLS**2)  # what the word restaurant gives to all known words of an ending
-    for r in seats.groupBy("ending").agg(F.sum("p").alias("p")).collect():  # 64**2 rows at most
-        share[r["ending"]] = r["p"]
-    end_p = float(dish(ends, 1.0)) if ends else back
-    share[0] = end_p
-
-    # The restaurants of endings: first the symbol before the last, then the last one.
-    g, c = ending_counts(train, code)
-    short, at_short = np.unique(g // SYMBOLS, return_inverse=True)
-    logp = hierarchical_pitman_yor(g, c, ORDER)
-    np.log10(logp, out=logp)
-    before = np.log10(hierarchical_pitman_yor(short, np.bincount(at_short, weights=c, minlength=len(short)).astype(np.int64), ORDER - 1))
-    table = logp.reshape(-1, SYMBOLS)
-    table += before[:, None]
-    table = logp.reshape(SYMBOLS**2, -1)
-    table -= np.log10(share).astype(np.float32)
-    del table, g, c, short, at_short
-    model = spark.sparkContext.broadcast(logp)
-    del logp
-    whole = v <= broadcast_words
-    table = (seats if whole else seats.where(F.col("c") > n / COMMON)).select("id", F.col("c"), F.log10("p").cast("float").alias("p")).toArrow()
-    ids, cs, ps = (table[x].to_numpy() for x in ("id", "c", "p"))
-    del table
-    order = np.argsort(ids)
-    known = spark.sparkContext.broadcast((ids[order], cs[order] if cs.max(initial=0) >= 1 << 32 else cs[order].astype(np.uint32), ps[order]))
-    del ids, cs, ps, order
+        rest, _, common_c = sums(state)
+        common_tau = seated_words(common, common_c, common_tau, total, sweep)
+        if keep:
+            common_sat, common_c_sat = common_sat + common_tau, common_c_sat + common_c
+            customers_sat += int(rest[1] + common_c.sum())
+    customers, total = customers_sat / SAMPLES, (int(rest[3]) + int(common_sat.sum())) / SAMPLES
+
+    def answered(q, rows):
+        met, _, tables, s = _with_contexts(rows)
+        c = _known(s.w, s.by_word(s.sat), common, common_c_sat) / SAMPLES
+        tau = _known(s.w, s.tau_sat, common, common_sat) / SAMPLES
+        p = (c - d * tau + (WORD_STRENGTH + d * total) * uniform) / (WORD_STRENGTH + customers)
+        p = p[s.of] * (PAIR_STRENGTH + d_pair * tables[s.at] / SAMPLES) + s.n - d_pair * s.sat / SAMPLES
+        p = np.log10(p / (PAIR_STRENGTH + met[s.at])).astype(np.float32)
+        counts = _known(s.w, s.by_word(s.n), common, common_n)
+        for number, blob in rows:
+            place = np.cumsum(_unpack(blob)[0])
+            of = s.of[place]
+            yield q, number, _pack(p[place], counts[of[np.flatnonzero(np.diff(of, prepend=-1))]])
+
+    def placed(batches):
+        for number, texts, ids, _ in _chunks(batches):
+            w, size = _tokens(texts)
+            _, q, of, _, place = _pairs(w, parts, common)
+            new = np.diff(q << 25 | of, prepend=-1) != 0
+            yield pa.record_batch([pa.array([number]), pa.array([-1]), pa.array([_pack(ids, size, place, np.cumsum(new) - 1)], pa.binary())], ["chunk", "part", "blob"])
+
     denominator = float(np.log10(n + ALPHA * (v + 1)))
-    end_base, end_score, seen = np.log10(ends + ALPHA) - denominator, np.log10(end_p) if ends else unseen, float(np.log10(1 - back)) if n else 0.0
 
-    def run(batches):
-        lp = model.value
-        for b in batches:
-            texts = batch_texts(b.column("t"))
-            size = len(texts)
-            n_tokens, n_known, base, score = np.zeros(size, np.int64), np.zeros(size, np.int64), np.zeros(size), np.zeros(size)
-            each = []
-            for lo, hi in portions(texts):
-                m = hi - lo
-                buf, s, e, h, first = words(texts[lo:hi])
-                n_tokens[lo:hi] = np.diff(first) + 1
-                x = lp[_in_context(_with_ends(_endings(buf, s, e, code), first, 0))].astype(np.float64)
-                is_end = first[1:] + np.arange(m)
-                base[lo:hi] = end_base
-                score[lo:hi] = x[is_end] + end_score + seen if ends else unseen
-                x = np.delete(x, is_end)
-                u, inv = np.unique(_word_ids(h), return_inverse=True)
-                of = np.repeat(np.arange(m), np.diff(first))
-                vocab, c_all, p_all = known.value
-                c, p = np.zeros(len(u)), np.zeros(len(u))
-                if len(vocab):
-                    place = np.minimum(np.searchsorted(vocab, u), len(vocab) - 1)
-                    hit = vocab[place] == u
-                    c[hit], p[hit] = c_all[place[hit]], p_all[place[hit]]
-                cw = (c > 0)[inv]
-                here = np.ones(len(inv), bool) if whole else cw  # the others are joined
-                base[lo:hi] += np.bincount(of, weights=np.where(here, (np.log10(c + ALPHA) - denominator)[inv], 0), minlength=m)
-                score[lo:hi] += np.bincount(of, weights=np.where(here, np.where(cw, x + p[inv] + seen, unseen), 0), minlength=m)
-                n_known[lo:hi] = np.bincount(of, weights=cw, minlength=m).astype(np.int64)
-                if not whole:
-                    inv, x, of = inv[~here], x[~here], of[~here]
-                    pair, back_to, k = np.unique(of * (len(u) + 1) + inv, return_inverse=True, return_counts=True)
-                    cut = np.searchsorted(pair, np.arange(m + 1) * (len(u) + 1))
-                    w, sums = u[pair % (len(u) + 1)], np.bincount(back_to, weights=x, minlength=len(pair))
-                    each += [(w[i:j], k[i:j], sums[i:j]) for i, j in zip(cut[:-1], cut[1:], strict=True)]
-            n_known += ends > 0
-            cols = {"doc_id": b.column("doc_id"), "line": b.column("line"), "n_tokens": pa.array(n_tokens), "n_known": pa.array(n_known), "base_score": pa.array(base), "score": pa.array(score)}
-            if not whole:
-                cols |= {c: pa.array([x[i] for x in each], pa.list_(t)) for i, (c, t) in enumerate((("id", pa.int64()), ("times", pa.int64()), ("context", pa.float64())))}
-            yield pa.record_batch(list(cols.values()), list(cols))
-
-    schema = "doc_id long, line long, n_tokens long, n_known long, base_score double, score double"
-    out = rows.withColumn("line", F.monotonically_increasing_id()).mapInArrow(run, schema + ("" if whole else ", id array<long>, times array<long>, context array<double>"))
-    if not whole:
-        out = written(out, "lm-scored")
-        one = out.select("line", F.explode(F.arrays_zip("id", "times", "context")).alias("w")).select("line", "w.*").join(seats, "id", "left")
-        k, is_known = F.col("times"), F.col("c").isNotNull()
-        sums = one.groupBy(F.col("line").alias("of")).agg(
-            F.sum(F.when(is_known, k).otherwise(0)).alias("k"),
-            F.sum(k * (F.log10(F.coalesce("c", F.lit(0)) + ALPHA) - denominator)).alias("b"),
-            F.sum(F.when(is_known, F.col("context") + k * (F.log10("p").cast("float") + seen)).otherwise(k * unseen)).alias("s"),
-        )
-        zero = F.lit(0)
-        out = out.join(sums, F.col("line") == F.col("of"), "left").withColumns({"n_known": F.col("n_known") + F.coalesce("k", zero), "base_score": F.col("base_score") + F.coalesce("b", zero), "score": F.col("score") + F.coalesce("s", zero)})
+    def scored(batches):
+        for _, group in groupby(_rows(batches), key=lambda r: r[0]):
+            (_, first, blob), *answers = group
+            ids, size, place, of = _unpack(blob)
+            answers = [_unpack(a[2]) for a in answers]
+            p, c = (np.concatenate(x) for x in zip(*answers, strict=True))
+            if first != -1 or len(p) != len(of) or len(c) != of[-1] + 1:
+                raise ValueError("the documents were read in another order the second time")
+            text_of, c = np.repeat(np.arange(len(size)), size), c[of]
+            sums = [np.bincount(text_of, weights=x[place], minlength=len(size)) for x in (c > 0, np.log10(c + ALPHA) - denominator, p.astype(np.float64))]
+            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(size), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
+
+    answers = stored(_grouped(state.unionAll(contexts(state)).unionAll(places), parts, answered), "lm-answers")
+    forget(state)
+    forget(places)
+    answers = answers.select(F.col("tag").alias("chunk"), F.col("q").cast("long").alias("part"), "blob")
+    out = rows.mapInArrow(placed, "chunk long, part long, blob binary").unionAll(answers).repartition(parts, "chunk").sortWithinPartitions("chunk", "part")
+    out = out.mapInArrow(scored, "doc_id long, n_tokens long, n_known long, base_score double, score double")
     return out.select("doc_id", held_out("doc_id", mod, remainder).alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
 
 

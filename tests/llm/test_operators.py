@@ -537,6 +537,95 @@ def test_op8(spark, texts, docs, edges, empty):
     assert alone and all(r["n_known"] == 0 and r["train_tokens"] == 0 and math.isfinite(r["score"]) for r in alone)
 
 
+def _plain_pitman_yor(texts, learn):
+    """(log10 probability of each text, P(word | word before)) by dictionaries, with the numbers that the operator draws."""
+    lm = language_model
+    tok = [lm._tokens([t.encode()])[0].tolist() for t in texts]
+    n = Counter((u, w) for x, yes in zip(tok, learn, strict=True) if yes for u, w in zip([lm.END, *x[:-1]], x, strict=True))
+    t, met = dict.fromkeys(n, 1), Counter()
+    for (u, _), k in n.items():
+        met[u] += k
+
+    def by(x, i):
+        out = Counter()
+        for pair, k in x.items():
+            out[pair[i]] += k
+        return out
+
+    def discount(x):
+        k = Counter(x)
+        return (k[1] + 1) / (k[1] + 2 * k[2] + 2)
+
+    c = by(t, 1)
+    tau = dict.fromkeys(c, 1)
+    d_pair, d, uniform = discount(n.values()), discount(c.values()), 1 / (len(c) + 1)
+    sat, tau_sat = Counter(), Counter()
+
+    def word(w, c, tau):
+        return (c.get(w, 0) - d * tau.get(w, 0) + (lm.WORD_STRENGTH + d * sum(tau.values())) * uniform) / (lm.WORD_STRENGTH + sum(c.values()))
+
+    def one(count, new, other, d, strength, hashed, seed):
+        return int(lm.seat(np.array([count]), np.array([new]), np.array([other]), d, strength, lm.binomial_by_hash(hashed, seed))[0])
+
+    for sweep in range(lm.BURN_IN + lm.SAMPLES):
+        c, of = by(t, 1), by(t, 0)
+        p = {w: word(w, c, tau) for w in c}
+        t = {(u, w): one(n[u, w], p[w], of[u] - t[u, w], d_pair, lm.PAIR_STRENGTH, lm._pair_hash(np.array([w]), np.array([u])), 2 * sweep + 1) for u, w in n}
+        c, total = by(t, 1), sum(tau.values())
+        tau = {w: one(c[w], uniform, total - tau[w], d, lm.WORD_STRENGTH, lm.mix(np.array([w]).astype(np.uint64)), 2 * sweep) for w in c}
+        if sweep >= lm.BURN_IN:
+            sat.update(t)
+            tau_sat.update(tau)
+    t, tau = ({k: x / lm.SAMPLES for k, x in y.items()} for y in (sat, tau_sat))
+    c, of = by(t, 1), by(t, 0)
+    p = {w: word(w, c, tau) for w in {w for x in tok for w in x}}
+
+    def given(u, w):
+        return (n.get((u, w), 0) - d_pair * t.get((u, w), 0) + (lm.PAIR_STRENGTH + d_pair * of[u]) * p.get(w, word(w, c, tau))) / (lm.PAIR_STRENGTH + met[u])
+
+    return [sum(math.log10(given(u, w)) for u, w in zip([lm.END, *x[:-1]], x, strict=True)) for x in tok], given, list(c)
+
+
+def test_op8_against_plain_restaurants(spark, monkeypatch):
+    """Few and many parts, common words spread or not: the same seats as one by one. Each word is a context of its own."""
+    rng = np.random.default_rng(8)
+    follow = rng.integers(0, 60, 60)
+    texts = []
+    for _ in range(120):
+        x = [int(rng.zipf(1.5) % 40)]
+        for _ in range(rng.integers(0, 30)):
+            x.append(int(follow[x[-1]] if rng.random() < 0.6 else rng.zipf(1.5) % 60))
+        texts.append(" ".join(f"w{k}ing" for k in x))
+    learn = [zlib.crc32(str(k).encode()) % 10 != 0 for k in range(len(texts))]
+    want, given, seen = _plain_pitman_yor(texts, learn)
+    assert all(math.isclose(sum(given(u, w) for w in [*seen, -99]), 1, rel_tol=1e-9) for u in (language_model.END, *seen[:9], -99))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3, "doc_id")
+    for size, spread in ((1 << 21, 10_000), (200, 10_000), (200, 7), (200, 0)):
+        monkeypatch.setattr(language_model, "PART_TOKENS", size)
+        got = {r["doc_id"]: r["score"] for r in language_model.score_texts(docs, broadcast_words=spread).collect()}
+        assert all(math.isclose(got[k], x, rel_tol=1e-5) for k, x in enumerate(want)), (size, spread)
+
+
+def test_op8_word_before(spark):
+    """Words that end alike are contexts apart, and words that end alike follow them apart."""
+    train = [k for k in range(200) if zlib.crc32(str(k).encode()) % 10][:80]
+    held = [k for k in range(200) if zlib.crc32(str(k).encode()) % 10 == 0][:2]
+    rows = [(k, "redab oneyz" if i % 2 else "bluab twoyz") for i, k in enumerate(train)] + [(held[0], "redab oneyz"), (held[1], "redab twoyz")]
+    got = {r["doc_id"]: r["score"] for r in language_model.score_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[held[0]] > got[held[1]] + 1
+
+
+def test_op8_broadcasts_no_table(spark, docs, monkeypatch):
+    """What executors hold doesn't hang on a table sent to all of them."""
+    from pyspark import SparkContext
+
+    def refused(*_):
+        raise AssertionError("broadcast")
+
+    monkeypatch.setattr(SparkContext, "broadcast", refused)
+    assert language_model.score_texts(docs).count() == docs.count()
+
+
 def test_op8_is_a_distribution():
     """Predictive probabilities of each context sum to one, and tables never exceed customers."""
     rng = np.random.default_rng(6)
