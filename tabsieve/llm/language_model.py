@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import gc
 import pickle
+import time
 import uuid
 from itertools import groupby
 
@@ -60,15 +61,39 @@ def _pair_hash(w: np.ndarray, u: np.ndarray) -> np.ndarray:
 
 
 def _pack(*values) -> bytes:
-    """Values as bytes; integers from 0 on take as few bytes as the largest one needs."""
-    raw = pickle.dumps([x.astype(np.min_scalar_type(x.max(initial=0))) if isinstance(x, np.ndarray) and x.dtype == np.int64 and x.min(initial=0) >= 0 else x for x in values], 5)
+    """Values as bytes. Integers from 0 on take as few bytes as the largest one needs; arrays are written as all
+    their numbers' first bytes, then all second ones and so on, which compresses better."""
+    out = []
+    for x in values:
+        if isinstance(x, np.ndarray):
+            if x.dtype == np.int64 and x.min(initial=0) >= 0:
+                x = x.astype(np.min_scalar_type(x.max(initial=0)))
+            x = (x.dtype.str, np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes())
+        out.append(x)
+    raw = pickle.dumps(out, 5)
     return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
 
 
 def _unpack(blob: bytes) -> list:
     """What _pack was given, integers as int64 again."""
-    values = pickle.loads(pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), "zstd", asbytes=True))
-    return [x.astype(np.int64) if isinstance(x, np.ndarray) and x.dtype.kind in "iu" else x for x in values]
+    out = []
+    for x in pickle.loads(pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), "zstd", asbytes=True)):
+        if isinstance(x, tuple):
+            size = np.dtype(x[0]).itemsize
+            raw = np.frombuffer(x[1], np.uint8)
+            x = np.ascontiguousarray(raw.reshape(size, len(raw) // size).T).reshape(-1).view(x[0])
+            x = x.astype(np.int64) if x.dtype.kind in "iu" else x
+        out.append(x)
+    return out
+
+
+def _steps(ids: np.ndarray) -> np.ndarray:
+    """Sorted words as steps from one to the next, which are shorter."""
+    return np.diff(ids, prepend=END)
+
+
+def _from_steps(steps: np.ndarray) -> np.ndarray:
+    return np.cumsum(steps) + END
 
 
 def _blocks(rows):
@@ -232,7 +257,12 @@ class Part:
         self.of = np.repeat(np.arange(len(self.w)), self.runs)
 
     def blob(self) -> bytes:
-        return _pack(*(getattr(self, f) for f in self.FIELDS))
+        return _pack(_steps(self.w), self.runs, _steps(self.u), *(getattr(self, f) for f in self.FIELDS[3:]))
+
+    @classmethod
+    def of_blob(cls, blob: bytes) -> Part:
+        w, runs, u, *x = _unpack(blob)
+        return cls(_from_steps(w), runs, _from_steps(u), *x)
 
     def by_word(self, x: np.ndarray) -> np.ndarray:
         return np.bincount(self.of, weights=x, minlength=len(self.w)).astype(np.int64)
@@ -254,7 +284,8 @@ def _merged(q: int, rows):
     tags, got = [], []
     for tag, blob in rows:
         tags.append(tag)
-        got.append(_unpack(blob))
+        ws, runs, us, *x = _unpack(blob)
+        got.append((_from_steps(ws), runs, _from_steps(us), *x))
     w, of = np.unique(np.concatenate([x[0] for x in got]), return_inverse=True)
     u, at = np.unique(np.concatenate([x[2] for x in got]), return_inverse=True)
     of = np.repeat(of, np.concatenate([x[1] for x in got]))
@@ -276,19 +307,19 @@ def _merged(q: int, rows):
 def _summed(r: int, rows):
     """Sums over all parts for the contexts at home in r, told to each part in its own order."""
     got = [(tag, *_unpack(blob)) for tag, blob in rows]
-    u, at = np.unique(np.concatenate([x[1] for x in got]), return_inverse=True)
-    sums = [np.bincount(at, weights=np.concatenate([x[i] for x in got]), minlength=len(u)).astype(np.int64) for i in (2, 3, 4)]
+    u, at = np.unique(np.concatenate([_from_steps(x[1]) for x in got]), return_inverse=True)
+    sums = [np.bincount(at, weights=np.concatenate(x), minlength=len(u)).astype(np.int64) for x in zip(*(x[2:] for x in got), strict=True)]
     cut = np.cumsum([0] + [len(x[1]) for x in got])
     for (q, *_), i, j in zip(got, cut[:-1], cut[1:], strict=True):
         yield q, REPLY + r, _pack(*(x[at[i:j]] for x in sums))
 
 
 def _with_contexts(rows):
-    """(customers, tables, summed tables of the contexts; the state) of a part, before what chunks have."""
+    """(sums of the contexts, the state) of a part, before what chunks have."""
     told = []
     for tag, blob in rows:
         if tag == STATE:
-            return *(np.concatenate(x) for x in zip(*told, strict=True)), Part(*_unpack(blob))
+            return [np.concatenate(x) for x in zip(*told, strict=True)], Part.of_blob(blob)
         told.append(_unpack(blob))
     raise ValueError("a part has no state")
 
@@ -308,9 +339,12 @@ def score_texts(docs: DataFrame, text: str = "text", key: str = "doc_id", mod: i
     parts = min(MOST_PARTS, tokens // PART_TOKENS + 1)
 
     def drop_shuffles():
-        """Spark deletes the files of shuffles that nothing refers to any more, once both collectors ran."""
-        gc.collect()
-        spark._jvm.System.gc()
+        """Spark deletes the files of shuffles that nothing refers to any more, once both collectors ran. Another thread
+        tells the JVM what Python let go of, so it's given a moment, twice."""
+        for _ in range(2):
+            gc.collect()
+            time.sleep(0.3)
+            spark._jvm.System.gc()
 
     def stored(blocks: DataFrame, name: str) -> DataFrame:
         out = written(blocks, name)
@@ -329,7 +363,7 @@ def score_texts(docs: DataFrame, text: str = "text", key: str = "doc_id", mod: i
                 at = slice(cut[p], cut[p + 1])
                 ws, runs = np.unique(of[at], return_counts=True)
                 us, u = np.unique(before[at], return_inverse=True)
-                yield _blocks([(p, number, _pack(ids[ws], runs, ids[us], u, n[at]))])
+                yield _blocks([(p, number, _pack(_steps(ids[ws]), runs, _steps(ids[us]), u, n[at]))])
 
     path = f"{shared_folder(spark)}/lm-pairs-{uuid.uuid4().hex}"
     _grouped(rows.mapInArrow(counted, BLOCK), parts, _merged).withColumn("state", F.when(F.col("tag") == STATE, 1).otherwise(0)).write.option("compression", "zstd").partitionBy("state").parquet(path)
@@ -348,7 +382,7 @@ def score_texts(docs: DataFrame, text: str = "text", key: str = "doc_id", mod: i
 
         def run(batches):
             for _, _, blob in _rows(batches):
-                s = Part(*_unpack(blob))
+                s = Part.of_blob(blob)
                 n, c = s.by_word(s.n), s.by_word(s.t)
                 own = ~np.isin(s.w, common)
                 x = [n[own].sum(), c[own].sum(), s.tau[own].sum(), s.tau_sat[own].sum(), (n[own] > 0).sum(), (c[own] == 1).sum(), (c[own] == 2).sum(), (s.n == 1).sum(), (s.n == 2).sum()]
@@ -366,14 +400,16 @@ def score_texts(docs: DataFrame, text: str = "text", key: str = "doc_id", mod: i
     d, d_pair = (once + 1) / (once + 2 * twice + 2), (rest[7] + 1) / (rest[7] + 2 * rest[8] + 2)
     uniform = 1 / (v + 1)
 
-    def contexts(state: DataFrame) -> DataFrame:
+    def contexts(state: DataFrame, *fields: str) -> DataFrame:
+        """Sums of these fields of the pairs over each context."""
+
         def run(batches):
             for q, _, blob in _rows(batches):
-                s = Part(*_unpack(blob))
-                x = [s.u, s.by_context(s.n), s.by_context(s.t), s.by_context(s.sat)]
+                s = Part.of_blob(blob)
+                x = [s.by_context(getattr(s, f)) for f in fields]
                 cut = np.searchsorted(_home(s.u, parts), np.arange(parts + 1))
                 for r in np.flatnonzero(np.diff(cut)).tolist():
-                    yield _blocks([(r, q, _pack(*(y[cut[r] : cut[r + 1]] for y in x)))])
+                    yield _blocks([(r, q, _pack(_steps(s.u[cut[r] : cut[r + 1]]), *(y[cut[r] : cut[r + 1]] for y in x)))])
 
         return _grouped(state.mapInArrow(run, BLOCK), parts, _summed)
 
@@ -391,7 +427,7 @@ def score_texts(docs: DataFrame, text: str = "text", key: str = "doc_id", mod: i
         customers, total = int(rest[1] + common_c.sum()), int(rest[2] + common_tau.sum())
 
         def seated(q, rows, customers=customers, total=total, common_c=common_c, common_tau=common_tau, sweep=sweep, keep=keep):
-            _, tables, _, s = _with_contexts(rows)
+            (tables,), s = _with_contexts(rows)
             c, tau = _known(s.w, s.by_word(s.t), common, common_c), _known(s.w, s.tau, common, common_tau)
             p = (c - d * tau + (WORD_STRENGTH + d * total) * uniform) / (WORD_STRENGTH + customers)
             live = np.flatnonzero(s.n)
@@ -403,7 +439,7 @@ def score_texts(docs: DataFrame, text: str = "text", key: str = "doc_id", mod: i
                 s.sat, s.tau_sat = s.sat + s.t, s.tau_sat + s.tau
             yield q, STATE, s.blob()
 
-        before, state = state, stored(_grouped(state.unionAll(contexts(state)), parts, seated), "lm-seats")
+        before, state = state, stored(_grouped(state.unionAll(contexts(state, "t")), parts, seated), "lm-seats")
         forget(before)
         rest, _, common_c = sums(state)
         common_tau = seated_words(common, common_c, common_tau, total, sweep)
@@ -413,7 +449,7 @@ def score_texts(docs: DataFrame, text: str = "text", key: str = "doc_id", mod: i
     customers, total = customers_sat / SAMPLES, (int(rest[3]) + int(common_sat.sum())) / SAMPLES
 
     def answered(q, rows):
-        met, _, tables, s = _with_contexts(rows)
+        (met, tables), s = _with_contexts(rows)
         c = _known(s.w, s.by_word(s.sat), common, common_c_sat) / SAMPLES
         tau = _known(s.w, s.tau_sat, common, common_sat) / SAMPLES
         p = (c - d * tau + (WORD_STRENGTH + d * total) * uniform) / (WORD_STRENGTH + customers)
@@ -430,14 +466,15 @@ def score_texts(docs: DataFrame, text: str = "text", key: str = "doc_id", mod: i
             w, size = _tokens(texts)
             _, q, of, _, place = _pairs(w, parts, common)
             new = np.diff(q << 25 | of, prepend=-1) != 0
-            yield pa.record_batch([pa.array([number]), pa.array([-1]), pa.array([_pack(ids, size, place, np.cumsum(new) - 1)], pa.binary())], ["chunk", "part", "blob"])
+            yield pa.record_batch([pa.array([number]), pa.array([-1]), pa.array([_pack(ids, size, place, len(new), np.packbits(new))], pa.binary())], ["chunk", "part", "blob"])
 
     denominator = float(np.log10(n + ALPHA * (v + 1)))
 
     def scored(batches):
         for _, group in groupby(_rows(batches), key=lambda r: r[0]):
             (_, first, blob), *answers = group
-            ids, size, place, of = _unpack(blob)
+            ids, size, place, pairs, new = _unpack(blob)
+            of = np.cumsum(np.unpackbits(new.astype(np.uint8), count=pairs), dtype=np.int64) - 1
             answers = [_unpack(a[2]) for a in answers]
             p, c = (np.concatenate(x) for x in zip(*answers, strict=True))
             if first != -1 or len(p) != len(of) or len(c) != of[-1] + 1:
@@ -446,7 +483,7 @@ def score_texts(docs: DataFrame, text: str = "text", key: str = "doc_id", mod: i
             sums = [np.bincount(text_of, weights=x[place], minlength=len(size)) for x in (c > 0, np.log10(c + ALPHA) - denominator, p.astype(np.float64))]
             yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(size), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
-    answers = stored(_grouped(state.unionAll(contexts(state)).unionAll(places), parts, answered), "lm-answers")
+    answers = stored(_grouped(state.unionAll(contexts(state, "n", "sat")).unionAll(places), parts, answered), "lm-answers")
     forget(state)
     forget(places)
     answers = answers.select(F.col("tag").alias("chunk"), F.col("q").cast("long").alias("part"), "blob")
