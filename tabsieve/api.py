@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -95,3 +97,15 @@ def export(path: str, sheets: list[SheetOut], options: CsvOptions = CsvOptions()
     if len(sheets) != 1:
         raise ValueError("a csv holds one sheet")
     return {sheets[0].name: write_csv(sheets[0].df.select(sheets[0].row, *[f"`{c}`" for c in sheets[0].columns]), path, sheets[0].row, options)}
+
+
+def export_files(spark: SparkSession, files: dict[str, list[SheetOut]], options: CsvOptions = CsvOptions(), level: int = 1, at_once: int = 6) -> dict[str, dict[str, int]]:
+    """export() of several files, some at once, as the pieces of one come to the driver in order and leave cores idle."""
+    with ThreadPoolExecutor(max_workers=min(at_once, max(1, len(files)))) as pool:
+        started = {path: pool.submit(inheritable_thread_target(spark)(export), path, sheets, options, level) for path, sheets in files.items()}
+        try:
+            return {path: f.result() for path, f in started.items()}
+        except BaseException:
+            for f in started.values():
+                f.cancel()
+            raise

@@ -10,15 +10,17 @@ import zipfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .api import export, open_workbook
+from .api import export, export_files, open_workbook
 from .operators.profile import AnalysisOptions
 from .plans import schema as S
 from .scratch import new_path, put_bytes
 from .sinks.csv import CsvOptions, refusals
-from .sinks.workbooks import SheetOut, Style
+from .sinks.workbooks import SheetOut, Style, dealt
 from .sources.scan import catalog, scan
 
 SHEET_ROWS = 1_000_000  # of one sheet; larger tables are dealt to as many sheets as they need
+BOOK_ROWS = 250_000  # of one workbook, which one task reads; larger tables are dealt to as many workbooks as they need
+BOOK_PARTITIONS = 4
 
 
 def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -31,6 +33,21 @@ def _sheets(df: DataFrame, row: str, name: str, **layout) -> list[SheetOut]:
     return [SheetOut(f"{name}{i}", df if k == 1 else df.where(part == i), row, **layout) for i in range(k)]
 
 
+def _books(spark: SparkSession, df: DataFrame, row: str, file: str, **layout) -> str:
+    """Writes df in order of row as workbooks of one sheet and BOOK_ROWS rows, however its keys lie: their folder."""
+    name, _, ending = file.partition(".")
+    folder = new_path(spark, name)
+    if df.count() <= BOOK_ROWS:
+        export(f"{folder}/0.{ending}", [SheetOut(name, df, row, **layout)])
+        return folder
+    parts, held = dealt(df, row, BOOK_ROWS)
+    try:
+        export_files(spark, {f"{folder}/{i}.{ending}": [SheetOut(name, part, row, partitions=BOOK_PARTITIONS, **layout)] for i, part in enumerate(parts)})
+    finally:
+        held.unpersist()
+    return folder
+
+
 def _orders(spark, sf):
     """Orders with a native cell of every kind."""
     o = _t(spark, sf, "orders")
@@ -59,9 +76,8 @@ def typed_workbook(spark, sf):
 
 
 def typed_ods(spark, sf):
-    """The same by an OpenDocument sheet with styles, merges and filters."""
-    path = new_path(spark, "orders.ods")
-    export(path, _sheets(_orders(spark, sf), "o_orderkey", "orders", styles={"price": Style(number_format="#,##0.00", align="right")}, freeze_rows=1, auto_filter=True, merges=[(1, 3, 1, 2)]))
+    """The same by OpenDocument sheets with styles, merges and filters."""
+    path = _books(spark, _orders(spark, sf), "o_orderkey", "orders.ods", styles={"price": Style(number_format="#,##0.00", align="right")}, freeze_rows=1, auto_filter=True, merges=[(1, 3, 1, 2)])
     x = _extracted_by_position(spark, path)
     return x
 

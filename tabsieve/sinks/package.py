@@ -108,7 +108,7 @@ def in_store(path: str) -> bool:
 
     if re.match(r"[A-Za-z][A-Za-z0-9+.-]+:/", path):
         return True
-    spark = SparkSession.getActiveSession()
+    spark = SparkSession.getActiveSession() or SparkSession._instantiatedSession
     return spark is not None and not spark._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///").startswith("file:")
 
 
@@ -139,7 +139,7 @@ def put(local: str, path: str) -> None:
     """Copies a local file to a path of any file system that Spark knows, first under another name."""
     from pyspark.sql import SparkSession
 
-    spark = SparkSession.getActiveSession()
+    spark = SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()  # a thread of its own has no active one
     make = spark._jvm.org.apache.hadoop.fs.Path
     target, part = make(path), make(path + ".partial")
     fs = target.getFileSystem(spark._jsc.hadoopConfiguration())

@@ -69,6 +69,7 @@ class SheetOut:
     named: dict[str, Style] = field(default_factory=dict)  # the styles that rules name; null or another name means none
     widths: dict[str, float] = field(default_factory=dict)
     merges: list[tuple[int, int, int, int]] = field(default_factory=list)  # first row, first column, rows, columns
+    partitions: int | None = None  # in which rows are sorted and rendered, each a job; else as Spark is set
 
     @property
     def fields(self) -> list[T.StructField]:
@@ -153,14 +154,32 @@ class _Styles:
         return F.coalesce(F.try_element_at(named, F.col(f"`{s.rules[f.name]}`")), own)
 
 
+def _ordered(df: DataFrame, row: str, partitions: int | None = None) -> tuple[DataFrame, list[tuple[int, int]]]:
+    """(persisted rows in order of row, with __at that grows along them, the rows of each partition)."""
+    rows = (df.repartitionByRange(partitions, f"`{row}`").sortWithinPartitions(f"`{row}`") if partitions else df.orderBy(f"`{row}`")).withColumn("__at", F.monotonically_increasing_id()).persist()
+    per = rows.groupBy(F.shiftright("__at", 33).alias("part")).agg(F.count(F.lit(1)).alias("n")).collect()  # one row a partition
+    return rows, sorted((r["part"], r["n"]) for r in per)
+
+
+def dealt(df: DataFrame, row: str, most: int) -> tuple[list[DataFrame], DataFrame]:
+    """(df in order of row as frames of most rows, the last one of fewer, what is persisted for them). Rows are counted, so
+    keys that are null, repeated or far apart make no frame larger."""
+    rows, per = _ordered(df, row)
+    cuts, n = [], 0
+    for part, own in per:
+        cuts += [(part << 33) + k - n for k in range(-(-n // most) * most, n + own, most)]
+        n += own
+    at = F.col("__at")
+    return [rows.where((at >= cut) & (at < end) if end else at >= cut).drop("__at") for cut, end in zip(cuts, [*cuts[1:], None], strict=True)], rows
+
+
 def _numbered(s: SheetOut) -> tuple[DataFrame, int]:
     """(rows in order with their number in the sheet as __n, number of rows). The header is row 1."""
-    rows = s.df.orderBy(s.row).withColumn("__at", F.monotonically_increasing_id()).persist()
-    per = rows.groupBy(F.shiftright("__at", 33).alias("part")).agg(F.count(F.lit(1)).alias("n")).collect()  # one row a partition
+    rows, per = _ordered(s.df, s.row, s.partitions)
     starts, n = [], 2
-    for r in sorted(per, key=lambda r: r["part"]):
-        starts.append((r["part"], n))
-        n += r["n"]
+    for part, own in per:
+        starts.append((part, n))
+        n += own
     if n - 1 > MAX_ROWS:
         rows.unpersist()
         raise WriteError("write.too-many-rows", s.name)
