@@ -13,12 +13,12 @@ from pyspark.sql import functions as F
 from .errors import StructureError
 from .operators.extract import Extraction, compile_plan
 from .operators.profile import AnalysisOptions, SheetProfile, analyze_cells
-from .plans.mapping import Plan, by_header, check_structure, validate
+from .plans.mapping import Plan, by_header, check_structure, normalized, validate
 from .plans.precheck import Verdict, precheck
 from .plans.schema import Schema
 from .sinks.csv import CsvOptions, write_csv
 from .sinks.workbooks import SheetOut, write_ods, write_xlsx, write_zip_of_csv
-from .sources.scan import body, catalog, cells_of, header, scan, table
+from .sources.scan import below, body, catalog, cells_of, heads, scan, table
 
 
 @dataclass
@@ -42,24 +42,36 @@ class Workbook:
         """The profile of a sheet's cells, with the kinds, numbers and dates that a workbook gives them."""
         rows = self.rows(sheet).persist()  # read once: the profile is several passes
         try:
-            found = body(rows, header_row)
+            found = body(rows, header_row, self._heads(sheet, header_row))
             if found is None:
                 return SheetProfile(0, [], header_row, sheet=sheet)
-            below, headers = found
+            held, headers = found
             own = rows.select("sheet", "source").first()
-            out = analyze_cells(cells_of(below, headers), below.count(), headers, analysis, self._delimiter(sheet))
+            out = analyze_cells(cells_of(held, headers), held.count(), headers, analysis, self._delimiter(sheet))
             out.header_row, out.sheet, out.name, out.source = header_row, sheet, own["sheet"], own["source"]
             return out
         finally:
             rows.unpersist()
 
     def _delimiter(self, sheet: int) -> str | None:
-        found = self.sheets().where(F.col("sheet_index") == sheet).select("delimiter").first()
+        found = self._listed().where(F.col("sheet_index") == sheet).select("delimiter").first()
         return found and found["delimiter"]
 
+    def _listed(self) -> DataFrame:
+        """sheets() without their rows being read."""
+        return catalog(self.spark, self.path, False, **self.options)
+
+    def _heads(self, sheet: int, header_row: int) -> list[tuple[str, int, list[str | None]]]:
+        """Each file's header; files alike have the same one."""
+        found = heads(self.spark, self.path, sheet, header_row, **self.options)
+        for path, _, texts in found:
+            if [normalized(t or "") for t in texts] != [normalized(t or "") for t in found[0][2]]:
+                raise StructureError("structure.header-changed", f"{path} has other headers than {found[0][0]}")
+        return found
+
     def headers(self, sheet: int = 0, header_row: int = 0) -> list[str | None] | None:
-        found = header(self.rows(sheet), header_row)
-        return found and found[1]
+        found = self._heads(sheet, header_row)
+        return found[0][2] if found else None
 
     def plan(self, schema: Schema, culture: str | None = None, sheet: int = 0, header_row: int = 0, matcher: Callable | None = None) -> Plan:
         return by_header(self.headers(sheet, header_row) or [], schema, culture, matcher, sheet, None, header_row)
@@ -70,14 +82,15 @@ class Workbook:
     def extract(self, plan: Plan, schema: Schema) -> Extraction:
         """The plan is validated before the file is opened; then sheet and header must be those of the plan."""
         validate(plan, schema)
-        names = [(r["sheet"], r["source"]) for r in self.sheets().where("sheet_index is not null").orderBy("sheet_index").collect()]
-        headers = self.headers(plan.sheet, plan.header_row) if plan.sheet < len(names) else None
-        check_structure(plan, names, headers)
-        if headers is None:
-            raise StructureError("structure.header-row-missing")
-        first = self.rows(plan.sheet).where(F.col("row_number") > plan.header_row).agg(F.min("row_number")).first()[0]
-        body = self.rows(plan.sheet).where(F.col("row_number") > first).select("row_number", "cells")
-        return compile_plan(body, plan, schema, cells="cells")
+        names: dict[str, list] = {}  # of each file
+        for r in self._listed().where("sheet_index is not null").orderBy("path", "sheet_index").collect():
+            names.setdefault(r["path"], []).append((r["sheet"], r["source"]))
+        found = self._heads(plan.sheet, plan.header_row) if all(plan.sheet < len(x) for x in names.values()) else []
+        own = {path: texts for path, _, texts in found}
+        for path, sheets in names.items() or [("", [])]:
+            check_structure(plan, sheets, own.get(path))
+        rows = below(self.rows(plan.sheet), found).select("row_number", "cells")
+        return compile_plan(rows, plan, schema, cells="cells")
 
 
 def open_workbook(spark: SparkSession, path: str, **options) -> Workbook:

@@ -59,18 +59,12 @@ ORDERS = S.Schema((S.Field("key", "Integer").require(), S.Field("price", "Decima
 
 def _extracted(spark, path, schema, culture, **options):
     f = open_workbook(spark, path, **options)
-    n = f.sheets().where("sheet_index is not null").count()
-    out = None
-    for i in range(n):
-        x = f.extract(f.plan(schema, culture, sheet=i), schema).accepted().drop("row_number")
-        out = x if out is None else out.unionByName(x)
-    return out
+    return f.extract(f.plan(schema, culture), schema).accepted().drop("row_number")
 
 
 def typed_workbook(spark, sf):
-    """Orders written as a workbook and imported under a culture that would misread their numbers as text."""
-    path = new_path(spark, "orders.xlsx")
-    export(path, _sheets(_orders(spark, sf), "o_orderkey", "orders", header_style=Style(bold=True), styles={"price": Style(number_format="#,##0.00")}, freeze_rows=1, auto_filter=True))
+    """Orders written as workbooks and imported under a culture that would misread their numbers as text."""
+    path = _books(spark, _orders(spark, sf), "o_orderkey", "orders.xlsx", header_style=Style(bold=True), styles={"price": Style(number_format="#,##0.00")}, freeze_rows=1, auto_filter=True)
     x = _extracted(spark, path, ORDERS, "de-DE")
     return x.select("key", F.col("price").cast("double").alias("price"), F.date_format("day", "yyyy-MM-dd").alias("day"), "urgent", "note")
 

@@ -8,6 +8,7 @@ Spark like any text (`scan_plain_csv`).
 from __future__ import annotations
 
 import os
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +30,9 @@ def _binary(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content")
 
 
-def scan(spark: SparkSession, path: str | list[str], sheet: int | None = None, **options) -> DataFrame:
-    """Every row of every sheet (or of one) of the files under path. A file that can't be read raises its code."""
+def scan(spark: SparkSession, path: str | list[str], sheet: int | None = None, after: int = 0, most: int | None = None, **options) -> DataFrame:
+    """Every row of every sheet (or of one) of the files under path. A file that can't be read raises its code.
+    most: only so many rows of each sheet, the first ones numbered above after; a file isn't read beyond them."""
 
     def run(batches):
         for b in batches:
@@ -40,7 +42,8 @@ def scan(spark: SparkSession, path: str | list[str], sheet: int | None = None, *
                     if sheet is not None and s.index != sheet:
                         continue
                     numbers, rows = [], []
-                    for n, cells in f.rows(s.index):
+                    taken = (x for x in f.rows(s.index) if x[0] > after) if after else f.rows(s.index)
+                    for n, cells in taken if most is None else islice(taken, most):
                         numbers.append(n)
                         rows.append(cells)
                         if len(rows) == BATCH:
@@ -62,8 +65,9 @@ def _batch(at, s, numbers, rows):
     return pa.record_batch([pa.array([at] * n), pa.array([s.index] * n, pa.int32()), pa.array([s.name] * n), pa.array([s.source] * n, pa.string()), pa.array(numbers, pa.int64()), cells.cast(_CELL)], ["path", "sheet_index", "sheet", "source", "row_number", "cells"])
 
 
-def catalog(spark: SparkSession, path: str | list[str], **options) -> DataFrame:
-    """One row a sheet or skipped entry: format, visibility, dialect, repairs (all rows are read), or the error's code."""
+def catalog(spark: SparkSession, path: str | list[str], counted: bool = True, **options) -> DataFrame:
+    """One row a sheet or skipped entry: format, visibility, dialect, repairs (all rows are read), or the error's code.
+    Unless counted, no row is read, and rows and repairs are null."""
 
     def run(batches):
         for b in batches:
@@ -73,9 +77,9 @@ def catalog(spark: SparkSession, path: str | list[str], **options) -> DataFrame:
                     f = open_file(data, os.path.basename(at), **options)
                     for s in f.sheets:
                         f.repairs.stray = f.repairs.unterminated = 0
-                        rows = sum(1 for _ in f.rows(s.index))
+                        facts = (sum(1 for _ in f.rows(s.index)), f.repairs.stray, f.repairs.unterminated) if counted else (None, None, None)
                         d = f.dialects[s.index]
-                        out.append((at, s.index, s.name, s.source, s.format, s.visibility, d and d.encoding, d and d.delimiter, rows, f.repairs.stray, f.repairs.unterminated, None))
+                        out.append((at, s.index, s.name, s.source, s.format, s.visibility, d and d.encoding, d and d.delimiter, *facts, None))
                     out += [(at, None, None, s.path, None, None, None, None, None, None, None, s.reason) for s in f.skipped]
                 except EngineError as e:
                     out.append((at, None, None, None, None, None, None, None, None, None, None, e.code))
@@ -86,6 +90,20 @@ def catalog(spark: SparkSession, path: str | list[str], **options) -> DataFrame:
     return _binary(spark, path).mapInArrow(run, "path string, sheet_index int, sheet string, source string, format string, visibility string, encoding string, delimiter string, rows long, stray_quotes long, unterminated_quotes long, skipped string")
 
 
+def heads(spark: SparkSession, path: str | list[str], sheet: int = 0, header_row: int = 0, **options) -> list[tuple[str, int, list[str | None]]]:
+    """(path, row number, texts) of the header of each file that has one, by path; files aren't read beyond it."""
+    found = scan(spark, path, sheet, header_row, 1, **options).select("path", "row_number", F.transform("cells", lambda c: c["text"]).alias("h"))
+    return sorted((r["path"], r["row_number"], r["h"]) for r in found.collect())  # one row a file
+
+
+def below(rows: DataFrame, found: list[tuple[str, int, list[str | None]]]) -> DataFrame:
+    """Rows below the header of their own file."""
+    if len({n for _, n, _ in found}) == 1:
+        return rows.where(F.col("row_number") > found[0][1])
+    own = rows.sparkSession.createDataFrame([x[:2] for x in found], "path string, __head long")
+    return rows.join(F.broadcast(own), "path").where(F.col("row_number") > F.col("__head")).drop("__head")
+
+
 def header(rows: DataFrame, header_row: int = 0) -> tuple[int, list[str | None]] | None:
     """(row number, texts) of the header: the first row after header_row."""
     head = rows.where(F.col("row_number") > header_row).orderBy("row_number").limit(1).select("row_number", F.transform("cells", lambda c: c["text"]).alias("h")).first()
@@ -97,16 +115,19 @@ def _last(cells: str = "cells") -> Column:
     return F.coalesce(F.array_max(F.transform(cells, lambda c, i: F.when(c["text"].isNotNull(), i + 1).otherwise(0))), F.lit(0))
 
 
-def body(rows: DataFrame, header_row: int = 0) -> tuple[DataFrame, list[str]] | None:
+def body(rows: DataFrame, header_row: int = 0, found: list[tuple[str, int, list[str | None]]] | None = None) -> tuple[DataFrame, list[str]] | None:
     """(rows below the header that hold a value, column headers); None if there is no header row. Columns reach as far as
-    the header's or any row's last value, so padding makes none; a header that is missing is empty."""
-    head = header(rows, header_row)
-    if head is None:
+    the header's or any row's last value, so padding makes none; a header that is missing is empty.
+    found: the headers of files alike, as heads() gives them; else the rows are one file's."""
+    if found is None:
+        head = header(rows, header_row)
+        found = [] if head is None else [("", *head)]
+    if not found:
         return None
-    below = rows.where((F.col("row_number") > head[0]) & F.exists("cells", lambda c: c["text"].isNotNull()))
-    named = max((i + 1 for i, h in enumerate(head[1]) if h), default=0)
-    width = max(named, below.agg(F.max(_last())).first()[0] or 0)
-    return below, [(head[1][i] if i < len(head[1]) else None) or "" for i in range(width)]
+    top, held = found[0][2], below(rows, found).where(F.exists("cells", lambda c: c["text"].isNotNull()))
+    named = max((i + 1 for i, h in enumerate(top) if h), default=0)
+    width = max(named, held.agg(F.max(_last())).first()[0] or 0)
+    return held, [(top[i] if i < len(top) else None) or "" for i in range(width)]
 
 
 def cells_of(below: DataFrame, headers: list[str]) -> DataFrame:

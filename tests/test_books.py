@@ -8,9 +8,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabsieve import queries_files
-from tabsieve.errors import EngineError
+from tabsieve.api import export_files, open_workbook
+from tabsieve.errors import EngineError, StructureError
+from tabsieve.plans import schema as S
 from tabsieve.sinks import workbooks
-from tabsieve.sinks.workbooks import dealt
+from tabsieve.sinks.workbooks import SheetOut, dealt
+from tabsieve.sources.scan import catalog
 from tabsieve.sources.workbooks import Ods
 
 SF = "/root/testdata/sf0.001"
@@ -32,7 +35,7 @@ def _sql(name: str, columns: list[str]) -> list[tuple]:
     return sorted(con.sql(f"SELECT {', '.join(columns)} FROM ({queries_files.SQL[name]})").fetchall(), key=str)
 
 
-@pytest.mark.parametrize("name", ["typed_ods"])
+@pytest.mark.parametrize("name", ["typed_ods", "typed_workbook"])
 def test_larger_tables_are_dealt_to_workbooks(spark, monkeypatch, name):
     """1,500 orders and sheets of at most 1,000 rows."""
     monkeypatch.setattr(queries_files, "BOOK_ROWS", 400)
@@ -53,6 +56,22 @@ def test_dealt_counts_rows(spark):
     assert all(max(a) <= min(b) for a, b in zip(keys, keys[1:], strict=False))
 
 
+def test_files_alike_share_their_headers(spark, tmp_path):
+    one = spark.createDataFrame([(1, "a"), (2, "b")], "n long, x string")
+    files = {f"{tmp_path}/{i}.xlsx": [SheetOut("s", one if i else one.withColumnRenamed("x", "y"), "n")] for i in range(3)}
+    assert export_files(spark, files) == {path: {"s": 2} for path in files}
+    schema = S.Schema((S.Field("x"),))
+    f = open_workbook(spark, [p for p in files if not p.endswith("0.xlsx")])
+    assert sorted(r["x"] for r in f.extract(f.plan(schema), schema).accepted().collect()) == ["a", "a", "b", "b"]
+    f = open_workbook(spark, list(files))
+    with pytest.raises(StructureError):
+        f.profile()
+    with pytest.raises(StructureError):
+        f.plan(schema)
+    assert [r["rows"] for r in catalog(spark, list(files)).collect()] == [3, 3, 3]
+    assert [r["rows"] for r in catalog(spark, list(files), False).collect()] == [None] * 3
+
+
 CELLS = [
     '<table:table-cell office:value-type="float" office:value="1.50"/><table:table-cell/>',
     '<table:table-cell table:number-columns-repeated="3"/><table:table-cell office:value-type="percentage" office:value="0.5"><text:p>50%</text:p></table:table-cell>',
