@@ -87,10 +87,9 @@ _ORDERS_SQL = "SELECT o_orderkey AS key, round(o_totalprice, 2) AS price, strfti
 
 
 def workbook_profile(spark, sf):
-    """Kinds, readings and first hypothesis of every column of a workbook."""
-    path = new_path(spark, "orders.xlsx")
+    """Kinds, readings and first hypothesis of every column of workbooks alike."""
     df = _orders(spark, sf).withColumn("note", F.when(F.col("key") % 3 != 0, F.col("note")))
-    export(path, [SheetOut("orders", df, "o_orderkey")])
+    path = _books(spark, df, "o_orderkey", "orders.xlsx")
     p = open_workbook(spark, path).profile(analysis=AnalysisOptions(cultures=("", "de-DE")))
     rows = [(c.header, c.non_empty, c.empty, c.distinct, c.is_unique, *(c.kinds.get(k, 0) for k in ("Text", "Number", "Date", "Boolean")), c.readings[1].integers, c.readings[1].decimals, c.readings[1].dates, c.booleans, c.hypotheses[0].type, float(c.hypotheses[0].confidence)) for c in p.columns]
     return spark.createDataFrame(rows, "column_name string, non_empty long, empty long, distinct_count long, is_unique boolean, text long, number long, date long, boolean long, integers long, decimals long, dates long, booleans long, first_type string, confidence double")

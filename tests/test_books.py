@@ -35,7 +35,7 @@ def _sql(name: str, columns: list[str]) -> list[tuple]:
     return sorted(con.sql(f"SELECT {', '.join(columns)} FROM ({queries_files.SQL[name]})").fetchall(), key=str)
 
 
-@pytest.mark.parametrize("name", ["typed_ods", "typed_workbook"])
+@pytest.mark.parametrize("name", ["typed_ods", "typed_workbook", "workbook_profile"])
 def test_larger_tables_are_dealt_to_workbooks(spark, monkeypatch, name):
     """1,500 orders and sheets of at most 1,000 rows."""
     monkeypatch.setattr(queries_files, "BOOK_ROWS", 400)
